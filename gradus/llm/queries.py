@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gradus.llm.common import read
+from gradus.llm import packing, separator_scan, token_files
 from gradus.llm.decontamination import contamination_digest
 
 
@@ -12,6 +14,23 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
+def op3_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separator_scan.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), separator=50256)
+
+
+def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_huffman_files": op3_huffman_files,
+    "op6_token_counts": op6_token_counts,
+    "op8_best_two_fit": op8_best_two_fit,
+}
 
 ORACLE_SQL: dict[str, str] = {}
