@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gradus.llm.common import read
-from gradus.llm import packing, separator_scan, token_files
+from gradus.llm import chat_format, language_id, packing, separator_scan, token_files, url_rules
 from gradus.llm.decontamination import contamination_digest
 
 
@@ -18,6 +18,10 @@ def op3_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(read(spark, sf_dir, "pages"), url_rules.production_rules(spark))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), separator=50256)
 
@@ -26,11 +30,58 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.format_digest(turns.unionByName(extra))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_huffman_files": op3_huffman_files,
+    "op4_url_rules": op4_url_rules,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
     "op8_best_two_fit": op8_best_two_fit,
+    "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_rules": r"""
+        WITH parsed AS (
+            SELECT page_id,
+                coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        rules(rhost, rpath, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+            ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        numbered AS (SELECT *, row_number() OVER () AS n FROM parsed),
+        fits AS (
+            SELECT n, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+            FROM numbered JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY n)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM numbered LEFT JOIN fits USING (n)""",
+    "op10_chat_format": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+                SELECT conv_id, turn, role, text FROM conversations
+                UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+        numbered AS (
+            SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+                15 + 2 * length(role) - length(translate(role, '\#<:', '')) + 2 * length(text) - length(translate(text, '\#<', '')) AS chars
+            FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        summed AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM numbered),
+        gathered AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS said,
+                coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss,
+                CAST(sum(upto) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars,
+                count(*) FILTER (role = 'assistant' OR k = n) AS n_examples
+            FROM summed GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+            formatted_chars, n_examples FROM gathered""",
+}
