@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gradus.llm.common import read
-from gradus.llm import chat_format, language_id, packing, separator_scan, token_files, url_rules
+from gradus.llm import chat_format, language_id, line_quality, packing, separator_scan, token_files, url_rules
 from gradus.llm.decontamination import contamination_digest
 
 
@@ -14,6 +14,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.quality_digest(read(spark, sf_dir, "documents"))
+
+
 def op3_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -44,6 +48,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_line_quality": op2_line_quality,
     "op3_huffman_files": op3_huffman_files,
     "op4_url_rules": op4_url_rules,
     "op6_token_counts": op6_token_counts,
@@ -53,6 +58,35 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_quality": r"""
+        WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text, source FROM documents),
+        split AS (SELECT n, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs),
+        windows AS (SELECT n, unnest(range(1, len(words) - 6)) AS i, words FROM split WHERE len(words) > 8),
+        repeated AS (
+            SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY n, array_to_string(words[i:i + 7], ' ')) AS times FROM windows) WHERE times > 1),
+        covered AS (
+            SELECT n, CAST(sum(least(8, i - before)) AS BIGINT) AS n_repeat_words
+            FROM (SELECT n, i, coalesce(lag(i) OVER (PARTITION BY n ORDER BY i), i - 8) AS before FROM repeated) GROUP BY n),
+        lines AS (SELECT n, source, unnest(string_split(text, chr(10))) AS line FROM docs),
+        plain AS (SELECT n, source, trim(lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line, line AS raw FROM lines),
+        dups AS (SELECT n, count(*) - count(DISTINCT raw) AS n_dup_lines FROM plain WHERE line <> '' GROUP BY n),
+        once AS (SELECT DISTINCT n, source, line FROM plain WHERE line <> ''),
+        hosts AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
+        common AS (
+            SELECT once.source, line FROM once JOIN hosts ON once.source IS NOT DISTINCT FROM hosts.source
+            GROUP BY once.source, line, docs HAVING count(*) > 20 AND count(*) > docs * 0.01),
+        gone AS (
+            SELECT n, CAST(sum(len(string_split(once.line, ' '))) AS BIGINT) AS n_removed_words
+            FROM once JOIN common ON once.line = common.line AND once.source IS NOT DISTINCT FROM common.source GROUP BY n),
+        measured AS (
+            SELECT n, doc_id, len(words) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed_words, 0) AS n_removed_words
+            FROM split LEFT JOIN covered USING (n) LEFT JOIN dups USING (n) LEFT JOIN gone USING (n)),
+        judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND n_removed_words <= n_words * (1 - 0.3::DOUBLE) AS kept, n_removed_words
+        FROM judged""",
     "op4_url_rules": r"""
         WITH parsed AS (
             SELECT page_id,
