@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gradus.llm.common import read
-from gradus.llm import chat_format, language_id, line_quality, packing, separator_scan, token_files, url_rules
+from gradus.llm import chat_format, language_id, line_quality, packing, secret_scan, separator_scan, token_files, url_rules
 from gradus.llm.decontamination import contamination_digest
 
 
@@ -26,6 +26,10 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read(spark, sf_dir, "pages"), url_rules.production_rules(spark))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets_digest(read(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), separator=50256)
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_line_quality": op2_line_quality,
     "op3_huffman_files": op3_huffman_files,
     "op4_url_rules": op4_url_rules,
+    "op5_secret_scan": op5_secret_scan,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_best_two_fit": op8_best_two_fit,
