@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gradus.llm.common import read
-from gradus.llm import chat_format, language_id, line_quality, packing, secret_scan, separator_scan, token_files, url_rules
+from gradus.llm import chat_format, jaccard_join, language_id, line_quality, packing, secret_scan, separator_scan, token_files, url_rules
 from gradus.llm.decontamination import contamination_digest
 
 
@@ -43,6 +43,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
@@ -59,6 +63,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_best_two_fit": op8_best_two_fit,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
 }
 
