@@ -68,3 +68,14 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 def digest(values: list[str]) -> str:
     return hashlib.sha256(",".join(values).encode()).hexdigest()
+
+
+_HELD: dict = {}
+
+
+def held(key: tuple, make):
+    """What a worker process keeps from task to task, made once; another operator's task puts its own in its place."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

@@ -10,7 +10,8 @@ changes the work, never the result.
 
 Documents with equal sets are one node. Nodes that share a signature and could be similar are verified on whole sets. A
 signature with few nodes gives all its pairs, and their number of shared single tokens bounds their overlap. A signature with
-many nodes first links each node to one leader; then only nodes of different components are still paired.
+many nodes first measures each node against one hub. Then only nodes of different components are still paired, and only if
+what they share and do not share with the hub lets them be similar.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.llm.common import as_bytes, discard, row_key, written
+from gradus.llm.common import as_bytes, discard, held, row_key, written
 from gradus.llm.components import components
 
 SHINGLE = 5
@@ -36,37 +37,38 @@ MOST_FREQUENT = 1 << 20
 #: Nodes of a signature whose pairs are all made at once.
 SMALL = 32
 #: Tokens counted at a time; bits of the filter by which tasks leave out sets that no pair needs.
-COUNTED, FILTER_BITS = 4 << 20, 1 << 27
+COUNTED, FILTER_BITS = 1 << 20, 1 << 27
+#: 64-bit words of the map that bounds what two prefixes of a family share.
+MAP_WORDS = 16
+#: Rows of a batch that are worked on at once.
+ROWS = 1000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers of the words of a shingle (any fixed odd values do).
 _BY_PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-class _WordHashes(dict):
+class WordHashes(dict):
     def __missing__(self, word):
-        if len(self) >= 700_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
-_WORDS = _WordHashes()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(33))
 
 
-def tokens(text: bytes | None) -> np.ndarray:
+def tokens(text: bytes | None, hashes: dict) -> np.ndarray:
     """The sorted distinct shingle hashes of a text; with fewer than 5 words the whole sequence's one."""
     ws = text.translate(_LOWER).split() if text else []
     if not ws:
         return np.empty(0, np.uint64)
     if len(ws) < SHINGLE:
         return np.array([xxhash.xxh64_intdigest(b" ".join(ws), seed=len(ws))], np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, ws), np.uint64, len(ws))
+    h = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
     n = len(ws) - SHINGLE + 1
     total = h[:n] * _BY_PLACE[0]
     for k in range(1, SHINGLE):
@@ -121,8 +123,15 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndar
     return singles, np.concatenate(out) if out else s[:0]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [tokens(t) for t in as_bytes(batch.column("text"))]
+    hashes = held(("word hashes",), WordHashes)
+    return [tokens(t, hashes) for t in as_bytes(batch.column("text"))]
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -140,7 +149,7 @@ def describe(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(values), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values), pa.array(times)], names=names)
 
-        for batch in batches:
+        for batch in _slices(batches):
             sets = _sets(batch)
             nodes = [node_of(s) for s in sets]
             none = pa.nulls(len(sets), pa.int64())
@@ -172,7 +181,7 @@ def sign(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             rows, sigs = [], []
             for s in _sets(batch):
                 if not len(s) or (node := node_of(s)) in seen:
@@ -194,7 +203,7 @@ _MET_NAMES = [c.split()[0] for c in _MET.split(", ")]
 
 
 def meet(signed: DataFrame, small: int = SMALL) -> DataFrame:
-    """Per signature of 2 to ``small`` nodes its pairs (a < b) of possible sizes; per larger one a row (sig, leader, node) for each node."""
+    """Per signature of 2 to ``small`` nodes its pairs (a < b) of possible sizes; per larger one a row (sig, first node, node) for each node."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -275,22 +284,70 @@ def candidates(met: DataFrame) -> DataFrame:
     return pairs.where(F.col("shared") + F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= needed).select("a", "b")
 
 
-def led(large: DataFrame) -> DataFrame:
-    """(a, b): each node of a large signature with the leader that most of its signatures have."""
-    times = large.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    best = times.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("times", "a")).alias("x")).select("x.a", "b", "x.na", "x.nb")
-    return best.where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def families(large: DataFrame) -> DataFrame:
+    """(hub, node): each node of a large signature with the signature's hub, its node with the most large signatures.
+
+    Of copies that were each changed on their own, the original keeps the most in common with the others.
+    """
+    rows = large.select("sig", F.col("b").alias("node"))
+    weighed = rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("weight")), "node")
+    hubs = weighed.groupBy("sig").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    return rows.join(hubs, "sig").where("node <> hub").select("hub", "node").distinct()
+
 
+def crossing(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links of nodes of one family that are in different components so far.
 
-def crossing(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes in one large signature that are in different components so far."""
-    joined = large.select("sig", F.col("b").alias("node"), F.col("nb").alias("n")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = joined.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sig")
-    rows = written(joined.join(several, "sig"), "crossing")
-    left, right = (rows.select("sig", *[F.col(c).alias(c + side) for c in ("node", "n", "label")]) for side in ("_a", "_b"))
-    pairs = left.join(right, "sig").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")))
-    pairs = pairs.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    ``members`` has hub, node, their sizes m and n and their intersection k. A node's difference E is the hub's d tokens that it
+    lacks and its own n - k others. Two nodes of a hub share m - d - d' + |E & E'| tokens, so they are similar if and only if
+    2 (100 + PERCENT) |E & E'| >= G + G' with G as below. A node is linked to the hub if G is at most (100 - PERCENT) m, and no
+    G is less than that negated; in two components, one node's G is more. So each node has a least |E & E'| for any partner,
+    and the prefixes that it leaves, rarest tokens of the family first, share a token. What is left is checked on whole differences.
+    """
+    whole, slack = F.lit(100 + PERCENT), (100 - PERCENT) * F.col("m")
+    named = members.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = named.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("hub")
+    rows = named.join(several, "hub").withColumn("d", F.col("m") - F.col("k")).withColumn("g", 2 * PERCENT * F.col("n") + 2 * whole * F.col("d") - whole * F.col("m"))
+    least = F.when(F.col("g") > slack, F.ceil((F.col("g") - slack) / (2 * whole))).otherwise(F.floor((F.col("g") + slack) / (2 * whole)) + 1)
+    rows = written(rows.select("hub", "node", "n", "label", "g", (F.col("d") + F.col("n") - F.col("k")).alias("e"), least.alias("least")).where("e >= least"), "members")
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias("tokens_" + c))
+    both = rows.select("hub", "node").join(of("node"), "node").join(of("hub"), "hub").select("hub", "node", "tokens_hub", "tokens_node")
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            found = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                found.append(np.concatenate([~np.setdiff1d(p, q, True), np.setdiff1d(q, p, True)]))
+            diffs = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), diffs], names=["hub", "node", "diff"])
+
+    diffs = written(both.mapInArrow(differences, "hub long, node long, diff array<long>").dropDuplicates(["hub", "node"]), "differences")
+    tokens_ = diffs.select("hub", "node", F.explode("diff").alias("token"))
+    shared = tokens_.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("times"))
+    rarest = Window.partitionBy("hub", "node").orderBy("times", "token")
+    ranked = tokens_.join(shared, ["hub", "token"]).withColumn("rank", F.row_number().over(rarest))
+    prefixes = ranked.join(rows, ["hub", "node"]).where("rank <= e - least + 1 and times > 1").select("hub", "token", "node", "n", "label", "g", "e", "rank", "least")
+    # A map of each prefix in a fixed number of bits bounds how many tokens two prefixes share: one for each bit that both
+    # have, and those whose bit another of the same prefix has.
+    place = F.pmod(F.col("token"), F.lit(64 * MAP_WORDS))
+    word = lambda w: F.coalesce(F.bit_or(F.when(F.floor(place / 64) == w, F.expr("shiftleft(1L, int(pmod(token, 64)))"))), F.lit(0).cast("long"))
+    maps = prefixes.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("k"), F.array(*[word(w) for w in range(MAP_WORDS)]).alias("map"))
+    bits = lambda words: F.aggregate(words, F.lit(0), lambda n, w: n + F.bit_count(w))
+    maps = maps.withColumn("spare", F.col("k") - bits(F.col("map"))).drop("k")
+    prefixes = written(prefixes.join(maps, ["hub", "node"]), "prefixes")
+    left, right = (prefixes.select("hub", "token", *[F.col(c).alias(c + side) for c in ("node", "n", "label", "g", "e", "rank", "least", "map", "spare")]) for side in ("_a", "_b"))
+    # What both can share up to this token, and after it.
+    most = F.least("rank_a", "rank_b") + F.least(F.col("e_a") - F.col("rank_a"), F.col("e_b") - F.col("rank_b"))
+    both_maps = bits(F.zip_with("map_a", "map_b", lambda x, y: x.bitwiseAND(y))) + F.least("spare_a", "spare_b")
+    most = F.least(most, both_maps + F.greatest("least_a", "least_b") - 1)
+    able = 2 * whole * most >= F.col("g_a") + F.col("g_b")
+    sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    met = left.join(right, ["hub", "token"]).where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & sizes & able)
+    pairs = met.select("hub", F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.col("g_a") + F.col("g_b")).alias("g")).distinct()
+    side = lambda c: diffs.select("hub", F.col("node").alias(c), F.col("diff").alias("diff_" + c))
+    checked = pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
+    return written(checked.where(2 * whole * F.size(F.array_intersect("diff_a", "diff_b")) >= F.col("g")).select("a", "b").distinct(), "links")
 
 
 def whole_sets(docs: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -309,7 +366,7 @@ def whole_sets(docs: DataFrame, described: DataFrame, pairs: DataFrame) -> DataF
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             at = np.mod(batch.column("row_key").to_numpy(zero_copy_only=False), FILTER_BITS)
             passed = np.flatnonzero(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
             found = {node_of(s): s for s in _sets(batch.take(pa.array(passed)))}
@@ -321,42 +378,48 @@ def whole_sets(docs: DataFrame, described: DataFrame, pairs: DataFrame) -> DataF
     return written(sets, "sets")
 
 
-def verify(docs: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The links among ``pairs`` (a written table), with their intersection and union, written."""
-    sets = whole_sets(docs, described, pairs)
+def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, both) of each of ``pairs`` (a written table): the sizes of the sets and of their intersection; written."""
     sides = [sets.select(F.col("node").alias(c), F.col("tokens").alias("tokens_" + c)) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "tokens_a", "tokens_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                if 100 * both >= PERCENT * (len(p) + len(q) - both):
-                    rows.append((a, b, both, len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["a", "b", "both", "either"])
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                few, many = (p, q) if len(p) <= len(q) else (q, p)
+                rows.append((len(p), len(q), int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], names=["a", "b", "na", "nb", "both"])
+
+    measured = both.mapInArrow(check, "a long, b long, na long, nb long, both long")
+    return written(measured.dropDuplicates(["a", "b"]), "measured")  # tasks may have found a set twice
 
-    links = both.mapInArrow(check, "a long, b long, both long, either long")
-    return written(links.dropDuplicates(["a", "b"]), "links")  # tasks may have found a set twice
+
+def links_of(measured: DataFrame) -> DataFrame:
+    return measured.where(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
 def link(docs: DataFrame, small: int = SMALL, frequent_at: int = FREQUENT_AT) -> tuple[DataFrame, DataFrame]:
     """(documents, labels): (row_key, doc_id, n, node) of each row of ``docs`` (doc_id, text), and (node, label) of linked nodes."""
     described = written(describe(docs), "described")
     met = written(meet(sign(docs, frequent_tokens(described, frequent_at)), small), "met")
-    large = met.where("sig is not null")
-    pairs = written(candidates(met).unionByName(led(large)).distinct(), "pairs")
-    links = verify(docs, described, pairs)
+    kin = written(families(met.where("sig is not null")), "families")
+    ordered = kin.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    pairs = written(candidates(met).unionByName(ordered).distinct(), "pairs")
+    sets = whole_sets(docs, described, pairs)
+    measured = measure(pairs, sets)
+    links = links_of(measured)
     labels = written(components(links), "labels")
-    if not large.isEmpty():
-        more = written(crossing(large, labels), "pairs")
+    if not kin.isEmpty():
+        hubbed = kin.withColumns({"a": F.least("hub", "node"), "b": F.greatest("hub", "node")}).join(measured, ["a", "b"])
+        size = lambda of, other: F.when(F.col("hub") == F.col("a"), F.col(of)).otherwise(F.col(other))
+        members = hubbed.select("hub", "node", size("na", "nb").alias("m"), size("nb", "na").alias("n"), F.col("both").alias("k"))
+        more = crossing(members, labels, sets)
         if not more.isEmpty():
-            links = links.unionByName(verify(docs, described, more))
+            links = links.unionByName(more)
             labels = written(components(links), "labels")
-    discard(met, pairs)
+    discard(met)
     return described.where("node is not null").select("row_key", "doc_id", "n", "node"), labels
 
 

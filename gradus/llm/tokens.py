@@ -12,8 +12,10 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
+from gradus.llm.common import held
+
 #: Cached entries of each kind in a worker; a full cache is emptied.
-CACHE = 700_000
+CACHE = 600_000
 
 _ODD_SPACE = rb"\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf"
 _LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
@@ -80,11 +82,6 @@ class Encoder:
         return self._piece(first) + b"".join(map(self.pieces.__getitem__, [b" " + p for p in rest]))
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, literal: bool = False) -> Encoder:
     """One encoder in each worker process, whose cache lasts over its tasks."""
-    if (path, literal) not in _ENCODERS:
-        _ENCODERS[path, literal] = Encoder(path, literal)
-    return _ENCODERS[path, literal]
+    return held(("encoder", path, literal), lambda: Encoder(path, literal))
