@@ -8,7 +8,8 @@ fall in the same one of m classes of values: pairs of frequent tokens of one cla
 signatures of the frequent class. m grows with n, so that a set has few pairs to a class. Which tokens count as frequent
 changes the work, never the result.
 
-Documents with equal sets are one node. Nodes that share a signature and could be similar are verified on whole sets. A
+Documents with equal sets are one node. Nodes that share a signature and could be similar are verified on whole sets: first
+each node with its strongest partner, then those pairs whose nodes are still in different components. A
 signature with few nodes gives all its pairs, and their number of shared single tokens bounds their overlap. A signature with
 many nodes first measures each node against one hub. Then only nodes of different components are still paired, and only if
 what they share and do not share with the hub lets them be similar.
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.llm.common import as_bytes, discard, held, row_key, written
+from gradus.llm.common import as_bytes, discard, held, release, row_key, written
 from gradus.llm.components import components
 
 SHINGLE = 5
@@ -278,10 +279,25 @@ def _paired(rows: dict, i: np.ndarray, j: np.ndarray) -> list[pa.RecordBatch]:
 
 
 def candidates(met: DataFrame) -> DataFrame:
-    """(a, b) of the small signatures' pairs whose shared single tokens leave the needed overlap possible."""
-    pairs = met.where("sig is null").groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("na", "nb", "pa", "pb")], F.sum("shared").alias("shared"))
+    """(a, b, times) of the small signatures' pairs whose shared single tokens leave the needed overlap possible; ``times`` they met."""
+    counts = (F.sum("shared").alias("shared"), F.count(F.lit(1)).alias("times"))
+    pairs = met.where("sig is null").groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("na", "nb", "pa", "pb")], *counts)
     needed = F.ceil((F.col("na") + F.col("nb")).cast("long") * PERCENT / F.lit(100 + PERCENT) - F.lit(1e-9))
-    return pairs.where(F.col("shared") + F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= needed).select("a", "b")
+    return pairs.where(F.col("shared") + F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= needed).select("a", "b", "times")
+
+
+def strongest(found: DataFrame) -> DataFrame:
+    """(a, b): each node of ``found`` (a, b, times) with the partner that it met most often; no more pairs than nodes."""
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "times"))
+    best = both.groupBy("a").agg(F.max(F.struct("times", "b"))["b"].alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def apart(found: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
+    """(a, b) of ``found`` that are in different components so far and not among the pairs ``done``: only these can still join any."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias("label_" + c))
+    named = found.join(done.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return named.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
 
 def families(large: DataFrame) -> DataFrame:
@@ -405,12 +421,22 @@ def link(docs: DataFrame, small: int = SMALL, frequent_at: int = FREQUENT_AT) ->
     described = written(describe(docs), "described")
     met = written(meet(sign(docs, frequent_tokens(described, frequent_at)), small), "met")
     kin = written(families(met.where("sig is not null")), "families")
+    found = written(candidates(met), "candidates")
+    discard(met)
+    release(docs.sparkSession)
     ordered = kin.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    pairs = written(candidates(met).unionByName(ordered).distinct(), "pairs")
-    sets = whole_sets(docs, described, pairs)
-    measured = measure(pairs, sets)
+    # Each pair that is measured moves a whole set. Of pairs in one component none but the first are needed.
+    first = written(strongest(found).unionByName(ordered).distinct(), "pairs")
+    sets = whole_sets(docs, described, first)
+    measured = measure(first, sets)
+    release(docs.sparkSession)
     links = links_of(measured)
     labels = written(components(links), "labels")
+    rest = written(apart(found, labels, first), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(links_of(measure(rest, sets)))
+        labels = written(components(links), "labels")
+    release(docs.sparkSession)
     if not kin.isEmpty():
         hubbed = kin.withColumns({"a": F.least("hub", "node"), "b": F.greatest("hub", "node")}).join(measured, ["a", "b"])
         size = lambda of, other: F.when(F.col("hub") == F.col("a"), F.col(of)).otherwise(F.col(other))
@@ -419,7 +445,6 @@ def link(docs: DataFrame, small: int = SMALL, frequent_at: int = FREQUENT_AT) ->
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = written(components(links), "labels")
-    discard(met)
     return described.where("node is not null").select("row_key", "doc_id", "n", "node"), labels
 
 
