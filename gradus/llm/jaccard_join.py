@@ -31,7 +31,7 @@ from gradus.llm.components import components
 SHINGLE = 5
 #: Two sets link if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: A token is frequent if it is counted this often, over tasks in which at least two sets have it ...
+#: A token is frequent if it is counted this often: wherever it is early in a set, elsewhere if at least two sets of a chunk have it ...
 FREQUENT_AT = 24
 #: ... and is among this many most frequent ones, which every task holds (8 bytes each).
 MOST_FREQUENT = 1 << 20
@@ -97,6 +97,11 @@ def class_counts(n: int) -> list[int]:
     return out
 
 
+def early(n: int) -> int:
+    """The tokens of a set of n that are all counted: its plain prefix and an eighth more, as frequent ones give way to later ones."""
+    return n - least_overlap(n) + 1 + n // 8
+
+
 def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(single tokens, pairs' hashes) of a sorted set, given the sorted frequent tokens."""
     n = len(s)
@@ -136,19 +141,23 @@ def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: (row_key, doc_id, n, node) of each document; (token, times) that a task's distinct sets repeat."""
+    """Rows of two kinds: (row_key, doc_id, n, node) of each document; (token, times) over a task's distinct sets.
+
+    Early tokens, which could be signatures, have all their times here. Of the later ones only those that a chunk repeats do.
+    """
     schema = "row_key long, doc_id long, n long, node long, token long, times long"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held, size = [], 0
+        first, later, size = [], [], 0
 
-        def counted() -> pa.RecordBatch:
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            values, times = values[times > 1].view(np.int64), times[times > 1]
-            none = pa.nulls(len(values), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values), pa.array(times)], names=names)
+        def counted() -> Iterator[pa.RecordBatch]:
+            for held, least in ((first, 1), (later, 2)):
+                values, times = np.unique(np.concatenate(held), return_counts=True)
+                values, times = values[times >= least].view(np.int64), times[times >= least]
+                none = pa.nulls(len(values), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values), pa.array(times)], names=names)
 
         for batch in _slices(batches):
             sets = _sets(batch)
@@ -158,13 +167,14 @@ def describe(docs: DataFrame) -> DataFrame:
             for node, s in zip(nodes, sets, strict=True):
                 if node not in seen and len(s):
                     seen.add(node)
-                    held.append(s)
+                    first.append(s[: early(len(s))])
+                    later.append(s[early(len(s)) :])
                     size += len(s)
                 if size >= COUNTED:
-                    yield counted()
-                    held, size = [], 0
-        if held:
-            yield counted()
+                    yield from counted()
+                    first, later, size = [], [], 0
+        if first:
+            yield from counted()
 
     return docs.select(row_key("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, schema)
 
@@ -372,7 +382,7 @@ def whole_sets(docs: DataFrame, described: DataFrame, pairs: DataFrame) -> DataF
     The filter lets some other documents pass, more where it holds many; they only cost time.
     """
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = described.where("node is not null").groupBy("node").agg(F.min("row_key").alias("row_key")).join(nodes, "node")
+    rows = described.groupBy("node").agg(F.min("row_key").alias("row_key")).join(nodes, "node")
     placed = rows.select(F.pmod("row_key", F.lit(FILTER_BITS)).alias("place")).selectExpr("place div 64 AS word", "shiftleft(1L, int(place % 64)) AS bit")
     words = placed.groupBy("word").agg(F.bit_or("bit").alias("bits"))
     bits = np.zeros(FILTER_BITS // 64, np.int64)
@@ -418,8 +428,12 @@ def links_of(measured: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, small: int = SMALL, frequent_at: int = FREQUENT_AT) -> tuple[DataFrame, DataFrame]:
     """(documents, labels): (row_key, doc_id, n, node) of each row of ``docs`` (doc_id, text), and (node, label) of linked nodes."""
-    described = written(describe(docs), "described")
-    met = written(meet(sign(docs, frequent_tokens(described, frequent_at)), small), "met")
+    counted = written(describe(docs), "described")
+    frequent = frequent_tokens(counted, frequent_at)
+    described = written(counted.where("node is not null").select("row_key", "doc_id", "n", "node"), "described")
+    discard(counted)
+    release(docs.sparkSession)
+    met = written(meet(sign(docs, frequent), small), "met")
     kin = written(families(met.where("sig is not null")), "families")
     found = written(candidates(met), "candidates")
     discard(met)
@@ -445,7 +459,7 @@ def link(docs: DataFrame, small: int = SMALL, frequent_at: int = FREQUENT_AT) ->
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = written(components(links), "labels")
-    return described.where("node is not null").select("row_key", "doc_id", "n", "node"), labels
+    return described, labels
 
 
 def labelled(docs: DataFrame, **limits) -> DataFrame:
