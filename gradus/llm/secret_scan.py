@@ -3,10 +3,11 @@
 A candidate is a run of 20 or more characters of the usual encodings, with a letter and a digit. Its encoding is inferred from
 its characters. Three tests ask whether it could be uniformly random in that alphabet: chi-squared of the character counts,
 runs above and below the middle of the alphabet, correlation of neighbours. A candidate that none of them rejects is claimed
-a secret if prose or an identifier would hardly repeat so few characters: the p-value of its coincidences under the
-repetition rate of such text. False discoveries among the claims are held to RATE by the step-up procedure of Benjamini and
-Hochberg in each class of lengths, over p-values in fixed logarithmic bins, so that only counts of bins are gathered.
-All of it is DataFrame expressions.
+a secret if words, numbers and identifiers would hardly look like it: by the ratio of its likelihoods as text and as random
+characters of its encoding. Text reaches a ratio of p or less with a chance of at most p, so the ratio is a p-value, and one
+with power at 20 characters. False discoveries among the claims are held to RATE by the step-up procedure of Benjamini and
+Hochberg over the candidates that pass the battery, in each class of lengths, over p-values in fixed logarithmic bins, so
+that only counts of bins are gathered. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -29,13 +30,47 @@ _CODE = "A-Za-z0-9+/_-"
 #: A whole run of code characters with a letter and a digit, 20 or longer.
 CANDIDATE = rf"(?<![{_CODE}])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[{_CODE}]{{20,}}+"
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: Pattern, alphabet, and the chance that two characters of text of this look are equal: digits' for hex, letters' otherwise.
+#: Pattern and alphabet.
 ENCODINGS = (
-    (r"^[0-9a-f]+$", "0123456789abcdef", 0.1), (r"^[0-9A-F]+$", "0123456789ABCDEF", 0.1), (r"^[A-Z2-7]+$", UPPER + "234567", 0.066),
-    (r"^[a-z0-9]+$", LOWER + DIGITS, 0.066), (r"^[A-Z0-9]+$", UPPER + DIGITS, 0.066), (r"^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS, 0.066),
-    (r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/", 0.066), (r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_", 0.066),
-    (r"^.*$", UPPER + LOWER + DIGITS + "+/-_", 0.066),
+    (r"^[0-9a-f]+$", "0123456789abcdef"), (r"^[0-9A-F]+$", "0123456789ABCDEF"), (r"^[A-Z2-7]+$", UPPER + "234567"),
+    (r"^[a-z0-9]+$", LOWER + DIGITS), (r"^[A-Z0-9]+$", UPPER + DIGITS), (r"^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
+    (r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"), (r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
+    (r"^.*$", UPPER + LOWER + DIGITS + "+/-_"),
 )
+#: Capitals, small letters, digits and marks in text: chance of each (row) to be followed by each; the last row is for the start.
+FOLLOWS = ((0.58, 0.35, 0.03, 0.04), (0.04, 0.86, 0.04, 0.06), (0.04, 0.04, 0.84, 0.08), (0.15, 0.6, 0.2, 0.05), (0.25, 0.5, 0.2, 0.05))
+#: Letters of English: for each letter (row) how rarely each follows, and in the last row how rare each is; -ln of the chance in tenths, from "0".
+LETTERS = (
+    "zSNWzgZzRz`ENAzXzDHAY]iiVy",
+    "Lx]lAzzzMFzBtzOfzLXiCzzzFz",
+    "GzWz@zzIOzVIzz?qzWnBNzzzjz",
+    "NauQ9zjz=uz[uzIzzgOfMmsz^z",
+    "RiJEUT`n^zzSQDpU[AEMzYbN[z",
+    "MzwzJOzz@zzVzz<rzFrLHzzzVz",
+    "Lsoz<sWFGzzQcH]`zEQZIzzzzz",
+    "Bzzz5zzzFzzyoyHzz_tTkzzzmz",
+    "WQIWSNUztzlRT?D^zXDEwVznzf",
+    "[zdz1zzzzzzzzzVjzzzzLzzzzz",
+    "Nzjz6uauEzz^zOuTz_EuUz]zzz",
+    "EzsR?Yyz@zzEzzJqzpPRLkkzJz",
+    "@Qpz:zzzLzznTnGFzsOdPwzznz",
+    "LzKDHbEsUzj]e_IpzzEAW]zzTz",
+    "kSVMdG]zeziVO>^Oz@VKJVVwvz",
+    "CzzaAzzdQzzFwtIMzAcJPzzzLz",
+    "zzzzzzzzzzzzzzzzzzzz0zzzzz",
+    "DiXW=fVzDzUjOTIazRKPYfdzQz",
+    "UzTy=jzQEzb]nvLPuzFAKzwz[z",
+    "KzivCzz;Czz_lzIpzMPUXz]zSz",
+    "QNPVIiYzPzzIJElQzGDCzzzzzz",
+    "=zzz6zzzDzzzkzUzzzzzzzzzzz",
+    "DzzvJzz@;zz_zWAzzV[zzzdzzz",
+    "Iz>rBzz`Lzzzjzc?zzcBzzu`Zz",
+    "bkazWzzzKzzbcM;@zLHHzrRzte",
+    "Cqqq5^qqDqqqqq^fqqfqqqqqUf",
+    "KYPQDUZQInfPUJJUrKKGS_]eXz",
+)
+#: How far a letter goes by the one before it, by its own frequency, by neither.
+SHARES = (0.6, 0.3, 0.1)
 #: A test rejects randomness below REJECT / 3; claims are made at the false-discovery rate RATE.
 REJECT, RATE = 0.001, 0.01
 #: Shortest length of each class but the first.
@@ -89,10 +124,51 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def _text_costs() -> tuple[list[float], list[float]]:
+    """-ln of the chances of text, each within its encoding's alphabet: of kinds of characters by encoding, kind before and kind, then
+    of letters, of all and of hex digits, by letter before (26: none) and letter."""
+    kinds, letters = [], []
+    for _, alphabet in ENCODINGS:
+        there = [any(c in alphabet for c in of) for of in (UPPER, LOWER, DIGITS, "+/-_")]
+        sizes = [1, 1, sum(c in alphabet for c in DIGITS), sum(c in alphabet for c in "+/-_")]
+        for row in FOLLOWS:
+            whole = sum(p for p, ok in zip(row, there, strict=True) if ok)
+            kinds += [math.log(whole * n / p) if ok else 0.0 for p, n, ok in zip(row, sizes, there, strict=True)]
+    chances = [[math.exp(-(ord(c) - 48) / 10) for c in row] for row in LETTERS]
+    for used in (26, 6):
+        parts = [[p / sum(row[:used]) for p in row[:used]] for row in chances]
+        for row in parts:
+            letters += [-math.log(SHARES[0] * p + SHARES[1] * q + SHARES[2] / used) for p, q in zip(row, parts[26], strict=True)] + [0.0] * (26 - used)
+    return kinds, letters
+
+
+def _table(values: list[float]) -> Column:
+    """A constant array."""
+    return F.split(F.lit(",".join(f"{v:.5f}" for v in values)), ",").cast("array<double>")
+
+
+def text_p(value: Column, encoding: Column, k: Column) -> Column:
+    """The likelihood ratio of text to random characters, 1 at most. Text has a ratio of p or less with a chance of p at most (Markov)."""
+    kinds, letters = (_table(x) for x in _text_costs())
+    places = F.transform(F.split(value, ""), lambda c: F.call_function("locate", c, F.lit(UPPER + LOWER + DIGITS + "+/-_")) - 1)
+    kind = lambda x: F.when(x.isNull(), 4).when(x < 26, 0).when(x < 52, 1).when(x < 62, 2).otherwise(3)
+    before = lambda x: F.when(x < 52, x % 26).otherwise(26)
+    hex_from = F.when(encoding < 2, 27 * 26).otherwise(0)
+
+    def cost(xs: Column, x: Column, i: Column) -> Column:
+        last = F.get(xs, i - 1)
+        letter = F.when(x < 52, F.get(letters, hex_from + before(last) * 26 + x % 26)).otherwise(0.0)
+        return F.get(kinds, encoding * 20 + kind(last) * 4 + kind(x)) + letter
+
+    costs = lambda xs: F.transform(xs, lambda x, i: cost(xs, x, i))
+    surprise = let(F.filter(places, lambda x: x >= 0), lambda xs: F.aggregate(costs(xs), F.lit(0.0), lambda a, c: a + c))
+    return F.least(F.exp(F.length(value) * F.log(k) - surprise), F.lit(1.0))
+
+
 def battery(candidates: DataFrame) -> DataFrame:
     """``candidates`` (with value, not empty) with columns k, n, p_chi, p_runs, p_serial, p_text, random."""
     pick = lambda at: F.coalesce(*[F.when(F.col("value").rlike(e[0]), F.lit(e[at])) for e in ENCODINGS])
-    rows = candidates.withColumns({"_alphabet": pick(1), "_same": pick(2), "n": F.length("value").cast("double")})
+    rows = candidates.withColumns({"_alphabet": pick(1), "_encoding": F.coalesce(*[F.when(F.col("value").rlike(e[0]), F.lit(i)) for i, e in enumerate(ENCODINGS)]), "n": F.length("value").cast("double")})
     counts = F.transform(F.sequence(F.lit(1), F.length("_alphabet")), lambda i: (F.length("value") - F.length(F.replace("value", F.substr("_alphabet", i, F.lit(1)), F.lit("")))).cast("double"))
     index = F.transform(F.split("value", ""), lambda c: F.call_function("locate", c, F.col("_alphabet")).cast("double") - 1)
     rows = rows.withColumns({"k": F.length("_alphabet").cast("double"), "_counts": counts, "_x": F.filter(index, lambda x: x >= 0)})
@@ -113,20 +189,16 @@ def battery(candidates: DataFrame) -> DataFrame:
     spread = F.aggregate("_x", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean")))
     near = F.aggregate(F.transform("_x", lambda x, i: (x - F.col("_mean")) * (F.coalesce(F.get("_x", i + 1), F.col("_mean")) - F.col("_mean"))), F.lit(0.0), lambda s, x: s + x)
     rows = rows.withColumn("_spread", spread).withColumn("p_serial", F.when(F.col("_spread") > 0, 2 * upper_tail(F.abs(near / F.col("_spread")) * F.sqrt(n))).otherwise(0.0))
-    pairs = n * (n - 1)
-    same = F.col("_same")
-    # Variance of the share of equal pairs; the cubes' sum of a skewed alphabet is taken as 1.45 times the square of that of squares.
-    deviation = F.sqrt(2 * same * (1 - same) / pairs + 4 / n * 0.45 * same * same)
-    rows = rows.withColumn("p_text", upper_tail((same - (F.col("_squares") - n) / pairs) / deviation))
+    rows = rows.withColumn("p_text", text_p(F.col("value"), F.col("_encoding"), k))
     rows = rows.withColumn("random", F.least("p_chi", "p_runs", "p_serial") * 3 >= REJECT)
     return rows.drop(*[c for c in rows.columns if c.startswith("_")])
 
 
 def discoveries(tested: DataFrame, rate: float = RATE) -> DataFrame:
-    """The claims of ``tested``: random ones whose p_text is under their length class's step-up threshold."""
+    """The claims of ``tested``: random ones whose p_text is under the step-up threshold of the random ones of their length class."""
     length_class = sum((F.col("n") >= c).cast("int") for c in CLASSES)
     binned = tested.withColumns({"class": length_class, "bin": F.floor(-F.log(F.greatest("p_text", F.lit(LEAST))) * BINS).cast("int")})
-    counts = binned.groupBy("class", "bin").agg(F.count(F.lit(1)).alias("m"), F.count_if("random").alias("ok"))  # at most a row for each class and bin
+    counts = binned.groupBy("class", "bin").agg(F.count_if("random").alias("m")).where("m > 0")  # at most a row for each class and bin
     smaller = Window.partitionBy("class").orderBy(F.desc("bin"))
     whole = Window.partitionBy("class")
     passing = counts.withColumns({"rank": F.sum("m").over(smaller), "all": F.sum("m").over(whole)}).where(F.exp(-F.col("bin") / BINS) <= rate * F.col("rank") / F.col("all"))
@@ -143,6 +215,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     found = written(find_spans(docs), "spans")
     tested = battery(found.select("row_key", F.explode("candidates").alias("c")).select("row_key", "c.start", "c.end", "c.value"))
+    tested = written(tested, "candidates")  # else a filter of the tests' outcome repeats them
     claims = discoveries(tested).groupBy("row_key").agg(F.collect_set(F.struct("start", "end")).alias("claims"))
     kinded = lambda name, order: F.transform(name, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("kind"), m["end"].alias("end")))
     base = F.sort_array(F.concat(*[kinded(name, i) for i, name in enumerate(KINDS[:3])]))

@@ -50,3 +50,35 @@ def test_redaction(spark):
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[3].text == "[SECRET]' x" and rows[2].text == "plain text" and rows[0].text is None and len(rows) == len(TEXTS)
     assert rows[10].text == "[SECRET],token = token: [SECRET]" and all(r.n_chars == len(r.text) for r in rows.values() if r.text is not None)
+
+
+def test_short_keys_of_every_encoding_among_slugs(spark):
+    rnd = random.Random(11)
+    vocabulary = "the order of new user data file report config service image model test train index page house water system update version local remote storage".split()
+    code = s.UPPER + s.LOWER + s.DIGITS
+    alphabets = {"hex": "0123456789ABCDEF", "base32": s.UPPER + "234567", "lower": s.LOWER + s.DIGITS, "alnum": code, "base64": code + "+/", "url": code + "-_"}
+
+    def slug(n):
+        sep, case = rnd.choice("-_/"), rnd.choice([str, str.capitalize, str.upper])
+        out = ""
+        while len(out) < n - 3:
+            out += case(rnd.choice(vocabulary)) + (sep if rnd.random() < 0.8 else "")
+        return out + str(rnd.randrange(10, 3000))
+
+    def key(alphabet, n):
+        while True:
+            out = "".join(rnd.choice(alphabet) for _ in range(n))
+            if re.search("[0-9]", out) and re.search("[A-Za-z]", out):
+                return out
+
+    for share in (0.01, 0.001):
+        rows = [("slug", n, slug(n)) for n in (20, 32, 40) for _ in range(6000)]
+        rows += [(name, n, key(a, n)) for n in (20, 32, 40) for name, a in alphabets.items() for _ in range(round(6000 * share / len(alphabets)) * (1 if share == 0.01 else 6) or 1)]
+        tested = s.battery(spark.createDataFrame(rows, "kind string, size int, value string")).cache()
+        claimed = {(r["kind"], r["size"]): r["count"] for r in s.discoveries(tested).groupBy("kind", "size").count().collect()}
+        made = {(k, n): sum(r[:2] == (k, n) for r in rows) for k in alphabets for n in (20, 32, 40)}
+        false = sum(v for (k, _), v in claimed.items() if k == "slug")
+        assert false <= 0.02 * sum(claimed.values())
+        for n, least in ((20, 0.75), (32, 0.9), (40, 0.9)):
+            assert sum(claimed.get((k, n), 0) for k in alphabets) >= least * sum(made[k, n] for k in alphabets), (share, n)
+            assert all(claimed.get((k, n), 0) >= 0.5 * made[k, n] for k in alphabets), (share, n, claimed, made)
