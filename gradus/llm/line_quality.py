@@ -2,7 +2,8 @@
 
 Lines are normalised (A-Z and other capitals lower-cased, blanks joined, ends trimmed) and hashed. A line is boilerplate on a
 host if more documents of the host hold it than MIN_DOCS and than SHARE of the host's documents. Boilerplate lines are removed;
-a document is depleted if less than KEPT_SHARE of its words stay, each removed line counted once. All of it is DataFrame expressions.
+a document is depleted if less than KEPT_SHARE of its words stay, with every occurrence of a removed line gone. n_removed_words
+counts each removed line once, as the SQL does. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -74,12 +75,26 @@ def normalised(line: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """(row_key, host, line, words): a document's distinct normalised lines with a word; ``host`` hashes the source, null too."""
+    """(row_key, host, line, words, times): a document's distinct normalised lines with a word, and how often each stands in it.
+
+    ``host`` hashes the source, null too.
+    """
     lines = F.split(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09\x0B-\x0D]+", " ")), "\n")
     entry = lambda line: F.struct(F.xxhash64(line).alias("line"), F.size(F.split(line, " ")).alias("words"))
     kept = F.filter(F.transform(lines, lambda x: F.btrim(x)), lambda x: x != "")
-    rows = docs.select(row_key("doc_id", "text").alias("row_key"), F.xxhash64("source").alias("host"), F.explode(F.array_distinct(F.transform(kept, entry))).alias("entry"))
-    return rows.select("row_key", "host", "entry.line", "entry.words")
+
+    def counted(entries: Column) -> Column:
+        """Distinct entries with their numbers: equal ones stand side by side once sorted, each group's first place to the next's."""
+
+        def of(xs: Column) -> Column:
+            firsts = F.filter(F.transform(xs, lambda x, i: F.when(F.coalesce(F.get(xs, i - 1) != x, F.lit(True)), i)), lambda i: i.isNotNull())
+            times = lambda at: F.transform(at, lambda i, k: F.struct(F.get(xs, i)["line"].alias("line"), F.get(xs, i)["words"].alias("words"), (F.coalesce(F.get(at, k + 1), F.size(xs)) - i).alias("times")))
+            return let(firsts, times)
+
+        return let(F.sort_array(entries), of)
+
+    rows = docs.select(row_key("doc_id", "text").alias("row_key"), F.xxhash64("source").alias("host"), F.explode(counted(F.transform(kept, entry))).alias("entry"))
+    return rows.select("row_key", "host", "entry.line", "entry.words", "entry.times")
 
 
 def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
@@ -92,16 +107,17 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE)
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, kept_share: float = KEPT_SHARE) -> DataFrame:
     """Base measures of each row of ``docs`` (doc_id, text, source), its boilerplate lines, and whether it is kept.
 
-    ``boilerplate`` has the hashes of the row's removed lines. Each row counts as a document of its host, also if it repeats
+    ``boilerplate`` has the hashes of the row's removed lines, ``n_gone_words`` the words that go with all their occurrences. Each row counts as a document of its host, also if it repeats
     another; repeated rows give repeated rows. Rows with a null source are one host. A text without words fails the base rules.
     """
     lines = line_hashes(docs)
     removed = lines.join(boilerplate(docs, min_docs, share).select("host", "line"), ["host", "line"])
-    removed = removed.groupBy("row_key").agg(F.collect_set(F.struct("line", "words")).alias("removed"))
+    removed = removed.groupBy("row_key").agg(F.collect_set(F.struct("line", "words", "times")).alias("removed"))
     joined = base_measures(docs).join(removed, "row_key", "left")
-    gone = F.aggregate(F.coalesce("removed", F.array().cast("array<struct<line:long,words:int>>")), F.lit(0), lambda n, x: n + x["words"]).cast("long")
-    judged = joined.withColumn("n_removed_words", gone)
-    kept = ~F.col("base_failed") & (F.col("n_removed_words") <= F.col("n_words") * (1 - kept_share))
+    none = F.array().cast("array<struct<line:long,words:int,times:int>>")
+    gone = lambda words: F.aggregate(F.coalesce("removed", none), F.lit(0).cast("long"), lambda n, x: n + words(x))
+    judged = joined.withColumns({"n_removed_words": gone(lambda x: x["words"]), "n_gone_words": gone(lambda x: x["words"] * x["times"])})
+    kept = ~F.col("base_failed") & (F.col("n_gone_words") <= F.col("n_words") * (1 - kept_share))
     return judged.select("*", kept.alias("kept"), F.coalesce(F.transform("removed", lambda x: x["line"]), F.array().cast("array<long>")).alias("boilerplate")).drop("removed")
 
 

@@ -51,3 +51,12 @@ def test_clean_removes_only_common_lines(spark):
 
 def test_empty(spark):
     assert q.quality_digest(frame(spark, [])).collect() == []
+
+
+def test_depletion_counts_every_occurrence(spark):
+    own = lambda i, n: "".join(f"one two three four five six seven\nown{i}a{j} own{i}b{j}\n" for j in range(n))
+    docs = frame(spark, [(i, own(i, 20 if i else 2) + UNIQUE * (i == 0), "a") for i in range(6)])
+    rows = {r.doc_id: r for r in q.judge(docs, min_docs=3, share=0.2).collect()}
+    assert (rows[1].n_words, rows[1].n_repeat_words, rows[1].n_removed_words, rows[1].n_gone_words) == (180, 0, 7, 140)
+    assert not rows[1].base_failed and not rows[1].kept and rows[0].n_gone_words == 14 and rows[0].kept
+    assert [r.doc_id for r in q.clean(docs, min_docs=3, share=0.2).collect()] == [0]
