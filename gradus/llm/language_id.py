@@ -36,15 +36,17 @@ def fold(doc_id: Column) -> Column:
 def sample_dictionaries(labelled: DataFrame, size: int = DICTIONARY, excerpt: int = EXCERPT) -> dict[str, bytes]:
     """A dictionary for each value of lang in ``labelled`` (lang, text; neither null).
 
-    Documents are taken by the order of a hash of their text, at a rate set by their language's count, so that about four
-    times as many excerpts as fill the dictionary reach the driver, whatever the corpus's size.
+    Distinct texts are taken by the order of a hash, at a rate set by the bytes of their language's distinct excerpts, so that
+    about four times as much as fills the dictionary reaches the driver, whatever the corpus's size and however often a text
+    is repeated in it.
     """
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    place = F.xxhash64("text")
+    once = labelled.select("lang", place.alias("place"), (F.octet_length(F.substring("text", 1, excerpt)) + 1).alias("bytes")).distinct()
+    counts = {r.lang: r.bytes for r in once.groupBy("lang").agg(F.sum("bytes").alias("bytes")).collect()}  # a row for each language
     if not counts:
         return {}
-    wanted = 4 * -(-size // excerpt) + 64
+    wanted = 4 * size + 64 * excerpt
     rates = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, wanted / n)))])
-    place = F.xxhash64("text")
     drawn = labelled.where(F.pmod(place, F.lit(1 << 30)) < rates[F.col("lang")] * F.lit(1 << 30))
     texts: dict[str, bytes] = {lang: b"" for lang in counts}
     for r in drawn.select("lang", place.alias("place"), F.substring("text", 1, excerpt).alias("text")).distinct().orderBy("lang", "place", "text").collect():

@@ -44,3 +44,13 @@ def test_labels_are_no_input(spark):
     dictionaries = lang.sample_dictionaries(lang.training_rows(frame(spark, rows(100))))
     a = lang.classify(frame(spark, rows(50)), dictionaries).orderBy("doc_id").select("lang_pred", "score").collect()
     assert a == lang.classify(frame(spark, [(i, t, "zz") for i, t, _ in rows(50)]), dictionaries).orderBy("doc_id").select("lang_pred", "score").collect()
+
+
+def test_copies_of_one_text_leave_the_dictionary_full(spark):
+    texts = [(i, f"{t} {i}", k) for i, t, k in rows(6000)]
+    copies = spark.range(1_000_000).selectExpr("'xx' AS lang", "'tok lim pra' AS text")
+    labelled = frame(spark, texts).select("lang", "text").unionByName(copies)
+    dictionaries = lang.sample_dictionaries(labelled)
+    assert {k: len(v) for k, v in dictionaries.items()} == {"xx": lang.DICTIONARY, "yy": lang.DICTIONARY}
+    short = spark.range(40_000).selectExpr("'xx' AS lang", "concat('a', id) AS text")
+    assert len(lang.sample_dictionaries(short)["xx"]) == lang.DICTIONARY
