@@ -7,6 +7,9 @@ are spread over all segments, and each document's matches are found inside its o
 
 A phrase is looked up from its rarest terms: the shortest postings list gives candidate starts, each further term's list,
 less the term's offset in the phrase, is intersected with them.
+
+A proximity match is made for each window of an item: of the window's rarest terms that the corpus has, NEAR_TERMS stand
+close together, in any order. SPARE more terms than that are tried, so altered and unseen words leave a window's match whole.
 """
 
 from __future__ import annotations
@@ -22,8 +25,11 @@ from pyspark.sql import functions as F
 from gradus.llm.common import as_bytes, discard, row_key, written
 
 WINDOW = 10
-#: A proximity match has this many of an item's rarest terms, each at most SLOP words from the rarest.
+#: A proximity match has this many of the rarest terms of an item's window, each at most SLOP words from one of them.
 NEAR_TERMS, SLOP = 4, 30
+#: Terms of a window that may be missing, and words that may be put in. Windows are so long that they still are within SLOP.
+SPARE = 2
+NEAR_SPAN = SLOP - SPARE
 #: Text bytes of a segment; a longer document is a segment of its own.
 SEGMENT_BYTES = 4 << 20
 #: Benchmark text that is matched in one pass over the corpus, and so held by each task.
@@ -107,22 +113,38 @@ def term_counts(index: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("terms").alias("term")).agg(F.sum("counts").alias("n"))
 
 
-def search(index: DataFrame, items: list[tuple[str, list[bytes]]], counts: dict[bytes, int]) -> DataFrame:
+def near_queries(ws: list[bytes], counts: dict[bytes, int]) -> set[tuple[tuple[bytes, ...], int]]:
+    """(terms, need) of each window of an item: its rarest terms that the corpus has, rarest first, and how many must stand together.
+
+    A window of fewer than NEAR_TERMS different words needs all of them.
+    """
+    last = max(0, len(ws) - NEAR_SPAN)
+    out = set()
+    for i in {*range(0, last, NEAR_SPAN // 2), last}:
+        window = set(ws[i : i + NEAR_SPAN])
+        need = min(NEAR_TERMS, len(window))
+        present = sorted((w for w in window if w in counts), key=lambda w: (counts[w], w))[: need + SPARE]
+        if len(present) >= need > 0:
+            out.add((tuple(present), need))
+    return out
+
+
+def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], counts: dict[bytes, int]) -> DataFrame:
     """Exact phrase and proximity matches of ``items`` (id, words) in each document of the index."""
     phrases: dict[tuple[bytes, ...], set[str]] = {}
-    near: dict[tuple[bytes, ...], set[str]] = {}
+    near: dict[tuple[tuple[bytes, ...], int], set[str]] = {}
     for item, ws in items:
+        named = set() if item is None else {item}
         for i in range(max(1, len(ws) - WINDOW + 1)):
             phrase = tuple(ws[i : i + WINDOW])
             if phrase and all(w in counts for w in phrase):
-                phrases.setdefault(phrase, set()).add(item)
-        rare = tuple(sorted(set(ws), key=lambda w: (counts.get(w, 0), w))[:NEAR_TERMS])
-        if rare and all(w in counts for w in rare):
-            near.setdefault(rare, set()).add(item)
+                phrases.setdefault(phrase, set()).update(named)
+        for query in near_queries(ws, counts) if named else ():
+            near.setdefault(query, set()).update(named)
     rarest_first = [
         (sorted(range(len(p)), key=lambda j, p=p: (counts[p[j]], p[j], j)), p, sorted(of)) for p, of in phrases.items()
     ]
-    shared = index.sparkSession.sparkContext.broadcast((rarest_first, [(r, sorted(of)) for r, of in near.items()]))
+    shared = index.sparkSession.sparkContext.broadcast((rarest_first, [(*q, sorted(of)) for q, of in near.items()]))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,15 +181,20 @@ def _match(segment: dict, phrases: list, near: list) -> pa.RecordBatch:
         for s, d in zip(starts.tolist(), (np.searchsorted(bases, starts, "right") - 1).tolist(), strict=True):
             spans[d].add((s - int(bases[d]), s - int(bases[d]) + len(phrase)))
             items[d].update(of)
-    for rare, of in near:
-        if not all(t in postings for t in rare):
+    for rare, need, of in near:
+        # Of any ``need`` of the terms at least one is among these anchors.
+        standing = [postings[r] for r in rare if r in postings]
+        if len(standing) < need:
             continue
-        at = postings[rare[0]]
-        for t in rare[1:]:
-            there = postings[t]
-            at = at[np.searchsorted(there, at + SLOP, "right") > np.searchsorted(there, at - SLOP)]
-        for d in set((np.searchsorted(bases, at, "right") - 1).tolist()):
-            close[d].update(of)
+        for r in rare[: len(rare) - need + 1]:
+            if r not in postings:
+                continue
+            at = postings[r]
+            beside = np.zeros(len(at), np.int64)
+            for there in standing:
+                beside += np.searchsorted(there, at + SLOP, "right") > np.searchsorted(there, at - SLOP)
+            for d in set((np.searchsorted(bases, at[beside >= need], "right") - 1).tolist()):
+                close[d].update(of)
     rows = [
         {"row_key": k, "doc_id": i, "n_words": n, "hits": [{"start": a, "end": b} for a, b in _merged(s)], "items": sorted(t), "near_items": sorted(c)}
         for k, i, n, s, t, c in zip(segment["row_keys"], segment["doc_ids"], segment["n_words"], spans, items, close, strict=True)
@@ -185,7 +212,7 @@ def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, list[bytes]]]]:
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The query set in blocks of bounded size. Items without an id or without words match nothing."""
     block, size = [], 0
     items = benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from gradus.llm import decontamination as d
@@ -72,3 +73,25 @@ def test_drop_keeps_clean_rows_and_columns(spark):
     kept = d.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["2", "3", "4", "5", "5", "6", "9"])
+
+
+def test_exact_and_lightly_edited_copies_are_near(spark):
+    rnd = random.Random(3)
+    common = [f"c{i}" for i in range(40)]
+    items = [[rnd.choice(common) if rnd.random() < 0.6 else f"r{rnd.randrange(4000)}" for _ in range(rnd.randrange(15, 60))] for _ in range(120)]
+    rows, edits = [], {}
+    for i, ws in enumerate(items):
+        altered, longer, shorter, unseen = (list(ws) for _ in range(4))
+        for k in rnd.sample(range(len(ws)), 2):
+            altered[k] = "c0"
+            unseen[k] = f"unseen{i}"
+        longer[5:5], shorter[4:6] = ["c1", "c2"], []
+        # The item that the corpus only has edited: its words at two places are in no document.
+        for j, copy in enumerate([ws, altered, longer, shorter] if i % 2 else [unseen, altered]):
+            edits[1000 * j + i] = i
+            rows.append((1000 * j + i, " ".join(["start", *copy, "end"]), "en", "x"))
+    rows += [(90_000 + i, " ".join(rnd.choices(common, k=50)), "en", "x") for i in range(50)]
+    docs = spark.createDataFrame(rows, DOCS)
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r.near_items for r in d.find_contamination(docs, bench).collect()}
+    assert [k for k, i in edits.items() if str(i) not in got[k]] == []
