@@ -213,9 +213,9 @@ def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """The query set in blocks of bounded size. Items without an id or without words match nothing."""
+    """The query set in blocks of bounded size. Items without words match nothing; those without an id hit, but are not listed."""
     block, size = [], 0
-    items = benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null")
     for item, text in items.toLocalIterator():
         if ws := words(text.encode()):
             block.append((item, ws))

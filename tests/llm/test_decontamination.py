@@ -95,3 +95,9 @@ def test_exact_and_lightly_edited_copies_are_near(spark):
     bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)], "item_id long, text string")
     got = {r.doc_id: r.near_items for r in d.find_contamination(docs, bench).collect()}
     assert [k for k, i in edits.items() if str(i) not in got[k]] == []
+
+
+def test_items_without_id_hit_but_are_not_listed(spark):
+    _, _, got = result(spark, ROWS, [(None, ITEM)])
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows[1].contaminated and rows[1].n_hit == 24 and rows[1].n_items == 0 and rows[1].n_near == 0 and not rows[9].contaminated
