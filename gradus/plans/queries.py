@@ -706,5 +706,5 @@ def threshold_search(spark, d):
 @query()
 def metadata_forest(spark, d):
     rows = table(spark, d, "part").withColumns({"grade": (F.col("p_size") % 5).cast("int"), "fold": (F.col("p_partkey") % 5).cast("int")})
-    counted = stats.metadata_forest(rows, ["p_size", "p_retailprice"], "grade", "fold", trees=20)
+    counted = stats.metadata_forest(rows, ["p_size", "p_retailprice"], "grade", "fold")
     return metrics.grade_metrics(counted)

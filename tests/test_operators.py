@@ -207,3 +207,12 @@ def test_rules_count_nulls_as_broken(spark):
     assert checks.violations(df, {"g": checks.is_grade("g")}).first().g == 2
     with pytest.raises(checks.ContractError):
         checks.require(df.limit(0), {"g": checks.is_grade("g")})
+
+
+def test_registered_forest_has_the_reference_number_of_trees():
+    import inspect
+
+    from gradus.operators import stats as operator
+    from gradus.plans import queries
+
+    assert "trees" not in inspect.getsource(queries.metadata_forest) and inspect.signature(operator.metadata_forest).parameters["trees"].default == 200
