@@ -13,6 +13,7 @@ that only counts of bins are gathered. All of it is DataFrame expressions.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ _CODE = "A-Za-z0-9+/_-"
 #: A whole run of code characters with a letter and a digit, 20 or longer.
 CANDIDATE = rf"(?<![{_CODE}])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[{_CODE}]{{20,}}+"
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+CODE = UPPER + LOWER + DIGITS + "+/-_"
 #: Pattern and alphabet.
 ENCODINGS = (
     (r"^[0-9a-f]+$", "0123456789abcdef"), (r"^[0-9A-F]+$", "0123456789ABCDEF"), (r"^[A-Z2-7]+$", UPPER + "234567"),
@@ -79,40 +81,46 @@ CLASSES = (32, 48, 64, 128)
 BINS, LEAST = 20, 1e-30
 
 
-def _places(text: Column, pattern: str) -> Column:
-    """(start, end, value) of all matches in code points, by what the text between them takes; value is ``pattern``'s group 1 or all."""
-    group = 1 if pattern == ASSIGN else 0
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+def running(steps: Column, first: Column, combine: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """What ``combine`` makes of ``first`` and all elements before each one, as sums or maxima do.
+
+    Appending to an array copies it. So blocks are combined on their own first, and their elements then start from their block's value.
+    """
+    grown = lambda xs, start: F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+
+    def whole(blocks: Column) -> Column:
+        ends = grown(F.transform(blocks, lambda b: F.aggregate(F.slice(b, 2, block), F.get(b, F.lit(0)), combine)), first)
+        return let(ends, lambda e: F.flatten(F.transform(blocks, lambda b, i: F.slice(grown(b, F.get(e, i)), 1, F.size(b)))))
+
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda i: F.slice(xs, i * block + 1, block))
+    return let(steps, lambda xs: F.when(F.size(xs) > 0, let(cut(xs), whole)).otherwise(F.slice(xs, 1, 0)))
+
+
+def _places(text: Column, pattern: str, group: int = 0, keep: bool = False) -> Column:
+    """(start, end, size) of all matches in code points, by what the text between them takes; size is ``group``'s, and ``keep`` adds the match as value."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    if group:
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        found = F.transform(F.arrays_zip(found.alias("all"), values.alias("value")), lambda m: F.struct(F.length(m["all"]).alias("n"), m["value"].alias("value")))
-    else:
-        found = F.transform(found, lambda m: F.struct(F.length(m).alias("n"), m.alias("value")))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        hit = F.struct(start.alias("start"), (start + x["m"]["n"]).alias("end"), x["m"]["value"].alias("value"))
-        return F.struct((start + x["m"]["n"]).alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m)) if group else F.transform(found, lambda m: F.length(m))
+    matches = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gap"), found.alias("value"), sizes.alias("size"))
 
     def placed(ms: Column) -> Column:
-        both = F.zip_with(ms, F.slice(gaps, 1, F.size(ms)), lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
-        first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-        return F.when(F.size(ms) > 0, F.aggregate(both, first, step, lambda acc: acc["out"])).otherwise(empty)
+        start = lambda m, at: at + m["gap"]
+        value = lambda m: [m["value"].alias("value")] if keep else []
+        hit = lambda m, at: F.struct(start(m, at).alias("start"), (start(m, at) + F.length(m["value"])).alias("end"), m["size"].alias("size"), *value(m))
+        steps = F.transform(ms, lambda m: m["gap"] + F.length(m["value"]))
+        return F.zip_with(ms, running(steps, F.lit(0), lambda x, y: x + y), hit)
 
-    return let(found, placed)
+    return let(F.filter(matches, lambda m: m["value"].isNotNull()), placed)
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, assign, access, hex, candidates): arrays of (start, end, value) in each text; a null text is empty."""
+    """(row_key, doc_id, assign, access, hex, candidates): arrays of (start, end, size) in each text; candidates have a value too. A null text is empty."""
     rows = docs.select(row_key("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
     # Runs of hex digits and of capitals and digits match from their start or not at all, so the least length can stand in the pattern.
     return rows.select(
-        "row_key", "doc_id", F.filter(_places(text, ASSIGN), lambda m: F.length(m["value"]) >= MIN_ASSIGN).alias("assign"),
+        "row_key", "doc_id", F.filter(_places(text, ASSIGN, 1), lambda m: m["size"] >= MIN_ASSIGN).alias("assign"),
         _places(text, ACCESS[:-1] + f"{{{MIN_ACCESS - 4},}}").alias("access"), _places(text, HEX[:-1] + f"{{{MIN_HEX},}}").alias("hex"),
-        _places(text, CANDIDATE).alias("candidates"),
+        _places(text, CANDIDATE, keep=True).alias("candidates"),
     )
 
 
@@ -147,51 +155,72 @@ def _table(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{v:.5f}" for v in values)), ",").cast("array<double>")
 
 
-def text_p(value: Column, encoding: Column, k: Column) -> Column:
+def text_p(codes: Column, encoding: Column, n: Column, k: Column) -> Column:
     """The likelihood ratio of text to random characters, 1 at most. Text has a ratio of p or less with a chance of p at most (Markov)."""
     kinds, letters = (_table(x) for x in _text_costs())
-    places = F.transform(F.split(value, ""), lambda c: F.call_function("locate", c, F.lit(UPPER + LOWER + DIGITS + "+/-_")) - 1)
     kind = lambda x: F.when(x.isNull(), 4).when(x < 26, 0).when(x < 52, 1).when(x < 62, 2).otherwise(3)
     before = lambda x: F.when(x < 52, x % 26).otherwise(26)
     hex_from = F.when(encoding < 2, 27 * 26).otherwise(0)
 
-    def cost(xs: Column, x: Column, i: Column) -> Column:
-        last = F.get(xs, i - 1)
+    def cost(x: Column, last: Column) -> Column:
         letter = F.when(x < 52, F.get(letters, hex_from + before(last) * 26 + x % 26)).otherwise(0.0)
         return F.get(kinds, encoding * 20 + kind(last) * 4 + kind(x)) + letter
 
-    costs = lambda xs: F.transform(xs, lambda x, i: cost(xs, x, i))
-    surprise = let(F.filter(places, lambda x: x >= 0), lambda xs: F.aggregate(costs(xs), F.lit(0.0), lambda a, c: a + c))
-    return F.least(F.exp(F.length(value) * F.log(k) - surprise), F.lit(1.0))
+    costs = F.zip_with(codes, F.slice(F.concat(F.array(F.lit(None).cast("int")), codes), 1, F.size(codes)), cost)
+    return F.least(F.exp(n * F.log(k) - F.aggregate(costs, F.lit(0.0), lambda a, c: a + c)), F.lit(1.0))
+
+
+def coded(candidates: DataFrame) -> DataFrame:
+    """``candidates`` (with value) with columns n, encoding, k, codes and places: each character's index in all code characters and in its encoding's."""
+    encoding = F.coalesce(*[F.when(F.col("value").rlike(pattern), F.lit(i)) for i, (pattern, _) in enumerate(ENCODINGS)])
+    alphabets = F.array(*[F.lit(a) for _, a in ENCODINGS])
+    rows = candidates.withColumns({"encoding": encoding, "n": F.length("value").cast("double")}).withColumn("_alphabet", F.get(alphabets, F.col("encoding")))
+    chars = F.filter(F.split("value", ""), lambda c: c != "")
+    at = lambda c, of: (F.call_function("locate", c, of) - 1).cast("int")
+    indices = {"codes": F.transform(chars, lambda c: at(c, F.lit(CODE))), "places": F.transform(chars, lambda c: at(c, F.col("_alphabet")))}
+    return rows.withColumns({"k": F.length("_alphabet").cast("double"), **indices}).drop("_alphabet")
+
+
+def square_counts(places: Column, n: Column) -> Column:
+    """The sum of the squared counts of the values: equal ones stand side by side once sorted."""
+    firsts = lambda xs: F.filter(F.transform(xs, lambda x, i: F.when(F.coalesce(F.get(xs, i - 1) != x, F.lit(True)), i)), lambda i: i.isNotNull())
+    times = lambda at: F.transform(at, lambda i, j: F.coalesce(F.get(at, j + 1), n) - i)
+    return F.aggregate(let(let(F.sort_array(places), firsts), times), F.lit(0.0), lambda a, c: a + c * c)
 
 
 def battery(candidates: DataFrame) -> DataFrame:
-    """``candidates`` (with value, not empty) with columns k, n, p_chi, p_runs, p_serial, p_text, random."""
-    pick = lambda at: F.coalesce(*[F.when(F.col("value").rlike(e[0]), F.lit(e[at])) for e in ENCODINGS])
-    rows = candidates.withColumns({"_alphabet": pick(1), "_encoding": F.coalesce(*[F.when(F.col("value").rlike(e[0]), F.lit(i)) for i, e in enumerate(ENCODINGS)]), "n": F.length("value").cast("double")})
-    counts = F.transform(F.sequence(F.lit(1), F.length("_alphabet")), lambda i: (F.length("value") - F.length(F.replace("value", F.substr("_alphabet", i, F.lit(1)), F.lit("")))).cast("double"))
-    index = F.transform(F.split("value", ""), lambda c: F.call_function("locate", c, F.col("_alphabet")).cast("double") - 1)
-    rows = rows.withColumns({"k": F.length("_alphabet").cast("double"), "_counts": counts, "_x": F.filter(index, lambda x: x >= 0)})
-    rows = rows.withColumn("_squares", F.aggregate("_counts", F.lit(0.0), lambda a, c: a + c * c))
-    df, n, k = F.col("k") - 1, F.col("n"), F.col("k")
-    chi = k / n * F.col("_squares") - n
-    rows = rows.withColumn("p_chi", upper_tail((F.cbrt(F.greatest(chi, F.lit(0.0)) / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))))
-    high = F.transform("_x", lambda x: x >= F.col("k") / 2)
+    """``candidates`` (with value, not empty) with columns encoding, n, k, p_chi, p_runs, p_serial, p_text, random."""
+    # Written step by step: a plan that holds all steps names every column's formula at each of its uses.
+    return _tests(written(coded(candidates), "coded"))
+
+
+def _tests(coded: DataFrame) -> DataFrame:
+    n, k, df, x = F.col("n"), F.col("k"), F.col("k") - 1, F.col("places")
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
+    high = lambda v: F.when(v * 2 >= k, 1).otherwise(0)
+    changes = F.zip_with(F.slice(x, 2, F.size(x)), F.slice(x, 1, F.size(x) - 1), lambda a, b: F.when(high(a) != high(b), 1).otherwise(0))
+    rows = coded.withColumns({"_squares": square_counts(x, n), "_mean": total(x) / n, "_high": total(F.transform(x, high)), "_runs": 1 + total(changes)})
+    rows = rows.withColumn("_off", F.transform("places", lambda v: v - F.col("_mean")))
+    off = F.col("_off")
     rows = rows.withColumns({
-        "_high": F.size(F.filter(high, lambda b: b)).cast("double"),
-        "_runs": let(high, lambda h: (1 + F.size(F.filter(F.transform(h, lambda b, i: F.get(h, i - 1) != b), lambda c: c))).cast("double")),
-        "_mean": F.aggregate("_x", F.lit(0.0), lambda a, x: a + x) / n,
+        "_spread": total(F.transform(off, lambda v: v * v)),
+        "_near": total(F.zip_with(F.slice(off, 2, F.size(off)), F.slice(off, 1, F.size(off) - 1), lambda a, b: a * b)),
     })
     a, b = F.col("_high"), n - F.col("_high")
-    expected = 2 * a * b / n + 1
-    variance = (expected - 1) * (expected - 2) / (n - 1)
-    rows = rows.withColumn("p_runs", F.when(variance > 0, 2 * upper_tail(F.abs(F.col("_runs") - expected) / F.sqrt(variance))).otherwise(0.0))
-    spread = F.aggregate("_x", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean")))
-    near = F.aggregate(F.transform("_x", lambda x, i: (x - F.col("_mean")) * (F.coalesce(F.get("_x", i + 1), F.col("_mean")) - F.col("_mean"))), F.lit(0.0), lambda s, x: s + x)
-    rows = rows.withColumn("_spread", spread).withColumn("p_serial", F.when(F.col("_spread") > 0, 2 * upper_tail(F.abs(near / F.col("_spread")) * F.sqrt(n))).otherwise(0.0))
-    rows = rows.withColumn("p_text", text_p(F.col("value"), F.col("_encoding"), k))
+    rows = rows.withColumn("_expected", 2 * a * b / n + 1)
+    expected = F.col("_expected")
+    rows = rows.withColumns({"_variance": (expected - 1) * (expected - 2) / (n - 1), "_chi": F.greatest(k / n * F.col("_squares") - n, F.lit(0.0))})
+    z = {
+        "_z_chi": (F.cbrt(F.col("_chi") / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)), "_z_runs": F.abs(F.col("_runs") - expected) / F.sqrt("_variance"),
+        "_z_serial": F.abs(F.col("_near") / F.col("_spread")) * F.sqrt(n),
+    }
+    rows = rows.withColumns({name: F.when(ok, v) for (name, v), ok in zip(z.items(), (df > 0, F.col("_variance") > 0, F.col("_spread") > 0), strict=True)})
+    rows = rows.withColumns({
+        "p_chi": F.coalesce(upper_tail(F.col("_z_chi")), F.lit(0.0)), "p_runs": F.coalesce(2 * upper_tail(F.col("_z_runs")), F.lit(0.0)),
+        "p_serial": F.coalesce(2 * upper_tail(F.col("_z_serial")), F.lit(0.0)), "p_text": text_p(F.col("codes"), F.col("encoding"), n, k),
+    })
     rows = rows.withColumn("random", F.least("p_chi", "p_runs", "p_serial") * 3 >= REJECT)
-    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
+    return rows.drop("codes", "places", *[c for c in rows.columns if c.startswith("_")])
 
 
 def discoveries(tested: DataFrame, rate: float = RATE) -> DataFrame:
@@ -207,21 +236,43 @@ def discoveries(tested: DataFrame, rate: float = RATE) -> DataFrame:
     return binned.join(F.broadcast(thresholds), "class").where(F.col("random") & (F.col("bin") >= F.col("least_bin")))
 
 
+def _clear(base: Column, candidates: Column) -> Column:
+    """The ``candidates`` that overlap none of ``base``, by the furthest end before each and the nearest start after it."""
+    event = lambda kind: lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"))
+    events = F.sort_array(F.concat(F.transform(base, event(0)), F.transform(candidates, event(1))))
+
+    def apart(xs: Column) -> Column:
+        ends = running(F.transform(xs, lambda x: F.when(x["kind"] == 0, x["end"]).otherwise(0)), F.lit(0), lambda p, q: F.greatest(p, q))
+        after = F.transform(F.reverse(xs), lambda x: F.when(x["kind"] == 0, x["start"]).otherwise(_FAR))
+        starts = F.reverse(running(after, F.lit(_FAR), lambda p, q: F.least(p, q)))
+        placed = F.arrays_zip(xs.alias("x"), ends.alias("before"), starts.alias("after"))
+        return F.transform(F.filter(placed, lambda m: (m["x"]["kind"] == 1) & (m["before"] <= m["x"]["start"]) & (m["after"] >= m["x"]["end"])), lambda m: m["x"]["start"])
+
+    return F.when((F.size(base) > 0) & (F.size(candidates) > 0), let(events, apart)).otherwise(F.transform(candidates, lambda c: c["start"]))
+
+
+_FAR = (1 << 31) - 1
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts of the fixed patterns and all spans (kind, start, end) in order.
 
-    A random span that overlaps one of a fixed pattern is left out. A null or empty text has no spans. Repeated rows give
-    repeated rows; each counts in the false-discovery control. Spans go by start, then by kind as in KINDS.
+    A random span that overlaps one of a fixed pattern is left out. A null or empty text has no spans; an empty table has no
+    rows. Long texts take time in proportion to their length. Repeated rows give repeated rows; each counts in the
+    false-discovery control. Spans go by start, then by kind as in KINDS.
     """
-    found = written(find_spans(docs), "spans")
-    tested = battery(found.select("row_key", F.explode("candidates").alias("c")).select("row_key", "c.start", "c.end", "c.value"))
-    tested = written(tested, "candidates")  # else a filter of the tests' outcome repeats them
-    claims = discoveries(tested).groupBy("row_key").agg(F.collect_set(F.struct("start", "end")).alias("claims"))
     kinded = lambda name, order: F.transform(name, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("kind"), m["end"].alias("end")))
-    base = F.sort_array(F.concat(*[kinded(name, i) for i, name in enumerate(KINDS[:3])]))
-    rows = found.select("row_key", "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], base.alias("base")).join(claims, "row_key", "left")
-    clear = F.filter(F.coalesce("claims", F.array().cast("array<struct<start:int,end:int>>")), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return rows.withColumn("spans", F.sort_array(F.concat("base", F.transform(clear, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))))).drop("claims")
+    found = written(find_spans(docs), "spans")
+    base = found.withColumn("base", F.sort_array(F.concat(*[kinded(name, i) for i, name in enumerate(KINDS[:3])])))
+    several = base.where(F.size("candidates") > 0).withColumn("clear", _clear(F.col("base"), F.col("candidates")))
+    each = several.select("row_key", "clear", F.explode("candidates").alias("c"))
+    each = each.select("row_key", "c.start", "c.end", "c.value", F.array_contains("clear", F.col("c.start")).alias("clear"))
+    each = each.repartition("row_key", "start")  # one long text may hold most of them
+    tested = written(battery(each), "candidates")
+    claims = discoveries(tested).where("clear").groupBy("row_key").agg(F.collect_set(F.struct("start", F.lit(3).alias("kind"), "end")).alias("claims"))
+    claims = written(claims, "claims")  # a small table, whose size the planner then knows
+    rows = base.select("row_key", "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], "base").join(claims, "row_key", "left")
+    return rows.withColumn("spans", F.when(F.col("claims").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "claims")))).drop("claims")
 
 
 def listed(spans: str) -> Column:
@@ -234,22 +285,49 @@ def secrets_digest(docs: DataFrame) -> DataFrame:
     return scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def _merged(spans: Column) -> Column:
+    """(start, end) of each group of overlapping or touching ``spans``, which are sorted by start."""
+
+    def groups(xs: Column) -> Column:
+        reach = running(F.transform(xs, lambda x: x["end"]), F.lit(-1), lambda p, q: F.greatest(p, q))
+        first = F.filter(F.arrays_zip(xs["start"].alias("start"), reach.alias("before")), lambda m: m["start"] > m["before"])
+        return let(first, lambda f: F.transform(f, lambda m, i: F.struct(m["start"].alias("start"), F.coalesce(F.get(f, i + 1)["before"], F.array_max(xs["end"])).alias("end"))))
+
+    return let(spans, groups)
+
+
+def _masked(text: Column, groups: Column, mask: str, block: int = 256) -> Column:
+    """``text`` with ``mask`` for each of ``groups``. A place is found from the text's start, so blocks of groups are cut out first."""
+    ends = F.concat(F.array(F.lit(0)), groups["end"])
+    kept = F.arrays_zip(ends.alias("from"), F.concat(groups["start"], F.array(F.length(text))).alias("to"))  # the text between groups
+
+    def blocks(ks: Column) -> Column:
+        number = F.floor((F.size(ks) - 1) / block).cast("int")
+        part = lambda i: F.slice(ks, i * block + 1, block)
+
+        def cut(of: Column) -> Column:
+            at = F.get(of, F.lit(0))["from"]
+            inside = lambda whole: F.array_join(F.transform(of, lambda k: F.substr(whole, k["from"] - at + 1, k["to"] - k["from"])), mask)
+            return let(F.substr(text, at + 1, F.element_at(of, -1)["to"] - at), inside)
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), number), lambda i: let(part(i), cut)), mask)
+
+    return let(kept, blocks)
+
+
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each span, or group of overlapping spans, replaced by ``mask``; all rows and columns stay, n_chars follows."""
-    key, spans = "_gradus_key", "_gradus_spans"
-    found = scan(docs).where(F.size("spans") > 0).select(F.col("row_key").alias(key), F.col("spans").alias(spans)).distinct()
-    joined = docs.withColumn(key, row_key("doc_id", "text")).join(found, key, "left")
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substr("text", acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(fresh & ((s["start"] > acc["at"]) | (acc["at"] == 0)), F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    masked = F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1)))
-    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(masked)
-    out = joined.withColumn("text", text)
+    """``docs`` with each span, or group of overlapping or touching spans, replaced by ``mask``; all rows and columns stay, n_chars follows.
+
+    Null texts stay null; texts without spans and an empty table stay as they are; repeated rows stay repeated.
+    """
+    key, doc, spans = "_gradus_key", "_gradus_doc", "_gradus_spans"
+    found = scan(docs).where(F.size("spans") > 0).select(F.col("row_key").alias(key), F.col("doc_id").alias(doc), _merged(F.col("spans")).alias(spans))
+    found = written(found.dropDuplicates([key, doc]), "masks")
+    mine = docs.withColumn(key, row_key("doc_id", "text"))
+    joined = mine.join(found, (mine[key] == found[key]) & F.col("doc_id").cast("long").eqNullSafe(found[doc]), "left").drop(found[key])
+    changed = F.col(spans).isNotNull()
+    new = {"text": F.when(changed, _masked(F.col("text"), F.col(spans), mask)).otherwise(F.col("text"))}
+    out = joined.withColumns(new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
