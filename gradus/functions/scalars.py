@@ -97,6 +97,16 @@ def geometry(width: Column, height: Column, size_bytes: Column) -> dict[str, Col
     return {"megapixels": F.bround(w * h / 1e6, 3), "aspect_ratio": F.bround(w / h, 4), "file_kb": F.bround(size_bytes.cast("double") / 1024, 1)}
 
 
+def crop_saving(width: Column, height: Column, crop_width: Column, crop_height: Column) -> Column:
+    """The share of the pixels that a crop leaves out."""
+    return 1 - ratio(crop_width.cast("long") * crop_height, width.cast("long") * height)
+
+
+def shown(x: Column, digits: int = 3) -> Column:
+    """A number as text, N/A where it is undefined."""
+    return F.when(finite(x), F.format_string(f"%.{digits}f", x)).otherwise("N/A")
+
+
 def mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(values)
 

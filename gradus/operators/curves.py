@@ -1,14 +1,15 @@
-"""Curves of a score against a binary truth. Rows are first counted by distinct score, so ordered windows run on those counts."""
+"""Curves of a score against a binary truth. Rows are first counted by distinct score; running sums go over ranges of scores."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.functions.scalars import odds, ratio
+from gradus.functions.scalars import odds, ratio, sigmoid
+from gradus.operators.ranges import running
 
 
 def score_counts(df: DataFrame, y: Column, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -16,50 +17,45 @@ def score_counts(df: DataFrame, y: Column, score: str, by: Sequence[str] = ()) -
     return df.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
 
 
-def _by(by: Sequence[str]) -> list:
-    return list(by) or [F.lit(0)]
-
-
 def roc_points(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, score, tp, fp, tpr, fpr, pos_all, neg_all) at each distinct score, by descending score; rates are null for an absent class."""
-    down = Window.partitionBy(*_by(by)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*_by(by))
-    rows = counts.select(*by, "score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("pos_all"), F.sum("neg").over(whole).alias("neg_all"))
+    """(by, score, tp, fp, tpr, fpr, pos_all, neg_all, corner) at each distinct score, by descending score; rates are null for an absent class.
+
+    ``corner`` marks the first and last point and those between which the curve bends: the next score adds other counts.
+    """
+    rows = running(counts, "score", ["pos", "neg"], by, descending=True, ahead=["pos", "neg"])
+    first, last = F.col("pos_before") + F.col("neg_before") == 0, F.col("pos_next").isNull()
+    bends = (F.col("pos_next") != F.col("pos")) | (F.col("neg_next") != F.col("neg"))
+    rows = rows.select(
+        *by, "score", (F.col("pos_before") + F.col("pos")).alias("tp"), (F.col("neg_before") + F.col("neg")).alias("fp"), "pos_all", "neg_all", (first | last | bends).alias("corner")
+    )
     return rows.withColumns({"tpr": ratio(F.col("tp"), F.col("pos_all")), "fpr": ratio(F.col("fp"), F.col("neg_all"))})
 
 
-def roc_corners(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def roc_corners(points: DataFrame) -> DataFrame:
     """The first and last point and those between which the curve bends; all of them where a group has at most two."""
-    w = Window.partitionBy(*_by(by)).orderBy(F.desc("score"))
-    second = lambda c: F.lead(c).over(w) - 2 * F.col(c) + F.lag(c).over(w)
-    bent = points.withColumns({"bend_tp": second("tp"), "bend_fp": second("fp")})
-    # Ends have no second difference, and stay.
-    kept = F.col("bend_tp").isNull() | (F.col("bend_tp") != 0) | (F.col("bend_fp") != 0)
-    return bent.where(kept).drop("bend_tp", "bend_fp")
+    return points.where("corner").drop("corner")
 
 
-def auc(counts: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+def auc(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, auc): the chance that a positive outscores a negative, ties half; null for an absent class."""
-    up = Window.partitionBy(*_by(by)).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(up), F.lit(0))
-    wins = counts.select(*by, "pos", "neg", (F.col("pos").cast("double") * (below + F.col("neg") / F.lit(2.0))).alias("wins"))
-    return wins.groupBy(*by).agg(ratio(F.sum("wins"), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+    rows = running(counts, "score", ["neg"], by)
+    wins = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / F.lit(2.0))
+    return rows.groupBy(*by).agg(ratio(F.sum(wins), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
 def average_precision(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, average_precision): the sum of precision times the step of recall, by descending score."""
-    points = roc_points(counts, by)
-    w = Window.partitionBy(*_by(by)).orderBy(F.desc("score"))
-    step = F.col("tpr") - F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
-    rows = points.select(*by, (step * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("part"))
-    return rows.groupBy(*by).agg(F.sum("part").alias("average_precision"))
+    rows = running(counts, "score", ["pos", "neg"], by, descending=True)
+    tp, fp = F.col("pos_before") + F.col("pos"), F.col("neg_before") + F.col("neg")
+    part = ratio(F.col("pos"), F.col("pos_all")) * ratio(tp, tp + fp)
+    return rows.groupBy(*by).agg(F.sum(part).alias("average_precision"))
 
 
 def operating_point(counts: DataFrame, by: Sequence[str] = (), min_sensitivity: float = 0.9) -> DataFrame:
     """(by, cut, sensitivity, specificity): the highest corner of the curve whose sensitivity reaches the bar."""
     if not 0 < min_sensitivity <= 1:
-        raise ValueError("min_sensitivity must lie in (0, 1]")
-    able = roc_corners(roc_points(counts, by), by).where(F.col("tpr") >= min_sensitivity)
+        raise ValueError(f"no sensitivity can be {min_sensitivity}: it is above 0 and at most 1")
+    able = roc_corners(roc_points(counts, by)).where(F.col("tpr") >= min_sensitivity)
     best = able.groupBy(*by).agg(F.max_by(F.struct("score", "tpr", "fpr"), "score").alias("x"))
     return best.select(*by, F.col("x.score").alias("cut"), F.col("x.tpr").alias("sensitivity"), (1 - F.col("x.fpr")).alias("specificity"))
 
@@ -76,10 +72,14 @@ def bin_edges(bins: int = 10) -> list[float]:
     return [float(e) for e in np.linspace(0, 1, bins + 1)]
 
 
+def in_bin(p: Column, bins: int = 10) -> Column:
+    """The bin of a probability: the number of inner edges below it."""
+    return F.size(F.filter(F.array(*[F.lit(e) for e in bin_edges(bins)[1:-1]]), lambda e: p > e))
+
+
 def reliability(df: DataFrame, y: Column, prob: str, by: Sequence[str] = (), bins: int = 10) -> DataFrame:
     """(by, bin, n, mean_predicted, observed, gap): bins (low, high], the first closed; empty ones are left out."""
-    inner = F.array(*[F.lit(e) for e in bin_edges(bins)[1:-1]])
-    rows = df.select(*by, F.col(prob).alias("p"), y.cast("double").alias("y"), F.size(F.filter(inner, lambda e: F.col(prob) > e)).alias("bin"))
+    rows = df.select(*by, F.col(prob).alias("p"), y.cast("double").alias("y"), in_bin(F.col(prob), bins).alias("bin"))
     return rows.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_predicted"), F.avg("y").alias("observed")).withColumn("gap", F.col("observed") - F.col("mean_predicted"))
 
 
@@ -112,6 +112,25 @@ def calibration_in_the_large(df: DataFrame, y: Column, prob: str, by: Sequence[s
     return df.groupBy(*by).agg((F.avg(y.cast("double")) - F.avg(prob)).alias("observed_minus_predicted"))
 
 
+def calibrated_transfer(df: DataFrame, y: Column, score: str, by: str, base: tuple[float, float], fitted: DataFrame, bins: int = 10) -> DataFrame:
+    """(fitted_on, applied_to, ece_base, ece_refitted): each site's calibrator (``fitted``: by, slope, intercept) on every other site.
+
+    ``base`` is the slope and intercept of the calibrator in use. Scores are counted first, so sites meet counts, not rows.
+    """
+    counts = score_counts(df, y, score, [by]).withColumnRenamed(by, "applied_to")
+    # A row for each site.
+    pairs = counts.join(F.broadcast(fitted.withColumnRenamed(by, "fitted_on")), F.col("applied_to") != F.col("fitted_on"))
+    keys = ["fitted_on", "applied_to"]
+
+    def error(p: Column, name: str) -> DataFrame:
+        rows = pairs.withColumns({"_p": p, "_bin": in_bin(p, bins), "_n": F.col("pos") + F.col("neg")})
+        per = rows.groupBy(*keys, "_bin").agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_p")).alias("said"), F.sum("pos").alias("seen"))
+        return per.groupBy(*keys).agg((F.sum(F.abs(F.col("seen") - F.col("said"))) / F.sum("n")).alias(name))
+
+    refitted = error(sigmoid(F.col("slope") * F.col("score") + F.col("intercept")), "ece_refitted")
+    return error(sigmoid(F.lit(base[0]) * F.col("score") + F.lit(base[1])), "ece_base").join(refitted, keys)
+
+
 def site_transfer(df: DataFrame, y: Column, score: str, by: str, min_sensitivity: float = 0.9) -> DataFrame:
     """(fitted_on, applied_to, cut, sensitivity, specificity): each site's cut on every other site's rows.
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradus.functions.scalars import stem
 from gradus.operators.checks import ContractError, require_unique
 
 
@@ -65,3 +67,29 @@ def correspondence(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     a, b = left.select(key).distinct().withColumn("_l", F.lit(1)), right.select(key).distinct().withColumn("_r", F.lit(1))
     both = a.join(b, key, "full_outer")
     return both.agg(F.count_if(F.col("_l").isNotNull() & F.col("_r").isNotNull()).alias("both"), F.count_if(F.col("_r").isNull()).alias("left_only"), F.count_if(F.col("_l").isNull()).alias("right_only"))
+
+
+def aligned(rows: DataFrame, reference: DataFrame, key: str, place: str, columns: Sequence[str]) -> DataFrame:
+    """One row: ids on one side only, matched rows whose ``place`` differs, and those in which each of ``columns`` differs."""
+    found = reconcile(rows, reference, key, [place, *columns]).withColumnRenamed(f"{place}_differs", "moved")
+    return found.withColumn("aligned", reduce(Column.__and__, [F.col(c) == 0 for c in found.columns if c != "matched"]))
+
+
+def align_stems(rows: DataFrame, files: DataFrame, name: str, file: str) -> DataFrame:
+    """``rows`` with ``name`` replaced by the file of the same stem, whatever its suffix and folder; ambiguous or absent stems raise."""
+    known = files.select(stem(F.col(file)).alias("_stem"), F.col(file).alias("_file"))
+    mine = rows.withColumn("_stem", stem(F.col(name)))
+    require_unique(known.join(mine.select("_stem").distinct(), "_stem", "left_semi"), "_stem")
+    out = mine.join(known, "_stem", "left")
+    missing = [r[0] for r in out.where(F.col("_file").isNull()).select(name).limit(5).collect()]
+    if missing:
+        raise ContractError(f"no file for {missing}")
+    return out.withColumn(name, F.col("_file")).drop("_stem", "_file")
+
+
+def lookups(rows: DataFrame, key: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """Adds a column of each of ``tables`` (key, column; unique keys) where it knows the key, else null; the planner broadcasts small ones."""
+    for column, known in tables.items():
+        require_unique(known, key)
+        rows = rows.join(known.select(key, column), key, "left")
+    return rows

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.functions.scalars import REFERABLE_FROM, ratio
+from gradus.functions.scalars import REFERABLE_FROM, ratio, wilson
+from gradus.operators.curves import auc, score_counts
+from gradus.operators.ranges import median
 
 GRADES = range(5)
 
@@ -135,3 +137,51 @@ def class_weights(counted: DataFrame) -> DataFrame:
     total = per.agg(F.sum("n").alias("total"))
     # One row of totals beside five grades.
     return grid.join(per, "grade", "left").crossJoin(F.broadcast(total)).select("grade", F.coalesce(F.try_divide(F.col("total").cast("double"), 5 * F.col("n")), F.lit(0.0)).alias("weight"))
+
+
+def grade_counts(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, true_0..4, pred_0..4, healthy, healthy_referred): distributions of truth and prediction, and the slice of grade 0."""
+    sums = [_sum(F.col(c) == g).alias(f"{name}_{g}") for c, name in (("t", "true"), ("p", "pred")) for g in GRADES]
+    healthy = F.col("t") == 0
+    return counted.groupBy(*by).agg(*sums, _sum(healthy).alias("healthy"), _sum(healthy & (F.col("p") >= REFERABLE_FROM)).alias("healthy_referred"))
+
+
+def cohort_summary(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, referable, missed, severe_total, severe_missed, sensitivity, specificity and their Wilson limits) of the rule grade >= 2."""
+    c = referable_confusion(counted, by).select(*by, "tp", "fp", "tn", "fn", "sensitivity", "specificity")
+    low_high = lambda k, n, name: [wilson(k, n)[side].alias(f"{name}_{side}") for side in ("low", "high")]
+    tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
+    rows = c.select(*by, (tp + fp + tn + fn).alias("n"), (tp + fn).alias("referable"), fn.alias("missed"), "sensitivity", "specificity", *low_high(tp, tp + fn, "sensitivity"), *low_high(tn, tn + fp, "specificity"))
+    severe = costly_errors(counted, by)
+    return rows.join(severe, list(by)) if by else rows.crossJoin(severe)
+
+
+def site_summary(df: DataFrame, truth: str, pred: str, raw: str, flag: str, by: str) -> DataFrame:
+    """(by, n, auc, qwk, accuracy, macro_f1, moderate, moderate_below_2, median_without, median_with) by site.
+
+    The last two are the median scores of grade-2 rows without and with ``flag``.
+    """
+    counted = cells(df, truth, pred, [by])
+    area = auc(score_counts(df, F.col(truth) >= REFERABLE_FROM, raw, [by]), [by])
+    two = F.col("t") == 2
+    moderate = counted.groupBy(by).agg(_sum(two).alias("moderate"), ratio(_sum(two & (F.col("p") < 2)), _sum(two)).alias("moderate_below_2"))
+    medians = median(df.where((F.col(truth) == 2) & F.col(flag).isNotNull()), raw, [by, flag])
+    of = lambda value: F.max(F.when(F.col(flag) == value, F.col("median")))
+    medians = medians.groupBy(by).agg(of(False).alias("median_without"), of(True).alias("median_with"))
+    main = grade_metrics(counted, [by]).select(by, "n", "accuracy", "macro_f1")
+    return main.join(area, by).join(qwk(counted, [by], observed=True), by).join(moderate, by).join(medians, by, "left")
+
+
+def metric_block(df: DataFrame, truth: str, raw: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+    """All measures of scores and the grades made from them: AUC, grade metrics, referral."""
+    counted = cells(df, truth, pred, by)
+    parts = [qwk(counted, by, observed=True), referable_confusion(counted, by), auc(score_counts(df, F.col(truth) >= REFERABLE_FROM, raw, by), by)]
+    out = grade_metrics(counted, by)
+    for p in parts:
+        out = out.join(p, list(by)) if by else out.crossJoin(p)
+    return out
+
+
+def missed_severe(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """The rows of grade 3 and 4 that were predicted 0 or 1."""
+    return df.where((F.col(truth) >= 3) & (F.col(pred) <= 1))

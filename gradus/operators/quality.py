@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from gradus.functions.scalars import ratio
 from gradus.operators.joins import pairs_within
+from gradus.operators.ranges import median
 
 #: Scales the median absolute deviation to a standard deviation.
 MAD_SCALE = 0.6745
@@ -17,8 +22,9 @@ MAD_SCALE = 0.6745
 def mad_outliers(df: DataFrame, value: str, k: float = 3.5) -> DataFrame:
     """Rows whose modified z-score is beyond ``k``, with it; none where the median absolute deviation is 0."""
     # One row each: the median, then the median of the distances to it.
-    centre = df.agg(F.median(value).alias("_m"))
-    spread = df.crossJoin(F.broadcast(centre)).agg(F.median(F.abs(F.col(value) - F.col("_m"))).alias("_mad"), F.first("_m").alias("_m"))
+    centre = median(df, value).select(F.col("median").alias("_m"))
+    off = df.crossJoin(F.broadcast(centre)).select(F.abs(F.col(value) - F.col("_m")).alias("_off"))
+    spread = median(off, "_off").select(F.col("median").alias("_mad")).crossJoin(F.broadcast(centre))
     z = F.lit(MAD_SCALE) * (F.col(value) - F.col("_m")) / F.col("_mad")
     return df.crossJoin(F.broadcast(spread.where("_mad > 0"))).withColumn("z", z).where(F.abs("z") > k).drop("_m", "_mad")
 
@@ -45,11 +51,10 @@ def label_noise(df: DataFrame, group: str, key: str, grade: str) -> DataFrame:
 
 
 def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(property, n, low, middle, high, mean) of each numeric column, from one pass."""
-    stats = [f(F.col(c).cast("double")).alias(f"{c}__{name}") for c in columns for name, f in (("n", F.count), ("low", F.min), ("middle", F.median), ("high", F.max), ("mean", F.avg))]
-    row = df.agg(*stats)
-    struct = lambda c: F.struct(F.lit(c).alias("property"), *[F.col(f"{c}__{s}").alias(s) for s in ("n", "low", "middle", "high", "mean")])
-    return row.select(F.inline(F.array(*[struct(c) for c in columns])))
+    """(property, n, low, middle, high, mean) of each numeric column; middle is the exact median."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "property", "v")
+    rest = long.groupBy("property").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"))
+    return rest.join(median(long, "v", ["property"]), "property", "left").select("property", F.coalesce("n", F.lit(0)).alias("n"), "low", F.col("median").alias("middle"), "high", "mean")
 
 
 def shares(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
@@ -82,3 +87,65 @@ def problems(df: DataFrame, key: str, split: str, rules: dict) -> DataFrame:
     return df.select(key, split, F.explode(found).alias("x")).select(key, split, "x.issue", "x.value")
 
 
+def gap_counts(df: DataFrame, group: str, grade: str) -> DataFrame:
+    """(gap, pairs): how far apart the conflicting grades of rows with the same content are, from a group's counts of each grade."""
+    counts = df.where(F.col(grade).isNotNull() & F.col(group).isNotNull()).groupBy(group, F.col(grade).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    per = counts.groupBy(group).agg(F.collect_list(F.struct("v", "n")).alias("vs"))  # an entry for each grade
+    pairs = per.select(F.explode("vs").alias("a"), "vs").select("a", F.explode("vs").alias("b")).where("a.v < b.v")
+    return pairs.groupBy((F.col("b.v") - F.col("a.v")).alias("gap")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("pairs"))
+
+
+def near_square(aspect: Column, off: float = 0.02) -> Column:
+    return (aspect > 1 - off) & (aspect < 1 + off)
+
+
+def class_medians(df: DataFrame, grade: str, columns: Sequence[str], aspect: str) -> DataFrame:
+    """(grade, n, near_square_share, median of each column) by grade."""
+    out = df.groupBy(grade).agg(F.count(F.lit(1)).alias("n"), ratio(F.count_if(near_square(F.col(aspect))), F.count(aspect)).alias("near_square_share"))
+    for c in columns:
+        out = out.join(median(df, c, [grade]).select(grade, F.col("median").alias(f"median_{c}")), grade, "left")
+    return out
+
+
+def readable(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose ``columns`` all have a value that is not empty and no NaN."""
+    ok = lambda c: F.col(c).isNotNull() & ~F.col(c).cast("string").isin("", "NaN")
+    return df.where(reduce(Column.__and__, map(ok, columns)))
+
+
+def leader_groups(df: DataFrame, block: str, key: str, pixels: str, least_corr: float, most_mae: float) -> DataFrame:
+    """(block, key, head): greedy groups among rows with an equal hash: a row joins the first head, in order of keys, that it resembles.
+
+    A row that resembles no head becomes one. Members are compared with heads only, so two members of a group may differ.
+    Copies of one image are compared once. A task walks a block in order and holds its heads, nothing else of it.
+    """
+    schema = StructType([df.schema[block], df.schema[key], StructField("head", df.schema[key].dataType)])
+    once = df.groupBy(block, pixels).agg(F.min(key).alias(key))
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, names, heads = None, [], np.empty((0, 0))
+        for frame in frames:
+            out = []
+            for b, k, image in zip(frame[block], frame[key], frame[pixels], strict=True):
+                image = np.asarray(image, float)
+                if b != current:
+                    current, names, heads = b, [], np.empty((0, len(image)))
+                like = np.flatnonzero(_resembles(heads, image, least_corr, most_mae))
+                if len(like):
+                    out.append(names[like[0]])
+                else:
+                    names.append(k)
+                    heads = np.vstack([heads, image])
+                    out.append(k)
+            yield pd.DataFrame({block: frame[block], key: frame[key], "head": out})
+
+    placed = once.select(block, key, pixels).repartition(block).sortWithinPartitions(block, key).mapInPandas(walk, schema)
+    first = placed.select(block, F.col(key).alias("_first"), "head").join(once.select(block, F.col(key).alias("_first"), pixels), [block, "_first"])
+    return df.join(first, [block, pixels]).select(block, key, "head")
+
+
+def _resembles(heads: np.ndarray, image: np.ndarray, least_corr: float, most_mae: float) -> np.ndarray:
+    off, offs = image - image.mean(), heads - heads.mean(axis=1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        corr = (offs @ off) / np.sqrt((offs * offs).sum(axis=1) * (off @ off))
+    return (corr >= least_corr) & (np.abs(heads - image).mean(axis=1) <= most_mae)

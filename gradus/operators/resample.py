@@ -5,12 +5,16 @@ Slot s of draw d takes the cluster whose place in sorted order is the md5 hash o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from gradus.functions.scalars import hash32
+from gradus.functions.scalars import hash32, ratio
+from gradus.operators.ranges import RANGE, cut
 
 
 def numbered(clusters: DataFrame, key: str) -> DataFrame:
@@ -48,3 +52,58 @@ def interval(values: DataFrame, columns: Sequence[str], n: int, least_valid: flo
     out = long.groupBy("metric").agg(F.count("value").alias("valid"), F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
     enough = F.col("valid") >= least_valid * n
     return out.select("metric", "valid", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"))
+
+
+#: Rows of one arm's range of scores that a task weighs at once.
+WEIGHED = 8192
+
+
+def resampled_auc(df: DataFrame, cluster: str, y: Column, score: str, arm: str, n: int) -> DataFrame:
+    """(arm, draw, auc) of ``n`` cluster draws; null for a draw without both classes.
+
+    Scores are cut into ranges and sorted once, not once for each draw: a row carries how often its cluster is in each draw,
+    a range adds up its wins for all draws together, and then counts the negatives of the ranges below it.
+    """
+    counts = df.groupBy(arm, cluster, F.col(score).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+    clusters = numbered(df.select(cluster).distinct(), cluster)
+    vectors = clusters.select(cluster, "place").join(_vectors(draws(clusters, n), n), "place").select(cluster, "times")
+    ranged = cut(counts, "score", -(-counts.count() // WEIGHED)).join(vectors, cluster, "left")
+    key = [F.col(arm), F.col(RANGE)]
+    sums = StructType([df.schema[arm], StructField(RANGE, DoubleType()), *[StructField(c, ArrayType(DoubleType())) for c in ("wins", "pos", "neg")]])
+
+    def weigh(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("score", kind="stable")
+        scores, pos, neg = (frame[c].to_numpy() for c in ("score", "pos", "neg"))
+        times = np.stack([np.frombuffer(t, "<u2") if t is not None else np.zeros(n, np.uint16) for t in frame["times"]])
+        wins, above, below = np.zeros(n), np.zeros(n), np.zeros(n)
+        starts = np.flatnonzero(np.r_[True, scores[1:] != scores[:-1]])
+        for a, b in zip(starts, [*starts[1:], len(scores)], strict=True):
+            weights = times[a:b].astype(float)
+            p, q = pos[a:b] @ weights, neg[a:b] @ weights
+            wins += p * (below + q / 2)
+            above += p
+            below += q
+        return pd.DataFrame([(*group, wins, above, below)], columns=sums.names)
+
+    parts = ranged.select(*key, "score", "pos", "neg", "times").groupBy(*key).applyInPandas(weigh, sums)
+    each = parts.select(*key, F.posexplode(F.arrays_zip("wins", "pos", "neg")).alias("draw", "x")).select(*key, "draw", "x.*")
+    lower = F.coalesce(F.sum("neg").over(Window.partitionBy(arm, "draw").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    won = each.withColumn("wins", F.col("wins") + F.col("pos") * lower)
+    return won.groupBy(arm, "draw").agg(ratio(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("auc"))
+
+
+def _vectors(drawn: DataFrame, n: int) -> DataFrame:
+    """(place, times): how often a cluster is in each of ``n`` draws, as 16-bit integers; clusters in no draw have no row."""
+    entries = drawn.groupBy("place").agg(F.collect_list(F.col("draw") * (1 << 16) + F.col("times")).alias("entries"))  # ``n`` at most
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for e in frame["entries"]:
+                at, times = np.divmod(np.asarray(e, np.int64), 1 << 16)
+                vector = np.zeros(n, "<u2")
+                vector[at] = times
+                out.append(vector.tobytes())
+            yield pd.DataFrame({"place": frame["place"], "times": out})
+
+    return entries.mapInPandas(spread, "place long, times binary")

@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.scalars import hash32
+from gradus.operators.checks import ContractError
+from gradus.operators.joins import join_one_to_one
+from gradus.operators.ranges import numbered, running
 
 
 def stratified_folds(df: DataFrame, key: str, strata: Sequence[str], k: int, seed: int = 42) -> DataFrame:
     """Adds ``fold`` from 1 to k: each stratum is dealt in order of a seeded hash, so folds differ by one row in a stratum."""
-    w = Window.partitionBy(*strata).orderBy(hash32(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k + 1).cast("int"))
+    order = hash32(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    dealt = numbered(df, order, [key], strata)
+    return dealt.withColumn("fold", (F.col("_place") % k + 1).cast("int")).drop("_place", "_rows")
 
 
 def group_folds(df: DataFrame, group: str, strata: str, k: int, seed: int = 42) -> DataFrame:
@@ -31,9 +35,8 @@ def first_k(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], k:
 
 
 def middle_row(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*by)
-    ranked = df.withColumns({"_rank": F.row_number().over(w.orderBy(*order)), "_n": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("_rank") == F.floor(F.col("_n") / 2) + 1).drop("_rank", "_n")
+    """The row in the middle of each group, the later one of two, in order of a number and of columns that leave no ties."""
+    return numbered(df, F.col(order[0]), order[1:], by).where(F.col("_place") == F.floor(F.col("_rows") / 2)).drop("_place", "_rows")
 
 
 def filename_groups(df: DataFrame, name: str) -> DataFrame:
@@ -42,10 +45,12 @@ def filename_groups(df: DataFrame, name: str) -> DataFrame:
     dated = df.where(number == "").withColumn("group", F.concat(F.lit("date:"), F.split_part(F.col(name), F.lit("_"), F.lit(1))))
     chained = df.where(number != "").withColumn("_n", number.cast("long"))
     distinct = chained.groupBy("_n").count()
-    # Chains are runs of one sequence over all files; the window runs on distinct numbers. A repeated number starts a chain each time.
-    w = Window.orderBy("_n")
-    breaks = F.when(F.col("_n") == F.lag("_n").over(w) + 1, 0).otherwise(1) + F.col("count") - 1
-    starts = distinct.select("_n", "count", (F.sum(breaks).over(w) - 1).alias("_last"))
+    # Chains are runs of one sequence over all files. A number ends its chain unless the next one follows it; a repeated
+    # number starts a chain each time.
+    ended = running(distinct.withColumn("_at", F.col("_n")), "_n", ["count"], ahead=["_at"])
+    breaks = F.when(F.col("_at_next") == F.col("_n") + 1, 0).otherwise(1)
+    starts = running(ended.select("_n", "count", breaks.alias("_ends"), (F.col("count") - 1).alias("_more")), "_n", ["_ends", "_more"])
+    starts = starts.select("_n", "count", (F.col("_ends_before") + F.col("_more_before") + F.col("count") - 1).alias("_last"))
     order = Window.partitionBy("_n").orderBy(name)
     out = chained.withColumn("_k", F.row_number().over(order)).join(starts, "_n")
     out = out.withColumn("group", F.concat(F.lit("im:"), (F.col("_last") - F.col("count") + F.col("_k")).cast("string")))
@@ -78,3 +83,61 @@ def split_plan(df: DataFrame, part: str, exam: str, grade: str) -> DataFrame:
 
 def transitions(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.groupBy(F.col(old).alias("old_part"), F.col(new).alias("new_part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+PARTS = ("tune-train", "tune-valid", "test")
+
+
+def pool_and_holdout(df: DataFrame, split: str, pool: Sequence[str] = ("train", "valid")) -> DataFrame:
+    """Adds ``part``: ``pool`` for rows of the splits that folds are made of, else ``holdout``; the split stays."""
+    return df.withColumn("part", F.when(F.col(split).isin(*pool), "pool").otherwise("holdout"))
+
+
+def nested_split(df: DataFrame, group: str, strata: str, seed: int = 42) -> DataFrame:
+    """Adds ``part`` of PARTS: half of the groups for test, a fifth of the others for validation; groups stay whole."""
+    halves = group_folds(df, group, strata, 2, seed).withColumnRenamed("fold", "_half")
+    rest = group_folds(halves.where("_half = 2"), group, strata, 5, seed)
+    inner = rest.select("*", F.when(F.col("fold") == 1, PARTS[1]).otherwise(PARTS[0]).alias("part")).drop("fold", "_half")
+    return halves.where("_half = 1").drop("_half").withColumn("part", F.lit(PARTS[2])).unionByName(inner)
+
+
+def small_strata(df: DataFrame, strata: Sequence[str], k: int) -> DataFrame:
+    """(strata, n) of the strata with fewer rows than folds, which leave folds uneven."""
+    return df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < k)
+
+
+def split_check(df: DataFrame, reference: DataFrame, key: str, grade: str, exam: str, part: str) -> DataFrame:
+    """One row: do the split's ids and grades equal the reference's, are all parts known, examinations whole, both classes in each part."""
+    both = df.select(key, F.col(grade).alias("_a"), F.lit(1).alias("_l")).join(reference.select(key, F.col(grade).alias("_b"), F.lit(1).alias("_r")), key, "full_outer")
+    ids = both.agg((F.count_if(F.col("_l").isNull() | F.col("_r").isNull()) == 0).alias("same_ids"), (F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))) == 0).alias("same_grades"))
+    per = df.groupBy(part).agg(F.count_if(F.col(grade) >= 2).alias("ill"), F.count(F.lit(1)).alias("n"))
+    known = F.coalesce(F.col(part).isin(*PARTS), F.lit(False))
+    parts = per.agg((F.count_if(~known) == 0).alias("known_parts"), (F.count_if((F.col("ill") == 0) | (F.col("ill") == F.col("n"))) == 0).alias("both_classes"))
+    # One row beside one row.
+    return ids.crossJoin(parts).crossJoin(examination_audit(df, exam, part).select("disjoint"))
+
+
+def exposures(old: DataFrame, new: DataFrame, key: str, part: str, test: str = PARTS[2]) -> DataFrame:
+    """(old_part, new_part, n, exposed): the rows of both splits by part; ``exposed`` ones are tested now and were developed on before."""
+    both = join_one_to_one(old.select(key, F.col(part).alias("old_part")), new.select(key, F.col(part).alias("new_part")), key, complete=True)
+    return both.groupBy("old_part", "new_part").agg(F.count(F.lit(1)).alias("n")).withColumn("exposed", (F.col("new_part") == test) & (F.col("old_part") != test))
+
+
+def training_arms(df: DataFrame, part: str, target: str, pseudo: str) -> DataFrame:
+    """A row of each arm for each training row, with the arm's ``target``: the control arm learns from ``pseudo``; validation rows keep theirs."""
+    rows = df.where(F.col(part).isin(*PARTS[:2])).withColumn("arm", F.explode(F.array(F.lit("adjudicated"), F.lit("control"))))
+    return rows.withColumn(target, F.when((F.col("arm") == "control") & (F.col(part) == PARTS[0]), F.col(pseudo)).otherwise(F.col(target)))
+
+
+def smoke_sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
+    """The ``k`` rows that come first in a seeded shuffle; the limit is the feature."""
+    return df.orderBy(hash32(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(k)
+
+
+def out_of_fold(assigned: DataFrame, scores: DataFrame, key: str, fold: str) -> DataFrame:
+    """Each row of ``assigned`` with the score of the model that held it out; every row must have exactly one."""
+    found = assigned.join(scores, [key, fold], "left")
+    bad = found.groupBy(key).agg(F.count("raw").alias("n")).where("n <> 1").limit(5).collect()
+    if bad:
+        raise ContractError(f"not scored once by the model that held them out: {[r[0] for r in bad]}")
+    return found

@@ -1 +1,5 @@
-"""Queries over the driver's tables, with SQL oracles beside them."""
+"""The registered queries: adapters onto the driver's tables, plans and their SQL."""
+
+from gradus.plans import queries, reports
+
+__all__ = ["queries", "reports"]

@@ -8,30 +8,13 @@ from pyspark.sql import functions as F
 
 from gradus.functions import scalars as S
 from gradus.operators import audits, curves, joins, metrics, quality, resample, splits, stats
+from gradus.operators.ranges import quantiles
 from gradus.plans import sqlapi
 from gradus.plans.adapters import COHORTS_SQL, DOCS_SQL, EYES_SQL, LINES_SQL, PREDS_SQL, RUNS_SQL, cohorts, docs, eyes, lines, preds, runs, table
+from gradus.plans.registry import ORACLES, QUERIES, query
+from gradus.plans.shared import CURVE, DRAWN, DRAWS, GRADE, LIMITS, METRICS, POINT, REFERABLE, cells, counts_of, fit_sql, graded, ill, kappa_sql, resampled_sums
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-DRAWS = 200
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def graded(df: DataFrame) -> DataFrame:
-    return df.withColumns({"pred": S.digitize(F.col("baseline_raw")), "cand": S.digitize(F.col("candidate_raw"))})
-
-
-def cells(spark: SparkSession, d: str, by: list[str] | None = None, pred: str = "pred") -> DataFrame:
-    return metrics.cells(graded(preds(spark, d)), "diagnosis", pred, by or [])
+__all__ = ["ORACLES", "QUERIES"]
 
 
 # ---------------------------------------------------------------- SQL templates
@@ -92,13 +75,7 @@ def confusion_matrix(spark, d):
     return metrics.dense(cells(spark, d))
 
 
-_METRICS = """c AS (SELECT {by} diagnosis AS t, pred AS p, count(*)::DOUBLE AS n FROM {src} GROUP BY ALL)"""
-_RECALLS = ", ".join(f"sum(n) FILTER (t = {g} AND p = {g}) / nullif(sum(n) FILTER (t = {g}), 0) AS recall_grade_{g}" for g in range(5))
-_F1 = " + ".join(f"coalesce(2 * coalesce(sum(n) FILTER (t = {g} AND p = {g}), 0) / nullif(coalesce(sum(n) FILTER (t = {g}), 0) + coalesce(sum(n) FILTER (p = {g}), 0), 0), 0)" for g in range(5))
-_GRADE = f"CAST(sum(n) AS BIGINT) AS n, sum(n) FILTER (t = p) / sum(n) AS accuracy, ({_F1}) / 5 AS macro_f1, {_RECALLS}"
-
-
-@query(f"WITH {PREDS_SQL}, {_METRICS.format(by='split,', src='preds')} SELECT split, {_GRADE} FROM c GROUP BY split")
+@query(f"WITH {PREDS_SQL}, {METRICS.format(by='split,', src='preds')} SELECT split, {GRADE} FROM c GROUP BY split")
 def grade_metrics(spark, d):
     return metrics.grade_metrics(cells(spark, d, ["split"]), ["split"])
 
@@ -108,13 +85,13 @@ def _qwk_sql(i: str, j: str, by: str) -> str:
         sum(n * {i} * {i}) + sum(n * {j} * {j}) - 2 * sum(n * {i}) * sum(n * {j}) / sum(n) AS e FROM c GROUP BY {by})"""
 
 
-@query(f"WITH {PREDS_SQL}, {_METRICS.format(by='split,', src='preds')} {_qwk_sql('t', 'p', 'split')}")
+@query(f"WITH {PREDS_SQL}, {METRICS.format(by='split,', src='preds')} {_qwk_sql('t', 'p', 'split')}")
 def qwk_fixed(spark, d):
     return metrics.qwk(cells(spark, d, ["split"]), ["split"])
 
 
 _SPARSE = "(SELECT * FROM preds WHERE diagnosis <> 1 AND pred <> 1 OR stratum = 'O')"
-_RANKED = f"""{_METRICS.format(by='stratum,', src=_SPARSE)},
+_RANKED = f"""{METRICS.format(by='stratum,', src=_SPARSE)},
     l AS (SELECT stratum, v, row_number() OVER (PARTITION BY stratum ORDER BY v) AS r FROM (SELECT stratum, t AS v FROM c UNION SELECT stratum, p FROM c)),
     k AS (SELECT c.stratum, n, a.r AS i, b.r AS j FROM c JOIN l a ON a.stratum = c.stratum AND a.v = t JOIN l b ON b.stratum = c.stratum AND b.v = p)"""
 
@@ -125,13 +102,7 @@ def qwk_observed_by_stratum(spark, d):
     return metrics.qwk(metrics.cells(rows, "diagnosis", "pred", ["stratum"]), ["stratum"], observed=True)
 
 
-_REFERABLE = """SELECT {by} tp, fp, tn, fn, CAST(tp AS DOUBLE) / nullif(tp + fn, 0) AS sensitivity, CAST(tn AS DOUBLE) / nullif(tn + fp, 0) AS specificity,
-    CAST(tp AS DOUBLE) / nullif(tp + fp, 0) AS "precision", CAST(tp + fp AS DOUBLE) / nullif(tp + fp + tn + fn, 0) AS referral_rate FROM (
-    SELECT {by} count(*) FILTER (diagnosis >= 2 AND pred >= 2) AS tp, count(*) FILTER (diagnosis < 2 AND pred >= 2) AS fp,
-    count(*) FILTER (diagnosis < 2 AND pred < 2) AS tn, count(*) FILTER (diagnosis >= 2 AND pred < 2) AS fn FROM {src} GROUP BY ALL)"""
-
-
-@query(f"WITH {PREDS_SQL} {_REFERABLE.format(by='split,', src='preds')}")
+@query(f"WITH {PREDS_SQL} {REFERABLE.format(by='split,', src='preds')}")
 def referable_confusion(spark, d):
     return metrics.referable_confusion(cells(spark, d, ["split"]), ["split"])
 
@@ -141,9 +112,9 @@ def costly_errors(spark, d):
     return metrics.costly_errors(cells(spark, d, ["split"]), ["split"])
 
 
-@query(f"""WITH {PREDS_SQL}, {_METRICS.format(by="stratum,", src="(SELECT unnest([stratum, 'ALL']) AS stratum, diagnosis, pred FROM preds)")},
-    q AS ({_qwk_sql('t', 'p', 'stratum')}), m AS (SELECT stratum, {_GRADE} FROM c GROUP BY stratum),
-    r AS (SELECT stratum, sensitivity, specificity, referral_rate FROM ({_REFERABLE.format(by='stratum,', src="(SELECT unnest([stratum, 'ALL']) AS stratum, diagnosis, pred FROM preds)")})),
+@query(f"""WITH {PREDS_SQL}, {METRICS.format(by="stratum,", src="(SELECT unnest([stratum, 'ALL']) AS stratum, diagnosis, pred FROM preds)")},
+    q AS ({_qwk_sql('t', 'p', 'stratum')}), m AS (SELECT stratum, {GRADE} FROM c GROUP BY stratum),
+    r AS (SELECT stratum, sensitivity, specificity, referral_rate FROM ({REFERABLE.format(by='stratum,', src="(SELECT unnest([stratum, 'ALL']) AS stratum, diagnosis, pred FROM preds)")})),
     j AS (SELECT stratum, arg_max(t, (n, -t)) AS majority_grade, max(n) / sum(n) AS majority_acc, coalesce(sum(n) FILTER (t = 0), 0) / sum(n) AS share_no_dr
         FROM (SELECT stratum, t, sum(n) AS n FROM c GROUP BY ALL) GROUP BY stratum)
     SELECT * FROM m JOIN q USING (stratum) JOIN r USING (stratum) JOIN j USING (stratum)""")
@@ -176,15 +147,15 @@ def referral_breakdown(spark, d):
     return metrics.referral_breakdown(cells(spark, d))
 
 
-@query(f"""WITH {PREDS_SQL} SELECT unnest(['grade_' || diagnosis, 'all_referable']) AS grade, count(*) AS n, count(*) FILTER (pred < 2 AND cand < 2) AS both_missed,
-    count(*) FILTER (pred < 2 AND cand >= 2) AS baseline_only_missed, count(*) FILTER (pred >= 2 AND cand < 2) AS candidate_only_missed,
-    count(*) FILTER (pred >= 2 AND cand >= 2) AS neither_missed FROM preds WHERE diagnosis >= 2 GROUP BY ALL""".replace("SELECT unnest(['grade_' || diagnosis, 'all_referable']) AS grade,", "SELECT grade,").replace("FROM preds WHERE diagnosis >= 2", "FROM (SELECT *, unnest(['grade_' || diagnosis, 'all_referable']) AS grade FROM preds WHERE diagnosis >= 2)"))
+@query(f"""WITH {PREDS_SQL}, x AS (SELECT unnest(['grade_' || diagnosis, 'all_referable']) AS grade, pred < 2 AS a, cand < 2 AS b FROM preds WHERE diagnosis >= 2)
+    SELECT grade, count(*) AS n, count(*) FILTER (a AND b) AS both_missed, count(*) FILTER (a AND NOT b) AS baseline_only_missed,
+        count(*) FILTER (NOT a AND b) AS candidate_only_missed, count(*) FILTER (NOT a AND NOT b) AS neither_missed FROM x GROUP BY grade""")
 def paired_discordance(spark, d):
     return metrics.paired_discordance(graded(preds(spark, d)), "diagnosis", "pred", "cand")
 
 
-@query(f"""WITH {COHORTS_SQL}, {_METRICS.format(by='cohort,', src='cohorts')}, m AS (SELECT cohort, {_GRADE} FROM c GROUP BY cohort), q AS ({_qwk_sql('t', 'p', 'cohort')}),
-    r AS ({_REFERABLE.format(by='cohort,', src='cohorts')}),
+@query(f"""WITH {COHORTS_SQL}, {METRICS.format(by='cohort,', src='cohorts')}, m AS (SELECT cohort, {GRADE} FROM c GROUP BY cohort), q AS ({_qwk_sql('t', 'p', 'cohort')}),
+    r AS ({REFERABLE.format(by='cohort,', src='cohorts')}),
     s AS (SELECT cohort, count(*) FILTER (diagnosis >= 3) AS severe_total, count(*) FILTER (diagnosis >= 3 AND pred <= 1) AS severe_missed FROM cohorts GROUP BY cohort)
     SELECT * FROM m JOIN q USING (cohort) JOIN r USING (cohort) JOIN s USING (cohort)""")
 def external_summary(spark, d):
@@ -314,11 +285,13 @@ def problem_rows(spark, d):
     return quality.problems(rows, "doc_id", "source", {"too_short": F.when(n < 100, n), "too_long": F.when(n > 10000, n), "missing_label": F.when(F.col("has").isNull(), "none")})
 
 
-@query("""WITH b AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT a.vec_id AS "left", b.vec_id AS "right", a.embedding AS x, b.embedding AS y
-    FROM b a JOIN b ON a.label = b.label AND a.vec_id < b.vec_id), e AS (SELECT "left", "right", unnest(x)::DOUBLE AS x, unnest(y)::DOUBLE AS y FROM p)
-    SELECT "left", "right", corr, mae FROM (SELECT "left", "right", corr(x, y) AS corr, avg(abs(x - y)) AS mae FROM e GROUP BY ALL) WHERE corr >= 0.5 AND mae <= 0.2""")
+@query("""WITH h AS (SELECT vec_id, embedding AS e, embedding[2] > embedding[1] AS a, embedding[3] > embedding[2] AS b, embedding[5] > embedding[4] AS c,
+        embedding[6] > embedding[5] AS d, embedding[8] > embedding[7] AS f, embedding[9] > embedding[8] AS g FROM embeddings),
+    p AS (SELECT x.vec_id AS "left", y.vec_id AS "right", x.e AS x, y.e AS y FROM h x JOIN h y USING (a, b, c, d, f, g) WHERE x.vec_id < y.vec_id), e AS (SELECT "left", "right", unnest(x)::DOUBLE AS x, unnest(y)::DOUBLE AS y FROM p)
+    SELECT "left", "right", corr, mae FROM (SELECT "left", "right", corr(x, y) AS corr, avg(abs(x - y)) AS mae FROM e GROUP BY ALL) WHERE corr >= 0.3 AND mae <= 0.2""")
 def thumb_similarity(spark, d):
-    return quality.similar_pairs(table(spark, d, "embeddings"), "label", "vec_id", "embedding", S.similarity, 0.5, 0.2)
+    rows = table(spark, d, "embeddings").withColumn("hash", S.difference_hash(F.slice("embedding", 1, 9), 3))
+    return quality.similar_pairs(rows, "hash", "vec_id", "embedding", S.similarity, 0.3, 0.2)
 
 
 @query("""SELECT vec_id, string_agg(CASE WHEN embedding[i + 2] > embedding[i + 1] THEN '1' ELSE '0' END, '' ORDER BY i) AS dhash
@@ -329,57 +302,39 @@ def thumb_dhash(spark, d):
 
 # ---------------------------------------------------------------- curves and calibration
 
-_CURVE = """k AS (SELECT cohort, baseline_raw AS score, count(*) FILTER (diagnosis >= 2) AS pos, count(*) FILTER (diagnosis < 2) AS neg FROM cohorts GROUP BY ALL),
-    pts AS (SELECT cohort, score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY cohort) AS pa, sum(neg) OVER (PARTITION BY cohort) AS na
-        FROM k WINDOW w AS (PARTITION BY cohort ORDER BY score DESC))"""
-
-
-def _ill():
-    return F.col("diagnosis") >= 2
-
-
-def _counts(spark, d):
-    return curves.score_counts(cohorts(spark, d), _ill(), "baseline_raw", ["cohort"])
-
-
-@query(f"""WITH {COHORTS_SQL}, {_CURVE} SELECT cohort, score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, tp::DOUBLE / pa AS tpr, fp::DOUBLE / na AS fpr FROM (
+@query(f"""WITH {COHORTS_SQL}, {CURVE} SELECT cohort, score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, tp::DOUBLE / pa AS tpr, fp::DOUBLE / na AS fpr FROM (
     SELECT *, lead(tp) OVER w - 2 * tp + lag(tp) OVER w AS bt, lead(fp) OVER w - 2 * fp + lag(fp) OVER w AS bf FROM pts WINDOW w AS (PARTITION BY cohort ORDER BY score DESC))
     WHERE bt IS NULL OR bt <> 0 OR bf <> 0""")
 def roc_points(spark, d):
-    return curves.roc_corners(curves.roc_points(_counts(spark, d), ["cohort"]), ["cohort"]).select("cohort", "score", "tp", "fp", "tpr", "fpr")
+    return curves.roc_corners(curves.roc_points(counts_of(spark, d), ["cohort"])).select("cohort", "score", "tp", "fp", "tpr", "fpr")
 
 
-@query(f"""WITH {COHORTS_SQL}, {_CURVE} SELECT cohort, sum(pos * ((na - fp) + neg / 2.0::DOUBLE)) / (max(pa)::DOUBLE * max(na)) AS auc FROM pts GROUP BY cohort""")
+@query(f"""WITH {COHORTS_SQL}, {CURVE} SELECT cohort, sum(pos * ((na - fp) + neg / 2.0::DOUBLE)) / (max(pa)::DOUBLE * max(na)) AS auc FROM pts GROUP BY cohort""")
 def auc_by_cohort(spark, d):
-    return curves.auc(_counts(spark, d), ["cohort"])
+    return curves.auc(counts_of(spark, d), ["cohort"])
 
 
-@query(f"""WITH {COHORTS_SQL}, {_CURVE} SELECT cohort, sum(pos::DOUBLE / pa * tp / (tp + fp)) AS average_precision FROM pts GROUP BY cohort""")
+@query(f"""WITH {COHORTS_SQL}, {CURVE} SELECT cohort, sum(pos::DOUBLE / pa * tp / (tp + fp)) AS average_precision FROM pts GROUP BY cohort""")
 def average_precision(spark, d):
-    return curves.average_precision(_counts(spark, d), ["cohort"])
-
+    return curves.average_precision(counts_of(spark, d), ["cohort"])
 
-_POINT = f"""{_CURVE}, corner AS (SELECT *, lead(tp) OVER w - 2 * tp + lag(tp) OVER w AS bt, lead(fp) OVER w - 2 * fp + lag(fp) OVER w AS bf FROM pts WINDOW w AS (PARTITION BY cohort ORDER BY score DESC)),
-    point AS (SELECT cohort, max(score) AS cut, arg_max(tp::DOUBLE / pa, score) AS sensitivity, 1 - arg_max(fp::DOUBLE / na, score) AS specificity
-        FROM corner WHERE (bt IS NULL OR bt <> 0 OR bf <> 0) AND tp::DOUBLE / pa >= 0.9 GROUP BY cohort)"""
 
-
-@query(f"WITH {COHORTS_SQL}, {_POINT} SELECT * FROM point")
+@query(f"WITH {COHORTS_SQL}, {POINT} SELECT * FROM point")
 def operating_point(spark, d):
-    return curves.operating_point(_counts(spark, d), ["cohort"])
+    return curves.operating_point(counts_of(spark, d), ["cohort"])
 
 
 @query(f"""WITH {COHORTS_SQL}, a AS (SELECT cohort, count(*) AS n, count(*) FILTER (diagnosis >= 2 AND baseline_raw >= 1.25) AS tp, count(*) FILTER (diagnosis < 2 AND baseline_raw >= 1.25) AS fp,
     count(*) FILTER (diagnosis < 2 AND baseline_raw < 1.25) AS tn, count(*) FILTER (diagnosis >= 2 AND baseline_raw < 1.25) AS fn FROM cohorts GROUP BY cohort)
     SELECT *, tp::DOUBLE / nullif(tp + fn, 0) AS sensitivity, tn::DOUBLE / nullif(tn + fp, 0) AS specificity, tp::DOUBLE / nullif(tp + fp, 0) AS ppv, (tp + fp)::DOUBLE / n AS referral_rate FROM a""")
 def apply_cut(spark, d):
-    return curves.apply_cut(cohorts(spark, d), _ill(), "baseline_raw", F.lit(1.25), ["cohort"])
+    return curves.apply_cut(cohorts(spark, d), ill(), "baseline_raw", F.lit(1.25), ["cohort"])
 
 
-@query(f"""WITH {COHORTS_SQL}, {_POINT} SELECT p.cohort AS fitted_on, k.cohort AS applied_to, cut, sum(pos) FILTER (score >= cut)::DOUBLE / sum(pos) AS sensitivity,
+@query(f"""WITH {COHORTS_SQL}, {POINT} SELECT p.cohort AS fitted_on, k.cohort AS applied_to, cut, sum(pos) FILTER (score >= cut)::DOUBLE / sum(pos) AS sensitivity,
     coalesce(sum(neg) FILTER (score < cut), 0)::DOUBLE / sum(neg) AS specificity FROM point p JOIN k ON p.cohort <> k.cohort GROUP BY ALL""")
 def site_transfer(spark, d):
-    return curves.site_transfer(cohorts(spark, d), _ill(), "baseline_raw", "cohort")
+    return curves.site_transfer(cohorts(spark, d), ill(), "baseline_raw", "cohort")
 
 
 _PROB = "prob AS (SELECT *, 1 / (1 + exp(-(1.5::DOUBLE * baseline_raw - 2.25::DOUBLE))) AS p FROM cohorts)"
@@ -394,12 +349,12 @@ def _prob(spark, d):
 
 @query(f"WITH {COHORTS_SQL}, {_PROB}, {_RELIABILITY} SELECT *, observed - mean_predicted AS gap FROM rel")
 def ece_table(spark, d):
-    return curves.reliability(_prob(spark, d), _ill(), "p", ["cohort"])
+    return curves.reliability(_prob(spark, d), ill(), "p", ["cohort"])
 
 
 @query(f"WITH {COHORTS_SQL}, {_PROB}, {_RELIABILITY} SELECT cohort, sum(n * abs(observed - mean_predicted)) / sum(n) AS ece FROM rel GROUP BY cohort")
 def ece(spark, d):
-    return curves.ece(curves.reliability(_prob(spark, d), _ill(), "p", ["cohort"]), ["cohort"])
+    return curves.ece(curves.reliability(_prob(spark, d), ill(), "p", ["cohort"]), ["cohort"])
 
 
 _TS = ", ".join(repr(float(t)) for t in np.arange(0.05, 0.75, 0.05))
@@ -410,36 +365,25 @@ _TS = ", ".join(repr(float(t)) for t in np.arange(0.05, 0.75, 0.05))
     c AS (SELECT cohort, threshold, tp::DOUBLE / n - fp::DOUBLE / n * o AS model, y - (1 - y) * o AS treat_all, 0::DOUBLE AS treat_none FROM s)
     SELECT *, model > treat_all AND model > 0 AS model_beats_both FROM c""")
 def decision_curve(spark, d):
-    return curves.decision_curve(_prob(spark, d), _ill(), "p", ["cohort"])
+    return curves.decision_curve(_prob(spark, d), ill(), "p", ["cohort"])
 
 
 @query(f"WITH {COHORTS_SQL}, {_PROB} SELECT cohort, avg(CAST(diagnosis >= 2 AS INTEGER)) - avg(p) AS observed_minus_predicted FROM prob GROUP BY cohort")
 def calibration_in_the_large(spark, d):
-    return curves.calibration_in_the_large(_prob(spark, d), _ill(), "p", ["cohort"])
+    return curves.calibration_in_the_large(_prob(spark, d), ill(), "p", ["cohort"])
 
 
 # ---------------------------------------------------------------- resampling
 
-_DRAWS = f"""cl AS (SELECT *, row_number() OVER (ORDER BY patient_id) - 1 AS place, count(*) OVER () AS c FROM sums),
-    dr AS (SELECT draw, CAST('0x' || substr(md5(draw || ':' || place), 1, 8) AS BIGINT) % c AS place FROM cl, (SELECT unnest(range({DRAWS})) AS draw))"""
-_LIMITS = f"""SELECT metric, count(value) AS valid, CASE WHEN count(value) >= 0.8 * {DRAWS} THEN quantile_cont(value, 0.025) END AS low,
-    CASE WHEN count(value) >= 0.8 * {DRAWS} THEN quantile_cont(value, 0.975) END AS high FROM long GROUP BY metric"""
-
-
-def _test_clusters(spark, d, sums: dict) -> DataFrame:
-    rows = graded(preds(spark, d)).where("split = 'test'")
-    return resample.numbered(rows.groupBy("patient_id").agg(*[c.alias(n) for n, c in sums.items()]), "patient_id")
-
-
 @query(f"""WITH {PREDS_SQL}, sums AS (SELECT patient_id, count(*) FILTER (diagnosis >= 2) AS pos, count(*) FILTER (diagnosis >= 2 AND pred >= 2) AS ta,
     count(*) FILTER (diagnosis >= 2 AND cand >= 2) AS tb, count(*) FILTER (diagnosis < 2) AS neg, count(*) FILTER (diagnosis < 2 AND pred < 2) AS na, count(*) FILTER (diagnosis < 2 AND cand < 2) AS nb
-    FROM preds WHERE split = 'test' GROUP BY patient_id), {_DRAWS}, s AS (SELECT draw, sum(pos) AS pos, sum(ta) AS ta, sum(tb) AS tb, sum(neg) AS neg, sum(na) AS na, sum(nb) AS nb
+    FROM preds GROUP BY patient_id), {DRAWN}, s AS (SELECT draw, sum(pos) AS pos, sum(ta) AS ta, sum(tb) AS tb, sum(neg) AS neg, sum(na) AS na, sum(nb) AS nb
     FROM dr JOIN cl USING (place) GROUP BY draw), long AS (SELECT 'sensitivity' AS metric, (tb - ta)::DOUBLE / nullif(pos, 0) AS value FROM s
-    UNION ALL SELECT 'specificity', (nb - na)::DOUBLE / nullif(neg, 0) FROM s UNION ALL SELECT 'referral', (tb - ta + na - nb)::DOUBLE / (pos + neg) FROM s) {_LIMITS}""")
+    UNION ALL SELECT 'specificity', (nb - na)::DOUBLE / nullif(neg, 0) FROM s UNION ALL SELECT 'referral', (tb - ta + na - nb)::DOUBLE / (pos + neg) FROM s) {LIMITS}""")
 def bootstrap_rates_ci(spark, d):
-    ill, a, b = _ill(), F.col("pred") >= 2, F.col("cand") >= 2
-    sums = {"pos": F.count_if(ill), "ta": F.count_if(ill & a), "tb": F.count_if(ill & b), "neg": F.count_if(~ill), "na": F.count_if(~ill & ~a), "nb": F.count_if(~ill & ~b)}
-    s = resample.resampled(_test_clusters(spark, d, sums), list(sums), DRAWS)
+    y, a, b = ill(), F.col("pred") >= 2, F.col("cand") >= 2
+    sums = {"pos": F.count_if(y), "ta": F.count_if(y & a), "tb": F.count_if(y & b), "neg": F.count_if(~y), "na": F.count_if(~y & ~a), "nb": F.count_if(~y & ~b)}
+    s = resampled_sums(spark, d, sums)
     c = F.col
     values = s.select(
         "draw", S.ratio(c("tb") - c("ta"), c("pos")).alias("sensitivity"), S.ratio(c("nb") - c("na"), c("neg")).alias("specificity"),
@@ -451,36 +395,35 @@ def bootstrap_rates_ci(spark, d):
 _MOMENTS = {"n": "1", "t": "diagnosis", "tt": "diagnosis * diagnosis", "a": "pred", "aa": "pred * pred", "ta": "diagnosis * pred", "b": "cand", "bb": "cand * cand", "tb": "diagnosis * cand"}
 
 
-def _kappa_sql(p: str) -> str:
-    return f"1 - (tt + {p}{p} - 2 * t{p}) / nullif(tt + {p}{p} - 2 * t * {p} / n, 0)"
-
-
-@query(f"""WITH {PREDS_SQL}, sums AS (SELECT patient_id, {", ".join(f"sum({e}) AS {k}" for k, e in _MOMENTS.items())} FROM preds WHERE split = 'test' GROUP BY patient_id), {_DRAWS},
+@query(f"""WITH {PREDS_SQL}, sums AS (SELECT patient_id, {", ".join(f"sum({e}) AS {k}" for k, e in _MOMENTS.items())} FROM preds GROUP BY patient_id), {DRAWN},
     s AS (SELECT draw, {", ".join(f"sum({k})::DOUBLE AS {k}" for k in _MOMENTS)} FROM dr JOIN cl USING (place) GROUP BY draw),
-    long AS (SELECT 'delta_qwk' AS metric, ({_kappa_sql("b")}) - ({_kappa_sql("a")}) AS value FROM s) {_LIMITS}""")
+    long AS (SELECT 'delta_qwk' AS metric, ({kappa_sql("b")}) - ({kappa_sql("a")}) AS value FROM s) {LIMITS}""")
 def bootstrap_qwk_ci(spark, d):
-    s = resample.resampled(_test_clusters(spark, d, {k: F.sum(F.expr(e)) for k, e in _MOMENTS.items()}), list(_MOMENTS), DRAWS)
+    s = resampled_sums(spark, d, {k: F.sum(F.expr(e)) for k, e in _MOMENTS.items()})
     c = lambda x: F.col(x).cast("double")
     kappa = lambda p: 1 - F.try_divide(c("tt") + c(p + p) - 2 * c("t" + p), c("tt") + c(p + p) - 2 * c("t") * c(p) / c("n"))
     return resample.interval(s.select("draw", (kappa("b") - kappa("a")).alias("delta_qwk")), ["delta_qwk"], DRAWS)
 
 
-@query(f"""WITH {PREDS_SQL}, rows AS (SELECT * FROM preds WHERE split = 'test'), sums AS (SELECT DISTINCT patient_id FROM rows), {_DRAWS},
-    w AS (SELECT draw, arm, score, count(*) FILTER (diagnosis >= 2) AS pos, count(*) FILTER (diagnosis < 2) AS neg FROM dr JOIN cl USING (place) JOIN
-        (SELECT patient_id, diagnosis, unnest(['a', 'b']) AS arm, unnest([baseline_raw, candidate_raw]) AS score FROM rows) USING (patient_id) GROUP BY ALL),
+_ARMS = ("baseline", "control", "candidate")
+#: The contrasts, as the second arm's area less the first's.
+_CONTRASTS = {"candidate_minus_baseline": ("baseline", "candidate"), "candidate_minus_control": ("control", "candidate"), "control_minus_baseline": ("baseline", "control")}
+
+
+@query(f"""WITH {PREDS_SQL}, sums AS (SELECT DISTINCT patient_id FROM preds), {DRAWN}, hits AS (SELECT draw, place, count(*) AS times FROM dr GROUP BY ALL),
+    arms AS (SELECT patient_id, diagnosis, unnest(['baseline', 'control', 'candidate']) AS arm, unnest([baseline_raw, control_raw, candidate_raw]) AS score FROM preds),
+    r AS (SELECT place, arm, score, count(*) FILTER (diagnosis >= 2) AS pos, count(*) FILTER (diagnosis < 2) AS neg FROM cl JOIN arms USING (patient_id) GROUP BY ALL),
+    w AS (SELECT draw, arm, score, sum(pos * times) AS pos, sum(neg * times) AS neg FROM hits JOIN r USING (place) GROUP BY ALL),
     cum AS (SELECT draw, arm, pos, neg, coalesce(sum(neg) OVER (PARTITION BY draw, arm ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w),
     auc AS (SELECT draw, arm, sum(pos * (below + neg / 2.0::DOUBLE)) / nullif(sum(pos)::DOUBLE * sum(neg), 0) AS auc FROM cum GROUP BY ALL),
-    long AS (SELECT 'delta_auc' AS metric, max(auc) FILTER (arm = 'b') - max(auc) FILTER (arm = 'a') AS value FROM auc GROUP BY draw) {_LIMITS}""")
+    wide AS (SELECT max(auc) FILTER (arm = 'baseline') AS a, max(auc) FILTER (arm = 'control') AS c, max(auc) FILTER (arm = 'candidate') AS b FROM auc GROUP BY draw),
+    long AS (SELECT unnest(['candidate_minus_baseline', 'candidate_minus_control', 'control_minus_baseline']) AS metric, unnest([b - a, b - c, c - a]) AS value FROM wide) {LIMITS}""")
 def bootstrap_auc_ci(spark, d):
-    rows = preds(spark, d).where("split = 'test'")
-    clusters = resample.numbered(rows.select("patient_id").distinct(), "patient_id")
-    drawn = resample.draws(clusters, DRAWS).join(clusters.select("place", "patient_id"), "place")
-    arms = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"{a}_raw").alias("score")) for a in ("baseline", "candidate")])).alias("x")
-    long = rows.select("patient_id", _ill().alias("ill"), arms).groupBy("patient_id", "x.arm", "x.score").agg(F.count_if("ill").alias("pos"), F.count_if(~F.col("ill")).alias("neg"))
-    weighed = drawn.join(long, "patient_id").groupBy("draw", "arm", "score").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("pos", "neg")])
-    aucs = curves.auc(weighed, ["draw", "arm"])
-    arm = lambda a: F.max(F.when(F.col("arm") == a, F.col("auc")))
-    return resample.interval(aucs.groupBy("draw").agg((arm("candidate") - arm("baseline")).alias("delta_auc")), ["delta_auc"], DRAWS)
+    arms = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"{a}_raw").alias("score")) for a in _ARMS])).alias("x")
+    rows = preds(spark, d).select("patient_id", ill().alias("ill"), arms).select("patient_id", "ill", "x.arm", "x.score")
+    values = resample.resampled_auc(rows, "patient_id", F.col("ill"), "score", "arm", DRAWS)
+    wide = values.groupBy("draw").agg(*[F.max(F.when(F.col("arm") == a, F.col("auc"))).alias(a) for a in _ARMS])
+    return resample.interval(wide.select("draw", *[(F.col(b) - F.col(a)).alias(n) for n, (a, b) in _CONTRASTS.items()]), list(_CONTRASTS), DRAWS)
 
 
 @query(f"""WITH {PREDS_SQL}, a AS (SELECT split, count(*) AS n, avg(CAST(cand = diagnosis AS INTEGER)) - avg(CAST(pred = diagnosis AS INTEGER)) AS accuracy_delta,
@@ -512,7 +455,7 @@ def fold_balance(spark, d):
     f AS (SELECT patient_id, CAST((row_number() OVER (PARTITION BY top, size ORDER BY CAST('0x' || substr(md5('42:' || patient_id), 1, 8) AS BIGINT), patient_id) - 1) % 5 + 1 AS INTEGER) AS fold FROM g)
     SELECT f.fold, count(*) AS eyes, count(DISTINCT patient_id) AS groups, count(*) FILTER (diagnosis >= 2) AS referable FROM eyes JOIN f USING (patient_id) GROUP BY f.fold""")
 def group_kfold(spark, d):
-    return splits.group_folds(eyes(spark, d).drop("fold"), "patient_id", "diagnosis", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("eyes"), F.countDistinct("patient_id").alias("groups"), F.count_if(_ill()).alias("referable"))
+    return splits.group_folds(eyes(spark, d).drop("fold"), "patient_id", "diagnosis", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("eyes"), F.countDistinct("patient_id").alias("groups"), F.count_if(ill()).alias("referable"))
 
 
 def _exams(spark, d):
@@ -635,11 +578,16 @@ def label_fingerprint(spark, d):
     return audits.fingerprint(eyes(spark, d), "id_code", ["diagnosis", "split"])
 
 
-@query(f"""WITH {COHORTS_SQL}, c AS (SELECT cohort, count(*) AS n, count(*) FILTER (diagnosis >= 2) AS referable FROM cohorts GROUP BY cohort) SELECT *, true AS consistent FROM c""")
+@query(f"""WITH {COHORTS_SQL}, c AS (SELECT cohort, count(*) AS n, count(*) FILTER (diagnosis >= 2) AS referable FROM cohorts GROUP BY cohort)
+    SELECT cohort, n + CAST(cohort = 'ASIA' AS INTEGER) AS n, referable - CAST(cohort = 'EUROPE' AS INTEGER) AS referable, cohort NOT IN ('ASIA', 'EUROPE') AS consistent FROM c""")
 def distribution_audit(spark, d):
+    """Reports of each cohort, two of which are broken: one by its size, one by its referable count."""
     per = cohorts(spark, d).groupBy("cohort", "diagnosis").agg(F.count(F.lit(1)).alias("k"))
-    reports = per.groupBy("cohort").agg(F.sum("k").alias("n"), F.sum(F.when(_ill(), F.col("k")).otherwise(0)).alias("referable"), F.map_from_entries(F.collect_list(F.struct(F.col("diagnosis").cast("string"), "k"))).alias("counts"))
-    return audits.distribution_audit(reports).drop("counts")
+    counts = F.map_from_entries(F.collect_list(F.struct(F.col("diagnosis").cast("string"), "k")))
+    reports = per.groupBy("cohort").agg(F.sum("k").alias("n"), F.sum(F.when(ill(), F.col("k")).otherwise(0)).alias("referable"), counts.alias("counts"))
+    off = lambda name: F.when(F.col("cohort") == name, 1).otherwise(0)
+    broken = reports.withColumns({"n": F.col("n") + off("ASIA"), "referable": F.col("referable") - off("EUROPE")})
+    return audits.distribution_audit(broken).drop("counts")
 
 
 _RANKS = """per AS (SELECT {v} AS value, {g} AS grp, count(*) AS n FROM {src} GROUP BY ALL), ties AS (SELECT value, sum(n) AS ties FROM per GROUP BY value),
@@ -664,7 +612,7 @@ def kruskal_h(spark, d):
     SELECT u, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, (u - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * (n + 1 - t / (n * (n - 1)))) AS z FROM u""")
 def mann_whitney_u(spark, d):
     rows = table(spark, d, "part").withColumn("g", F.when(F.col("p_size") % 5 == 0, "a").otherwise("b"))
-    return stats.mann_whitney(rows, "p_retailprice", "g", "a")
+    return stats.mann_whitney(rows, "p_retailprice", "g", "a").select("u", "n1", "n2", "z")
 
 
 @query(f"""WITH {EYES_SQL}, f AS (SELECT id_code, diagnosis, f, diagnosis + (CAST('0x' || substr(md5('f' || f || ':' || id_code), 1, 8) AS BIGINT) % 1000 / 1000.0::DOUBLE - 0.5) * 2 AS raw
@@ -687,14 +635,15 @@ def arms_long(spark, d):
 @query(f"""WITH {PREDS_SQL} SELECT split, unnest(range(0, 101, 5)) AS percent, unnest(quantile_cont(abs(baseline_raw - candidate_raw), [{", ".join(str(i / 20) for i in range(21))}])) AS spread FROM preds GROUP BY split""")
 def spread_percentiles(spark, d):
     at = [i / 20 for i in range(21)]
-    per = preds(spark, d).groupBy("split").agg(F.percentile(F.abs(F.col("baseline_raw") - F.col("candidate_raw")), F.array(*[F.lit(a) for a in at])).alias("q"))
+    off = preds(spark, d).select("split", F.abs(F.col("baseline_raw") - F.col("candidate_raw")).alias("off"))
+    per = quantiles(off, "off", at, ["split"])
     return per.select("split", F.posexplode("q").alias("i", "spread")).select("split", (F.col("i") * 5).cast("long").alias("percent"), "spread")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PREDS_SQL}, k AS (SELECT 0 AS g, baseline_raw AS score, count(*) FILTER (diagnosis >= 2) AS pos, count(*) FILTER (diagnosis < 2) AS neg
+        FROM preds WHERE split <> 'test' GROUP BY ALL), {fit_sql("k", "g")} SELECT slope, intercept FROM fitted""")
 def platt_fit(spark, d):
-    slope, intercept = stats.platt(preds(spark, d).where("split <> 'test'"), _ill(), "baseline_raw")
-    return spark.createDataFrame([(slope, intercept)], "slope double, intercept double")
+    return stats.platt(preds(spark, d).where("split <> 'test'"), ill(), "baseline_raw")
 
 
 @query()
@@ -705,6 +654,7 @@ def threshold_search(spark, d):
 
 @query()
 def metadata_forest(spark, d):
-    rows = table(spark, d, "part").withColumns({"grade": (F.col("p_size") % 5).cast("int"), "fold": (F.col("p_partkey") % 5).cast("int")})
-    counted = stats.metadata_forest(rows, ["p_size", "p_retailprice"], "grade", "fold")
+    rows = table(spark, d, "part").withColumn("grade", (F.col("p_size") % 5).cast("int"))
+    dealt = splits.stratified_folds(rows, "p_partkey", ["grade"], 5)
+    counted = stats.metadata_forest(dealt, ["p_size", "p_retailprice"], "grade", "fold")
     return metrics.grade_metrics(counted)

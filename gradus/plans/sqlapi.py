@@ -1,42 +1,68 @@
-"""The named SQL templates over a label table: run by Spark SQL, with the table's name checked before it enters the text."""
+"""Named reports over a label table that is given by name; the name is checked before Spark resolves it."""
 
 from __future__ import annotations
 
+import contextlib
+import io
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*){0,2}")
-
-TEMPLATES = {
-    "label_integrity": """
-        SELECT count(*) AS label_rows, count(DISTINCT id_code) AS distinct_ids, count_if(id_code IS NULL OR trim(CAST(id_code AS STRING)) = '') AS missing_ids,
-            count_if(diagnosis NOT BETWEEN 0 AND 4 OR diagnosis IS NULL) AS invalid_grades,
-            count_if(NOT array_contains(:splits, split) OR split IS NULL) AS invalid_splits,
-            count_if(is_referable <> (diagnosis >= 2) OR is_referable IS NULL) AS invalid_referral_flags
-        FROM IDENTIFIER(:labels)""",
-    "grade_distribution": """
-        SELECT split, diagnosis, count(*) AS n, try_divide(CAST(count(*) AS DOUBLE), sum(count(*)) OVER (PARTITION BY split)) AS split_share
-        FROM IDENTIFIER(:labels) GROUP BY split, diagnosis""",
-    "referral_prevalence": """
-        SELECT split, count(*) AS eyes, count_if(is_referable) AS referable, try_divide(CAST(count_if(is_referable) AS DOUBLE), count(*)) AS referable_share
-        FROM IDENTIFIER(:labels) GROUP BY split""",
-    "repeated_id_across_splits": """
-        SELECT id_code, count(DISTINCT split) AS split_count, count(*) AS occurrences FROM IDENTIFIER(:labels)
-        GROUP BY id_code HAVING count(DISTINCT split) > 1""",
-    "load_verification": "SELECT split, diagnosis, count(*) AS n FROM IDENTIFIER(:labels) GROUP BY split, diagnosis",
-}
-
-
-def run(spark: SparkSession, name: str, labels: str, splits: tuple[str, ...] = ("train", "valid", "test")) -> DataFrame:
-    """The template's result over the table or view ``labels`` (id_code, diagnosis, split, is_referable)."""
+from gradus.functions.scalars import ratio
+from gradus.operators import checks
+
+_NAME = re.compile(r"[A-Za-z_]\w*(\.[A-Za-z_]\w*){0,2}", re.ASCII)
+# The names of the reports and of their columns.
+
+
+def label_integrity(rows: DataFrame, splits: Sequence[str]) -> DataFrame:
+    """One row: how many rows and ids there are, and how many rows break each of the label table's rules."""
+    rules = {
+        "missing_ids": F.btrim(F.col("id_code").cast("string")) != "",
+        "invalid_grades": checks.is_grade("diagnosis"),
+        "invalid_splits": F.col("split").isin(*splits),
+        "invalid_referral_flags": F.col("is_referable") == (F.col("diagnosis") >= 2),
+    }
+    return checks.violations(rows, rules, F.count(F.lit(1)).alias("label_rows"), F.count_distinct("id_code").alias("distinct_ids"))
+
+
+def load_verification(rows: DataFrame, splits: Sequence[str]) -> DataFrame:
+    """(split, diagnosis, n): what a load should have brought in."""
+    return rows.groupBy("split", "diagnosis").agg(F.count(F.lit(1)).alias("n"))
+
+
+def grade_distribution(rows: DataFrame, splits: Sequence[str]) -> DataFrame:
+    """(split, diagnosis, n, split_share): each grade's share of its split. The window runs on one row for each grade."""
+    whole = F.sum("n").over(Window.partitionBy("split"))
+    return load_verification(rows, splits).withColumn("split_share", ratio(F.col("n"), whole))
+
+
+def referral_prevalence(rows: DataFrame, splits: Sequence[str]) -> DataFrame:
+    """(split, eyes, referable, referable_share)."""
+    per = rows.groupBy("split").agg(F.count(F.lit(1)).alias("eyes"), F.sum(F.when(F.col("is_referable"), 1).otherwise(0)).alias("referable"))
+    return per.withColumn("referable_share", ratio(F.col("referable"), F.col("eyes")))
+
+
+def repeated_id_across_splits(rows: DataFrame, splits: Sequence[str]) -> DataFrame:
+    """(id_code, split_count, occurrences) of ids that several splits hold, first counted by id and split."""
+    per = rows.groupBy("id_code", "split").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("id_code").agg(F.count("split").alias("split_count"), F.sum("n").alias("occurrences")).where("split_count > 1")
+
+
+REPORTS = {f.__name__: f for f in (label_integrity, grade_distribution, referral_prevalence, repeated_id_across_splits, load_verification)}
+
+
+def run(spark: SparkSession, name: str, labels: str, splits: Sequence[str] = checks.SPLITS) -> DataFrame:
+    """The report's result over the table or view ``labels`` (id_code, diagnosis, split, is_referable)."""
     if not _NAME.fullmatch(labels):
         raise ValueError(f"not a table name: {labels!r}")
-    args = {"labels": labels} | ({"splits": F.array(*[F.lit(s) for s in splits])} if ":splits" in TEMPLATES[name] else {})
-    return spark.sql(TEMPLATES[name], args=args)
+    return REPORTS[name](spark.table(labels), splits)
 
 
 def estimate(spark: SparkSession, name: str, labels: str) -> str:
     """The plan with Spark's cost estimates, without running it."""
-    return run(spark, name, labels)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("cost"))
+    with contextlib.redirect_stdout(io.StringIO()) as said:
+        run(spark, name, labels).explain("cost")
+    return said.getvalue()
