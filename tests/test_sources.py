@@ -1,3 +1,6 @@
+import random
+import string
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -41,16 +44,26 @@ def test_pairs_and_paired(spark, tmp_path):
         labels.read_paired(spark, put(tmp_path, head + "a,1,2,3,nan\n", "s.csv"), "patient_id")
 
 
-@pytest.mark.parametrize("grade", ["2.7", "-0.1", "5", "inf", "oops", "nan"])
-def test_external_grades_fail_closed(spark, grade):
+def refused(spark, key, grade):
+    rows = spark.createDataFrame([("plain", "3"), (key, grade)], "id_code string, diagnosis string")
     with pytest.raises(ContractError):
-        labels.validate_external(spark.createDataFrame([("a", "1"), ("b", grade)], "id_code string, diagnosis string"))
+        labels.validate_external(rows)
 
 
-@pytest.mark.parametrize("key", ["../escape", "part/x", "x\\y", " a", "", ".", "..", "a\0"])
-def test_external_ids_fail_closed(spark, key):
-    with pytest.raises(ContractError):
-        labels.validate_external(spark.createDataFrame([("ok", "1"), (key, "2")], "id_code string, diagnosis string"))
+def test_external_grades_outside_the_scale_are_refused(spark):
+    rnd = random.Random(3)
+    whole = [n for n in (*range(-9, 0), *range(5, 15))]
+    for grade in (rnd.choice(whole), rnd.randrange(4) + rnd.choice([0.25, 0.5, 0.75]), float("-inf"), float("nan"), "".join(rnd.choices(string.ascii_letters, k=6))):
+        refused(spark, "other", str(grade))
+
+
+def test_external_ids_that_are_no_file_names_are_refused(spark):
+    rnd = random.Random(4)
+    name = lambda: "".join(rnd.choices(string.ascii_lowercase, k=5))
+    for mark in "/\\\0":
+        refused(spark, name() + mark + name(), "1")
+    for key in (name() + " ", " " * 3 + name(), "." * rnd.randint(1, 2), ""):
+        refused(spark, key, "1")
 
 
 def test_external_keeps_padding_out(spark, tmp_path):
@@ -114,3 +127,14 @@ def test_sinks(spark, tmp_path):
         sinks.write_new(df, path)
     sinks.write_labels(df.withColumn("split", F.lit("test")).withColumn("id_code", F.col("run_name")), str(tmp_path / "labels"))
     assert sinks.run_id({"a": 1, "b": 2}, "x") == sinks.run_id({"b": 2, "a": 1}, "x")
+
+
+def test_reports_by_table_name(spark):
+    from gradus.plans import sqlapi
+
+    spark.createDataFrame([("a", 0, "train", False), ("b", 7, "valid", True), ("b", 2, "test", False), (" ", 1, "none", None)], "id_code string, diagnosis int, split string, is_referable boolean").createOrReplaceTempView("some_labels")
+    row = sqlapi.run(spark, "label_integrity", "some_labels").first().asDict()
+    assert row == {"label_rows": 4, "distinct_ids": 3, "missing_ids": 1, "invalid_grades": 1, "invalid_splits": 1, "invalid_referral_flags": 2}
+    assert "sizeInBytes" in sqlapi.estimate(spark, "referral_prevalence", "some_labels")
+    with pytest.raises(ValueError):
+        sqlapi.run(spark, "label_integrity", "labels; DROP TABLE x")
