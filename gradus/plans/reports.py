@@ -10,6 +10,7 @@ from gradus.operators import audits, checks, curves, joins, metrics, quality, re
 from gradus.plans.adapters import COHORTS_SQL, DIGIT_SQL, DOCS_SQL, EYES_SQL, PREDS_SQL, RUNS_SQL, cohorts, docs, eyes, noisy, preds, runs, table
 from gradus.plans.shared import CURVE, DRAWN, DRAWS, GRADE, LIMITS, METRICS, POINT, REFERABLE, counts_of, fit_sql, graded, ill, kappa_sql, resampled_sums
 from gradus.plans.registry import query
+from gradus.sources.images import concentration
 
 # ---------------------------------------------------------------- operating points and transfer
 
@@ -584,6 +585,15 @@ def finite_scores(spark, d):
     return rows.groupBy("split").agg(F.count_if(S.finite(F.col("s"))).alias("finite"), F.count_if(checks.is_probability("s")).alias("probabilities"))
 
 
+@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT vec_id, sum(v * v) AS heat, sum(v * v) FILTER (100 * v > 10) AS inside,
+        count(*) FILTER (100 * v > 10)::DOUBLE / count(*) AS area FROM x GROUP BY vec_id)
+    SELECT vec_id, CASE WHEN heat > 0 AND area > 0 AND area < 1 THEN inside / heat END AS mass, area, CASE WHEN heat > 0 AND area > 0 AND area < 1 THEN inside / heat / area END AS ratio FROM s""")
+def attention_concentration(spark, d):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    rows = table(spark, d, "embeddings").select("vec_id", concentration(F.transform(v, lambda x: x * x), F.transform(v, lambda x: x * 100)).alias("c"))
+    return rows.select("vec_id", "c.mass", "c.area", "c.ratio")
+
+
 @query()
 def metadata_strata(spark, d):
     """The shortcut forest's agreement by stratum and over ALL; folds are stratified."""

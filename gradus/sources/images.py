@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The crop's tolerance, the brightness gates, the hash's side.
@@ -98,3 +98,65 @@ def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     """(path, length, sha256) of each file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def to_square(image: np.ndarray, size: int, mode: str = "squash") -> np.ndarray:
+    """The image as ``size`` x ``size``: with black bars (``pad``), or with its sides scaled apart (``squash``)."""
+    if mode not in ("pad", "squash"):
+        raise ValueError(f"neither pad nor squash: {mode!r}")
+    whole = pad_to_square(image) if mode == "pad" else image
+    planes = [area_resize(whole[:, :, c], size, size) for c in range(whole.shape[2])]
+    return np.clip(np.round(np.stack(planes, axis=2)), 0, 255).astype(np.uint8)
+
+
+def prepare(image: np.ndarray | None, size: int, mode: str = "squash") -> tuple[np.ndarray | None, str | None]:
+    """The cropped square, or None and the reason why there is none."""
+    if image is None:
+        return None, "unreadable"
+    level = gray(image).mean()
+    if level < DARK or level > BRIGHT:
+        return None, "too dark" if level < DARK else "too bright"
+    return to_square(auto_crop(image), size, mode), None
+
+
+def prepared(spark: SparkSession, path: str, size: int, mode: str = "squash", pattern: str = "*.png") -> DataFrame:
+    """(origin, size, image, error): a row for each file; rejected ones have a reason and no image."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                image, error = prepare(pixels(r.data, r.height, r.width, r.nChannels) if r.height > 0 else None, size, mode)
+                rows.append((r.origin, size, None if image is None else image.tobytes(), error))
+            yield pd.DataFrame(rows, columns=["origin", "size", "image", "error"])
+
+    images = spark.read.format("image").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("dropInvalid", False).load(path)
+    return images.select("image.*").mapInPandas(work, "origin string, size int, image binary, error string")
+
+
+def thumbnails(spark: SparkSession, path: str, side: int = 128, pattern: str = "*.png") -> DataFrame:
+    """(origin, thumb array<float>): gray thumbnails, made once for all comparisons of an image; unreadable files have none."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            small = [area_resize(gray(pixels(r.data, r.height, r.width, r.nChannels)), side, side).ravel().astype(np.float32) if r.height > 0 else None for r in frame.itertuples(index=False)]
+            yield pd.DataFrame({"origin": frame["origin"], "thumb": small})
+
+    images = spark.read.format("image").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("dropInvalid", False).load(path)
+    return images.select("image.*").mapInPandas(work, "origin string, thumb array<float>")
+
+
+#: Fixed value: the level above which a pixel counts as tissue, a little above the crop's.
+TISSUE = 10
+
+
+def concentration(heat: Column, level: Column) -> Column:
+    """(mass, area, ratio) of a heat map on the pixels of an image that are brighter than TISSUE, from two arrays of equal length.
+
+    Mass and ratio are null where there is no heat, or where all or no pixels are tissue.
+    """
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    area = total(F.transform(level, lambda v: F.when(v > TISSUE, 1.0).otherwise(0.0))) / F.size(level)
+    inside = total(F.zip_with(heat, level, lambda h, v: F.when(v > TISSUE, h).otherwise(0.0)))
+    mass = F.when((total(heat) > 0) & (area > 0) & (area < 1), inside / total(heat))
+    return F.struct(mass.alias("mass"), area.alias("area"), (mass / area).alias("ratio"))

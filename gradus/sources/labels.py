@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gradus.functions.scalars import grade_name, referable, stem
-from gradus.operators.checks import ContractError, is_cluster, is_grade, is_safe_id, require, require_labels, require_unique
+from gradus.operators.checks import ContractError, is_cluster, is_grade, is_safe_id, is_whole_grade, not_exactly_one, require, require_labels, require_unique, valid_cuts
 
 
 def read_text_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, sep: str = ",") -> DataFrame:
@@ -108,8 +111,76 @@ def explode_folds(folds: DataFrame) -> DataFrame:
     return zipped.select("sweep", "fold", "pos", F.col("x.test_ids").alias("id_code"), F.col("x.test_true").alias("test_true"), F.col("x.test_raw").alias("test_raw"))
 
 
+def read_fold_arrays(spark: SparkSession, path: str, pattern: str = "fold*.npz") -> DataFrame:
+    """(path, id_code, pos, test_true, test_raw) rows of legacy fold archives with the arrays test_ids, test_true and test_raw."""
+
+    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as arrays:
+                    ids = arrays["test_ids"].astype(str)
+                    columns = {"id_code": ids, "pos": np.arange(len(ids)), "test_true": arrays["test_true"].astype(int), "test_raw": arrays["test_raw"].astype(float)}
+                yield pd.DataFrame({"path": name, **columns})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInPandas(unpack, "path string, id_code string, pos int, test_true int, test_raw double")
+
+
+def read_runs(spark: SparkSession, table: str, fallback: str) -> DataFrame:
+    """The run store ``table``, or the exported CSV where there is none."""
+    if spark.catalog.tableExists(table):
+        return spark.table(table)
+    return spark.read.option("header", True).option("inferSchema", True).csv(fallback)
+
+
+def read_patients(spark: SparkSession, path: str) -> DataFrame:
+    """(id_code, patient_id) with unique, non-empty ids on the left and real names on the right."""
+    rows = read_text_table(spark, path, ["id_code", "patient_id"]).select(F.trim("id_code").alias("id_code"), F.trim("patient_id").alias("patient_id"))
+    require(rows, {"id_code": is_safe_id("id_code"), "patient_id": is_cluster("patient_id")})
+    require_unique(rows, "id_code")
+    return rows
+
+
+def read_ids(spark: SparkSession, path: str, key: str = "id_code", grade: str = "diagnosis") -> DataFrame:
+    """(id_code, diagnosis) of a strict file: unique safe ids, and grades that say 0 to 4 as whole numbers."""
+    rows = read_text_table(spark, path, [key, grade]).select(F.trim(key).alias("id_code"), F.trim(grade).alias("diagnosis"))
+    require(rows, {"id_code": is_safe_id("id_code"), "diagnosis": is_whole_grade("diagnosis")})
+    require_unique(rows, "id_code")
+    return rows.withColumn("diagnosis", F.substring("diagnosis", 1, 1).cast("int"))
+
+
+def find_files(spark: SparkSession, path: str, wanted: DataFrame, pattern: str = "*.png") -> DataFrame:
+    """(id_code, path): the file of each of ``wanted`` (id_code); an id with no file or several raises."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    named = files.select(stem(F.col("path")).alias("id_code"), "path")
+    bad = not_exactly_one(named, wanted, "id_code").orderBy("id_code").limit(5).collect()
+    if bad:
+        raise ContractError(f"not exactly one file: {[tuple(r) for r in bad]}")
+    return named.join(wanted.select("id_code").distinct(), "id_code", "left_semi")
+
+
 def ensemble(rows: DataFrame, folds: int) -> DataFrame:
-    """(sweep, id_code, diagnosis, raw): the mean score over all folds; each id must be in every fold once, with one truth."""
-    per = rows.groupBy("sweep", "id_code").agg(F.avg("test_raw").alias("raw"), F.min("test_true").alias("diagnosis"), F.max("test_true").alias("_high"), F.count(F.lit(1)).alias("_n"), F.countDistinct("fold").alias("_folds"))
-    require(per, {"one truth": F.col("diagnosis") == F.col("_high"), "all folds": (F.col("_n") == folds) & (F.col("_folds") == folds)})
-    return per.select("sweep", "id_code", "diagnosis", "raw")
+    """(sweep, id_code, diagnosis, raw, in_order): the mean score over all folds; each id must be in every fold once, with one truth.
+
+    ``in_order`` says whether the id has one place in all folds.
+    """
+    low_high = [x for c in ("test_true", "pos") for x in (F.min(c).alias(f"_{c}"), F.max(c).alias(f"_{c}_high"))]
+    per = rows.groupBy("sweep", "id_code").agg(F.avg("test_raw").alias("raw"), *low_high, F.count(F.lit(1)).alias("_n"), F.count_distinct("fold").alias("_folds"))
+    require(per, {"one truth": F.col("_test_true") == F.col("_test_true_high"), "all folds": (F.col("_n") == folds) & (F.col("_folds") == folds)})
+    return per.select("sweep", "id_code", F.col("_test_true").alias("diagnosis"), "raw", (F.col("_pos") == F.col("_pos_high")).alias("in_order"))
+
+
+def graded_ensemble(rows: DataFrame, cuts: DataFrame, folds: int, in_order: bool = False) -> DataFrame:
+    """(sweep, id_code, diagnosis, raw, pred): scores and cuts are averaged over the folds, then graded once.
+
+    ``cuts`` (sweep, fold, cuts) has an array for each fold. ``in_order`` asks for one order of ids in all folds.
+    """
+    require(cuts, {"cuts": valid_cuts(F.col("cuts"))})
+    scored = ensemble(rows, folds)
+    if in_order:
+        require(scored, {"in_order": F.col("in_order")})
+    each = cuts.select("sweep", F.posexplode("cuts").alias("k", "c")).groupBy("sweep", "k").agg(F.avg("c").alias("c"))
+    mean = each.groupBy("sweep").agg(F.array_sort(F.collect_list("c")).alias("_cuts"))
+    # A row for each sweep.
+    graded = scored.join(F.broadcast(mean), "sweep").withColumn("pred", F.size(F.filter("_cuts", lambda c: c <= F.col("raw"))))
+    return graded.select("sweep", "id_code", "diagnosis", "raw", "pred")

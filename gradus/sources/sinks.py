@@ -7,10 +7,13 @@ import json
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.operators.checks import ContractError
+from gradus.functions.scalars import finite
+from gradus.operators.audits import fingerprint
+from gradus.operators.checks import ContractError, require_unique
+from gradus.operators.joins import remap
 
 
 def write_labels(df: DataFrame, path: str) -> None:
@@ -41,10 +44,11 @@ def append_runs(new: DataFrame, path: str, key: str = "run_name") -> None:
     new.write.mode("append").parquet(path)
 
 
-def export_runs(df: DataFrame, metrics: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Metrics rounded to 6 digits, NaN as null, rows in order with nulls last."""
+def export_runs(df: DataFrame, metrics: Sequence[str], order: Sequence[str], commits: DataFrame | None = None) -> DataFrame:
+    """Metrics rounded to 6 digits, NaN as null, rows in order with nulls last; ``commits`` (old, new) renames rewritten commits."""
     clean = {m: F.round(F.nanvl(F.col(m), F.lit(None).cast("double")), 6) for m in metrics}
-    return df.withColumns(clean).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    rows = df if commits is None else remap(df, commits, "commit", "old", "new")
+    return rows.withColumns(clean).orderBy(*[F.col(c).asc_nulls_last() for c in order])
 
 
 def to_markdown(df: DataFrame, most: int = 200) -> str:
@@ -60,3 +64,80 @@ def to_markdown(df: DataFrame, most: int = 200) -> str:
 def run_id(config: dict, fingerprint: str) -> str:
     """A name of a run by what it depends on: settings without order, and the data's fingerprint."""
     return hashlib.sha256(json.dumps([config, fingerprint], sort_keys=True, allow_nan=False).encode()).hexdigest()[:12]
+
+
+def write_combined(df: DataFrame, path: str) -> None:
+    """One table of all splits in order of split and id, beside a folder for each split."""
+    df.orderBy("split", "id_code").write.mode("overwrite").parquet(f"{path}/all")
+    write_labels(df, f"{path}/by_split")
+
+
+def write_image_stats(df: DataFrame, path: str) -> None:
+    """Image measures as CSV in order of split and id; the range sort spreads over all tasks."""
+    df.orderBy("split", "id_code").write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_findings(problems: DataFrame, leaks: DataFrame, path: str) -> None:
+    """The problem list and the list of leaked ids, a CSV folder each; empty lists are written too, with their header."""
+    for name, rows in (("problems", problems), ("leaks", leaks)):
+        rows.orderBy(*rows.columns).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
+def write_fold(rows: DataFrame, path: str, sweep: str, fold: int) -> None:
+    """A fold's scores (id_code, test_true, test_raw) as the partition ``sweep=, fold=``; ids must be unique, a stored fold stays."""
+    require_unique(rows, "id_code")
+    write_new(rows, f"{path}/sweep={sweep}/fold={fold}")
+
+
+def read_folds(spark: SparkSession, path: str) -> DataFrame:
+    """(sweep, fold, id_code, test_true, test_raw) of all stored folds; filters on sweep and fold read their files only."""
+    return spark.read.parquet(path)
+
+
+def write_run(df: DataFrame, path: str, config: dict) -> None:
+    """A single run: its rows, and its settings as strict JSON; neither replaces an existing run."""
+    write_new(df, f"{path}/rows")
+    write_json(df.sparkSession.createDataFrame([(strict_json(config),)], "value string"), f"{path}/config")
+
+
+def publish(df: DataFrame, path: str, about: dict) -> None:
+    """Scores first, then a sidecar that signs them: readers that ask for the sidecar never see half of a result.
+
+    The sidecar has the number of rows and an order-free fingerprint of the stored rows, besides ``about``.
+    """
+    write_new(df, f"{path}/scores")
+    stored = df.sparkSession.read.parquet(f"{path}/scores")
+    signed = fingerprint(stored, stored.columns[0], stored.columns[1:]).first().asDict()
+    write_json(df.sparkSession.createDataFrame([(strict_json(about | signed),)], "value string"), f"{path}/sidecar")
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The scores, if their sidecar is there and still describes them."""
+    try:
+        said = json.loads(spark.read.text(f"{path}/sidecar").first().value)
+    except AnalysisException as e:
+        raise ContractError(f"{path} was never published") from e
+    stored = spark.read.parquet(f"{path}/scores")
+    found = fingerprint(stored, stored.columns[0], stored.columns[1:]).first()
+    if (said["rows"], said["fingerprint"]) != (found.rows, found.fingerprint):
+        raise ContractError(f"{path}: the scores are not those that were signed")
+    return stored
+
+
+def strict_json(value: dict) -> str:
+    """Sorted keys; NaN and infinities raise, as other readers don't know them."""
+    return json.dumps(value, sort_keys=True, allow_nan=False)
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """(value): a JSON text for each row, keys in order of name, undefined numbers as null."""
+    clean = {c: F.when(finite(F.col(c)), F.col(c)) for c, kind in df.dtypes if kind in ("double", "float")}
+    return df.withColumns(clean).select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Lines of text, never over an existing result."""
+    try:
+        df.write.mode("errorifexists").text(path)
+    except AnalysisException as e:
+        raise ContractError(f"{path} exists") from e

@@ -138,3 +138,117 @@ def test_reports_by_table_name(spark):
     assert "sizeInBytes" in sqlapi.estimate(spark, "referral_prevalence", "some_labels")
     with pytest.raises(ValueError):
         sqlapi.run(spark, "label_integrity", "labels; DROP TABLE x")
+
+
+def png(path, image):
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    h, w = image.shape[:2]
+    raw = b"".join(b"\0" + row.tobytes() for row in image[:, :, ::-1])
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def test_prepared_images_have_a_reason_or_pixels(spark, tmp_path):
+    png(tmp_path / "good.png", disc())
+    png(tmp_path / "dark.png", np.zeros((9, 9, 3), np.uint8))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    rows = {r.origin.rpartition("/")[2]: r for r in images.prepared(spark, str(tmp_path), 16, "pad").collect()}
+    assert (rows["bad.png"].error, rows["dark.png"].error, rows["good.png"].error) == ("unreadable", "too dark", None)
+    assert len(rows["good.png"].image) == 16 * 16 * 3 and rows["dark.png"].image is None
+    thumbs = {r.origin.rpartition("/")[2]: r.thumb for r in images.thumbnails(spark, str(tmp_path), 8).collect()}
+    assert len(thumbs["good.png"]) == 64 and thumbs["bad.png"] is None
+    wide = np.repeat(np.arange(8, dtype=np.uint8)[None, :, None] * 30, 4, 0)
+    assert images.to_square(wide, 4, "squash")[0, :, 0].tolist() == [15, 75, 135, 195] and images.to_square(wide, 8, "pad")[0].max() == 0
+    with pytest.raises(ValueError):
+        images.to_square(wide, 4, "crop")
+
+
+def test_heat_on_tissue(spark):
+    rows = spark.createDataFrame([([3.0, 1.0], [20.0, 0.0]), ([0.0, 0.0], [20.0, 0.0]), ([1.0, 1.0], [20.0, 20.0])], "h array<double>, v array<double>")
+    got = [r[0] for r in rows.select(images.concentration(F.col("h"), F.col("v"))).collect()]
+    assert tuple(got[0]) == (0.75, 0.5, 1.5) and got[1].mass is None and got[2].ratio is None and got[2].area == 1.0
+
+
+def test_legacy_fold_archives(spark, tmp_path):
+    np.savez(tmp_path / "fold1.npz", test_ids=np.array(["a", "b"]), test_true=np.array([0, 2]), test_raw=np.array([0.25, 2.5]))
+    rows = labels.read_fold_arrays(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [tuple(r)[1:] for r in rows] == [("a", 0, 0, 0.25), ("b", 1, 2, 2.5)]
+
+
+def test_graded_ensemble_averages_first(spark):
+    rows = spark.createDataFrame([("s", f, k, i, 1, r) for f, rs in ((1, (0.4, 1.4)), (2, (0.8, 1.8))) for k, (i, r) in enumerate(zip("ab", rs, strict=True))], "sweep string, fold int, pos int, id_code string, test_true int, test_raw double")
+    cuts = spark.createDataFrame([("s", 1, [0.4, 1.5, 2.5, 3.5]), ("s", 2, [0.8, 1.9, 2.5, 3.5])], "sweep string, fold int, cuts array<double>")
+    got = {r.id_code: (round(r.raw, 6), r.pred) for r in labels.graded_ensemble(rows, cuts, 2, in_order=True).collect()}
+    assert got == {"a": (0.6, 1), "b": (1.6, 1)}
+    with pytest.raises(ContractError):
+        labels.graded_ensemble(rows.withColumn("pos", F.col("pos") * F.col("fold")), cuts, 2, in_order=True)
+    with pytest.raises(ContractError):
+        labels.graded_ensemble(rows, cuts.withColumn("cuts", F.reverse("cuts")), 2)
+
+
+def test_strict_ids_patients_and_files(spark, tmp_path):
+    head = "id_code,diagnosis\n"
+    assert {tuple(r) for r in labels.read_ids(spark, put(tmp_path, head + "a,3\nb,1.00\n")).collect()} == {("a", 3), ("b", 1)}
+    for k, bad in enumerate(("c,1.5", "c,05", "c,", "a,1")):
+        with pytest.raises(ContractError):
+            labels.read_ids(spark, put(tmp_path, head + "a,3\n" + bad + "\n", f"ids{k}.csv"))
+    assert labels.read_patients(spark, put(tmp_path, "id_code,patient_id\na,p\nb,p\n", "p.csv")).count() == 2
+    with pytest.raises(ContractError):
+        labels.read_patients(spark, put(tmp_path, "id_code,patient_id\na,p\nb, \n", "q.csv"))
+    (tmp_path / "img" / "x").mkdir(parents=True)
+    for name in ("a.png", "b.png", "x/b.png"):
+        (tmp_path / "img" / name).write_bytes(b"1")
+    wanted = spark.createDataFrame([("a",)], "id_code string")
+    assert labels.find_files(spark, str(tmp_path / "img"), wanted).count() == 1
+    for key in "bc":
+        with pytest.raises(ContractError):
+            labels.find_files(spark, str(tmp_path / "img"), wanted.union(spark.createDataFrame([(key,)], "id_code string")))
+
+
+def test_tables_runs_and_reports(spark, tmp_path):
+    rows = labels.load_labels(spark, put(tmp_path, GOOD))
+    sinks.save_table(rows, "kept_labels", 2, "id_code", ["id_code"])
+    assert labels.load_labels(spark, "kept_labels", "table").count() == 3 and labels.read_runs(spark, "kept_labels", "none").count() == 3
+    assert labels.read_runs(spark, "no_such_table", put(tmp_path, "run,m\nr1,0.5\n", "runs.csv")).first().m == 0.5
+    (tmp_path / "r.json").write_text('{"set": "one",\n "n": 3}')
+    assert tuple(labels.read_report(spark, str(tmp_path / "r.json"), "set string, n int").first()) == ("one", 3)
+    spark.sql("DROP TABLE kept_labels")
+
+
+def test_published_results_are_whole(spark, tmp_path):
+    path, rows = str(tmp_path / "out"), spark.createDataFrame([("a", 0.5), ("b", float("nan"))], "id_code string, raw double")
+    with pytest.raises(ContractError):
+        sinks.read_published(spark, path)
+    sinks.publish(rows, path, {"model": "m"})
+    assert sinks.read_published(spark, path).count() == 2
+    rows.limit(1).write.mode("append").parquet(f"{path}/scores")
+    with pytest.raises(ContractError):
+        sinks.read_published(spark, path)
+    with pytest.raises(ValueError):
+        sinks.strict_json({"a": float("inf")})
+    assert [r.value for r in sinks.as_json(rows).orderBy("value").collect()] == ['{"id_code":"a","raw":0.5}', '{"id_code":"b","raw":null}']
+
+
+def test_folds_runs_and_lists_are_stored(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 0.5), ("b", 0, 0.1)], "id_code string, test_true int, test_raw double")
+    path = str(tmp_path / "folds")
+    for fold in (1, 2):
+        sinks.write_fold(rows, path, "s", fold)
+    with pytest.raises(ContractError):
+        sinks.write_fold(rows, path, "s", 2)
+    with pytest.raises(ContractError):
+        sinks.write_fold(rows.union(rows), path, "s", 3)
+    assert sinks.read_folds(spark, path).where("fold = 2").count() == 2
+    sinks.write_run(rows, str(tmp_path / "run"), {"b": 1, "a": 2})
+    assert spark.read.text(str(tmp_path / "run" / "config")).first().value == '{"a": 2, "b": 1}'
+    sinks.write_findings(rows, rows.limit(0), str(tmp_path / "lists"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "lists" / "problems")).count() == 2
+    split = rows.withColumn("split", F.lit("test"))
+    sinks.write_combined(split, str(tmp_path / "labels"))
+    sinks.write_image_stats(split, str(tmp_path / "stats"))
+    assert spark.read.parquet(str(tmp_path / "labels" / "by_split")).count() == spark.read.parquet(str(tmp_path / "labels" / "all")).count() == 2
+    commits = spark.createDataFrame([("old", "new")], "old string, new string")
+    renamed = sinks.export_runs(spark.createDataFrame([("old", 1.0), ("x", 2.0)], "commit string, m double"), ["m"], ["m"], commits)
+    assert [r.commit for r in renamed.collect()] == ["new", "x"]
