@@ -199,13 +199,14 @@ def one_to_one_join(spark, d):
     return both.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("candidate_raw") - F.col("baseline_raw")).alias("mean_diff"))
 
 
-@query(f"""WITH {PREDS_SQL}, a AS (SELECT * FROM preds WHERE id_code % 3 <> 0), b AS (SELECT * FROM preds WHERE id_code % 5 <> 0)
-    SELECT count(*) FILTER (a.id_code IS NOT NULL AND b.id_code IS NOT NULL) AS matched, count(*) FILTER (b.id_code IS NULL) AS only_left,
-    count(*) FILTER (a.id_code IS NULL) AS only_right, 0 AS diagnosis_differs, count(*) FILTER (a.pred <> b.cand) AS grade_differs FROM a FULL JOIN b USING (id_code)""")
+@query("""WITH a AS (SELECT doc_id, CAST(n_chars >= 1000 AS INTEGER) AS diagnosis, n_chars % 2 AS grade FROM documents), b AS (SELECT doc_id, quality AS diagnosis, toxic AS grade FROM labels)
+    SELECT count(*) FILTER (a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL) AS matched, count(*) FILTER (b.doc_id IS NULL) AS only_left,
+    count(*) FILTER (a.doc_id IS NULL) AS only_right, count(*) FILTER (a.doc_id = b.doc_id AND a.diagnosis IS DISTINCT FROM b.diagnosis) AS diagnosis_differs,
+    count(*) FILTER (a.doc_id = b.doc_id AND a.grade IS DISTINCT FROM b.grade) AS grade_differs FROM a FULL JOIN b USING (doc_id)""")
 def set_reconcile(spark, d):
-    rows = graded(preds(spark, d))
-    a, b = (rows.where(f"id_code % {k} <> 0").select("id_code", "diagnosis", F.col(c).alias("grade")) for k, c in ((3, "pred"), (5, "cand")))
-    return joins.reconcile(a, b, "id_code", ["diagnosis", "grade"])
+    a = table(spark, d, "documents").select("doc_id", (F.col("n_chars") >= 1000).cast("int").alias("diagnosis"), (F.col("n_chars") % 2).alias("grade"))
+    b = table(spark, d, "labels").select("doc_id", F.col("quality").alias("diagnosis"), F.col("toxic").alias("grade"))
+    return joins.reconcile(a, b, "doc_id", ["diagnosis", "grade"])
 
 
 @query("""SELECT coalesce(r_name, n_name) AS place, count(*) AS n FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey GROUP BY place""")

@@ -247,12 +247,11 @@ def out_of_fold(spark, d):
     return found.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.avg("raw").alias("mean_raw"))
 
 
-@query("""WITH per AS (SELECT event_type AS variant, user_id % 7 + 1 AS fold, count(*) AS n FROM events WHERE event_id % 3 <> 0 OR user_id % 7 <> 4 GROUP BY ALL)
-    SELECT variant, count(*) FILTER (fold <= 6) + count(*) FILTER (fold > 6) AS folds, CAST(sum(n) AS BIGINT) AS "rows", 6 - count(*) FILTER (fold <= 6) AS missing,
-        count(*) FILTER (fold <= 6) = 6 AND min(n) = max(n) AS complete FROM per GROUP BY variant""")
+@query("""WITH per AS (SELECT user_id, event_id % 5 + 1 AS fold, count(*) AS n FROM events GROUP BY ALL)
+    SELECT user_id, count(*) AS folds, CAST(sum(n) AS BIGINT) AS "rows", 5 - count(*) AS missing, count(*) = 5 AND min(n) = max(n) AS complete FROM per GROUP BY user_id""")
 def fold_completeness(spark, d):
-    rows = table(spark, d, "events").where("event_id % 3 <> 0 OR user_id % 7 <> 4")
-    return audits.fold_completeness(rows.select(F.col("event_type").alias("variant"), (F.col("user_id") % 7 + 1).cast("int").alias("fold")), ["variant"], 6)
+    rows = table(spark, d, "events").select("user_id", (F.col("event_id") % 5 + 1).cast("int").alias("fold"))
+    return audits.fold_completeness(rows, ["user_id"], 5)
 
 
 # ---------------------------------------------------------------- tests with p-values
