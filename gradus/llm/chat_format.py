@@ -36,7 +36,8 @@ def expand(turns: DataFrame) -> DataFrame:
 
     Rows go by turn, nulls first; equal turns by role, then text. Null roles and texts are empty. Rows with a null conv_id are
     one conversation. ``target`` counts turns from 0; the loss span is in code points, end exclusive, and empty in the example
-    without a target, whose ``target`` is the number of turns.
+    without a target, whose ``target`` is the number of turns. Repeated rows are turns of their own; an empty table has no examples.
+    Each example repeats all turns before its target, so a conversation's output grows with the square of its replies.
     """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     talks = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))

@@ -479,7 +479,8 @@ def near_duplicates(docs: DataFrame, **limits) -> DataFrame:
 
     component_id is the smallest doc_id of the row's component: rows with equal sets and rows reached by links. A null or
     wordless text has no shingles and is a component of its own. Null ids are never the smallest; a component without any
-    other id has a null one. Repeated rows give repeated rows; rows that share an id are linked only by their texts.
+    other id has a null one. Repeated rows give repeated rows; rows that share an id are linked only by their texts. Long texts
+    are compared whole. An empty table has no rows.
     """
     return labelled(docs, **limits).select("doc_id", "n_shingles", "component_id")
 
@@ -487,7 +488,7 @@ def near_duplicates(docs: DataFrame, **limits) -> DataFrame:
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component of ``docs``: that of the smallest doc_id, null ids last, then of the smallest row key.
 
-    All columns stay, as do rows without shingles. Of rows equal in doc_id and text one stays.
+    All columns stay, as do rows without shingles. Of rows equal in doc_id and text one stays. An empty table stays empty.
     """
     key = "_gradus_key"
     found = written(labelled(docs), "labelled")

@@ -107,8 +107,9 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE)
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, kept_share: float = KEPT_SHARE) -> DataFrame:
     """Base measures of each row of ``docs`` (doc_id, text, source), its boilerplate lines, and whether it is kept.
 
-    ``boilerplate`` has the hashes of the row's removed lines, ``n_gone_words`` the words that go with all their occurrences. Each row counts as a document of its host, also if it repeats
-    another; repeated rows give repeated rows. Rows with a null source are one host. A text without words fails the base rules.
+    ``boilerplate`` has the hashes of the row's removed lines, ``n_gone_words`` the words that go with all their occurrences.
+    Each row counts as a document of its host, also if it repeats another; repeated rows give repeated rows. Rows with a null
+    source are one host. A text without words fails the base rules; long texts are measured whole. An empty table has no rows.
     """
     lines = line_hashes(docs)
     removed = lines.join(boilerplate(docs, min_docs, share).select("host", "line"), ["host", "line"])

@@ -39,3 +39,9 @@ def test_examples_hold_their_context_and_one_reply(spark):
         assert r.loss == (turns[r.target][1] if r.target < len(turns) else "")
         assert r.formatted.count("</turn>") == len(r.turns) == r.formatted.count("### ")
     assert len(rows) == sum(r[2] == "assistant" for r in ROWS) + sum(ordered(ROWS, k)[-1][0] != "assistant" for k in {r[0] for r in ROWS})
+
+
+def test_long_conversation(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i} # < \\") for i in range(600)]
+    r = c.format_digest(frame(spark, rows)).first()
+    assert (r.n_turns, r.n_examples, r.loss_chars) == (600, 300, sum(len(x[3]) for x in rows[1::2]))

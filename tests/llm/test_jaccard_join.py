@@ -106,3 +106,14 @@ def test_components_of_paths_and_stars(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert all(got[i] == 0 for i in range(41)) and all(got[k] == 100 for k in range(100, 150)) and got[61] == got[60] == 60
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_long_texts(spark):
+    rnd = random.Random(2)
+    words = [f"w{rnd.randrange(50_000)}" for _ in range(60_000)]
+    edited = words.copy()
+    for _ in range(1500):
+        edited[rnd.randrange(len(edited))] = "new"
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[:20_000])), (4, "short text of its own here")]
+    got = sorted(tuple(r) for r in j.near_duplicates(frame(spark, rows)).collect())
+    assert got == brute(rows) and [c for *_, c in got] == [1, 1, 3, 4]

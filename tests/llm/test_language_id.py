@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import zstandard
+
 from gradus.llm import language_id as lang
 
 DOCS = "doc_id long, text string, lang string, score string, row_key string"
@@ -54,3 +56,27 @@ def test_copies_of_one_text_leave_the_dictionary_full(spark):
     assert {k: len(v) for k, v in dictionaries.items()} == {"xx": lang.DICTIONARY, "yy": lang.DICTIONARY}
     short = spark.range(40_000).selectExpr("'xx' AS lang", "concat('a', id) AS text")
     assert len(lang.sample_dictionaries(short)["xx"]) == lang.DICTIONARY
+
+
+def test_a_language_of_one_repeated_text_is_learned(spark):
+    once = "zil vok arrem tadu, sen pirok"
+    docs = frame(spark, rows(300)).unionByName(spark.range(1000, 5000).selectExpr("id AS doc_id", f"'{once}' AS text", "'zz' AS lang", "'s' AS score", "'k' AS row_key"))
+    dictionaries = lang.sample_dictionaries(lang.training_rows(docs))
+    assert dictionaries["zz"] == once.encode() + b"\n" and set(dictionaries) == {"xx", "yy", "zz"}
+    assert {r.lang_pred for r in lang.identify(docs).where("doc_id >= 1000").collect()} == {"zz"}
+
+
+def test_sizes_and_winner_against_plain_compression(spark):
+    dictionaries = lang.sample_dictionaries(lang.training_rows(frame(spark, rows(60))))
+    texts = [t for _, t, _ in rows(40, 3)] + ["tok amo", "x", "TOK LIM pra " * 2000, "é" * 700, "1"]
+    got = lang.classify(frame(spark, [(i, t, None) for i, t in enumerate(texts)]), dictionaries).orderBy("doc_id").collect()
+    for text, r in zip(texts, got, strict=True):
+        raw = text.encode().lower()
+        sizes = {}
+        for name, words in dictionaries.items():
+            d = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=lang.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
+            sizes[name] = sum(len(c.compress(raw[k : k + lang.CHUNK])) for k in range(0, len(raw), lang.CHUNK))
+        first, second = sorted(sizes, key=lambda name: (sizes[name], name))
+        want = (first, 1 - sizes[first] / sizes[second]) if any(ch.isalpha() for ch in text) else ("und", 0.0)
+        assert (r.lang_pred, r.score) == want and r.rejected == (want[0] == "und" or want[1] < lang.NARROW)

@@ -60,3 +60,9 @@ def test_depletion_counts_every_occurrence(spark):
     assert (rows[1].n_words, rows[1].n_repeat_words, rows[1].n_removed_words, rows[1].n_gone_words) == (180, 0, 7, 140)
     assert not rows[1].base_failed and not rows[1].kept and rows[0].n_gone_words == 14 and rows[0].kept
     assert [r.doc_id for r in q.clean(docs, min_docs=3, share=0.2).collect()] == [0]
+
+
+def test_long_text(spark):
+    text = "\n".join(" ".join(f"v{i * 7 + k}" for k in range(7)) for i in range(8000)) + "\n" + "v0 v1 v2 v3 v4 v5 v6\n" * 2
+    row = q.quality_digest(frame(spark, [(1, text, "a")])).first()
+    assert (row.n_words, row.n_dup_lines, row.n_repeat_words) == (56_014, 2, 0) and row.kept

@@ -133,3 +133,30 @@ def test_best_two_fit_is_tight():
             else:
                 gaps.append(2048 - n)
         assert sum(t for t, _ in patterns) <= len(gaps) * 1.01 + 1
+
+
+def test_codes_for_large_vocabularies():
+    assert token_files.code_lengths(np.ones(70, np.int64), 4).max() == 7
+    ids = np.array([0, 3_000_000, 7, 3_000_000])
+    bits = token_files.code_lengths(np.bincount(ids))
+    points, payload = token_files.encode_block(ids, token_files.canonical_codes(bits), bits)
+    assert (token_files.decode_block(points, payload, 4, token_files.decoding_table(bits)) == ids).all()
+
+
+def test_full_caches_keep_ids_right(monkeypatch):
+    from gradus.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE", 20)
+    monkeypatch.setattr(tokens, "PARTS", 5)
+    for path in (WORD, BYTE):
+        e = Encoder(path)
+        for t in texts(400, 5) + [f"1{c} {c}1 {c}, ({c}) x{c}'s" for c in ("word", "Word", "é", "WORD")]:
+            assert np.frombuffer(e.encode(t.encode()), e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert max(len(e.pieces), len(e.spaced), len(e.parts)) <= 21
+
+
+def test_stitching_of_many_short_documents(spark):
+    """Mostly empty texts: a block's separators are joined to its summary, not carried through the windows."""
+    docs = spark.range(5000).selectExpr("id AS doc_id", "if(id % 50 = 0, 'some text', '') AS text")
+    got = separator_scan.token_counts(docs, BYTE, 50256).groupBy("n_tokens").count().collect()
+    assert {r.n_tokens: r["count"] for r in got} == {0: 4900, len(ids_of(BYTE, "some text", 0)) - 1: 100}

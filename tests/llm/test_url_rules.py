@@ -37,3 +37,12 @@ def test_empty_sides(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert [tuple(r) for r in u.judge(frame(spark, ["http://a/b"]), none, default="block").collect()] == [(0, "a", "/b", None, "block")]
     assert u.judge(frame(spark, []), u.production_rules(spark)).collect() == []
+
+
+def test_equal_urls_and_long_ones(spark):
+    """One url may hold most rows: its rows go to several ranges, and each meets all rules of its host."""
+    urls = ["http://www.example.com/en/x"] * 3000 + [f"http://h{i}.net/es/{i}" for i in range(300)] + ["http://example.com/en/" + "a" * 200_000, None, "file:///etc"]
+    got = u.judge(frame(spark, urls).repartition(6), u.production_rules(spark)).orderBy("page_id").collect()
+    assert [tuple(r)[1:] for r in got] == [brute(x, u.RULES) for x in urls]
+    again = u.judge(spark.createDataFrame([(1, urls[0])] * 50, "page_id long, url string"), u.production_rules(spark)).collect()
+    assert len(again) == 50 and {r.rule for r in again} == {"www.example.com/en/"}
