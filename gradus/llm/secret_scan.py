@@ -97,23 +97,29 @@ def running(steps: Column, first: Column, combine: Callable[[Column, Column], Co
 
 
 def _places(text: Column, pattern: str, group: int = 0, keep: bool = False) -> Column:
-    """(start, end, size) of all matches in code points, by what the text between them takes; size is ``group``'s, and ``keep`` adds the match as value."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m)) if group else F.transform(found, lambda m: F.length(m))
-    matches = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gap"), found.alias("value"), sizes.alias("size"))
-
-    def placed(ms: Column) -> Column:
+    """(start, end) of all matches in code points, by what the text between them takes; with the size of ``group`` and, to ``keep``, the match as value."""
+    more = {"size": "int"} if group else {"value": "string"} if keep else {}
+    none = F.array().cast(f"array<struct<{', '.join(f'{k}: {v}' for k, v in {'start': 'int', 'end': 'int', **more}.items())}>>")
+
+    def placed(found: Column) -> Column:
+        parts = {"gap": F.transform(F.split(text, pattern, -1), lambda g: F.length(g)), "value": found}
+        if group:
+            parts["size"] = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m))
+        # The text after the last match has a gap and no value.
+        return let(F.filter(F.arrays_zip(*[c.alias(name) for name, c in parts.items()]), lambda m: m["value"].isNotNull()), hits)
+
+    def hits(ms: Column) -> Column:
         start = lambda m, at: at + m["gap"]
-        value = lambda m: [m["value"].alias("value")] if keep else []
-        hit = lambda m, at: F.struct(start(m, at).alias("start"), (start(m, at) + F.length(m["value"])).alias("end"), m["size"].alias("size"), *value(m))
+        hit = lambda m, at: F.struct(start(m, at).alias("start"), (start(m, at) + F.length(m["value"])).alias("end"), *[m[k].alias(k) for k in more])
         steps = F.transform(ms, lambda m: m["gap"] + F.length(m["value"]))
         return F.zip_with(ms, running(steps, F.lit(0), lambda x, y: x + y), hit)
 
-    return let(F.filter(matches, lambda m: m["value"].isNotNull()), placed)
+    # Most texts have no match, and are not looked at again.
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, assign, access, hex, candidates): arrays of (start, end, size) in each text; candidates have a value too. A null text is empty."""
+    """(row_key, doc_id, assign, access, hex, candidates): arrays of (start, end) in each text; candidates have a value too. A null text is empty."""
     rows = docs.select(row_key("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
     # Runs of hex digits and of capitals and digits match from their start or not at all, so the least length can stand in the pattern.
