@@ -3,7 +3,7 @@
 Lines are normalised (A-Z and other capitals lower-cased, blanks joined, ends trimmed) and hashed. A line is boilerplate on a
 host if more documents of the host hold it than MIN_DOCS and than SHARE of the host's documents. Boilerplate lines are removed;
 a document is depleted if less than KEPT_SHARE of its words stay, with every occurrence of a removed line gone. n_removed_words
-counts each removed line once, as the SQL does. All of it is DataFrame expressions.
+counts each removed line once. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations

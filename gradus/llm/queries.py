@@ -80,22 +80,22 @@ ORACLE_SQL: dict[str, str] = {
         lines AS (SELECT n, source, unnest(string_split(text, chr(10))) AS line FROM docs),
         plain AS (SELECT n, source, trim(lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line, line AS raw FROM lines),
         dups AS (SELECT n, count(*) - count(DISTINCT raw) AS n_dup_lines FROM plain WHERE line <> '' GROUP BY n),
-        once AS (SELECT DISTINCT n, source, line FROM plain WHERE line <> ''),
+        once AS (SELECT n, source, line, count(*) AS times FROM plain WHERE line <> '' GROUP BY ALL),
         hosts AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
         common AS (
             SELECT once.source, line FROM once JOIN hosts ON once.source IS NOT DISTINCT FROM hosts.source
             GROUP BY once.source, line, docs HAVING count(*) > 20 AND count(*) > docs * 0.01),
         gone AS (
-            SELECT n, CAST(sum(len(string_split(once.line, ' '))) AS BIGINT) AS n_removed_words
+            SELECT n, CAST(sum(len(string_split(once.line, ' '))) AS BIGINT) AS n_removed_words, CAST(sum(len(string_split(once.line, ' ')) * times) AS BIGINT) AS n_gone_words
             FROM once JOIN common ON once.line = common.line AND once.source IS NOT DISTINCT FROM common.source GROUP BY n),
         measured AS (
             SELECT n, doc_id, len(words) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
                 CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
-                coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed_words, 0) AS n_removed_words
+                coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed_words, 0) AS n_removed_words, coalesce(n_gone_words, 0) AS n_gone_words
             FROM split LEFT JOIN covered USING (n) LEFT JOIN dups USING (n) LEFT JOIN gone USING (n)),
         judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-            NOT base_failed AND n_removed_words <= n_words * (1 - 0.3::DOUBLE) AS kept, n_removed_words
+            NOT base_failed AND n_gone_words <= n_words * (1 - 0.3::DOUBLE) AS kept, n_removed_words
         FROM judged""",
     "op4_url_rules": r"""
         WITH parsed AS (

@@ -21,7 +21,9 @@ def brute(rows, min_docs, share, kept_share):
         raw = [x for x in text.split("\n") if re.search(BLANK, x)]
         failed = len(ws) < 20 or 100 * len(hit) > 30 * len(ws)
         gone = sum(len(x.split(" ")) for x in ls if counts[r[2], x] > min_docs and counts[r[2], x] > share * hosts[r[2]])
-        out.append((r[0], len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text), len(raw) - len(set(raw)), len(hit), failed, not failed and gone <= len(ws) * (1 - kept_share), gone))
+        every = Counter(norm(x) for x in text.split("\n"))
+        lost = sum(every[x] * len(x.split(" ")) for x in ls if counts[r[2], x] > min_docs and counts[r[2], x] > share * hosts[r[2]])
+        out.append((r[0], len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text), len(raw) - len(set(raw)), len(hit), failed, not failed and lost <= len(ws) * (1 - kept_share), gone))
     return sorted(out, key=str)
 
 
@@ -37,6 +39,8 @@ def frame(spark, rows):
 
 
 def test_against_brute_force(spark):
+    own = "".join(f"one two three four five six seven\nown{j} line{j}\n" for j in range(20))
+    ROWS.extend([(30 + i, own + f"and {i}", "d") for i in range(6)])
     got = q.judge(frame(spark, ROWS), min_docs=3, share=0.2).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
     assert sorted(map(tuple, got.collect()), key=str) == brute(ROWS, 3, 0.2, 0.3)
 
