@@ -17,6 +17,10 @@ from gradus.functions.scalars import hash32, ratio
 from gradus.operators.ranges import RANGE, cut
 
 
+#: Bytes of cluster sums that go to every task; larger ones are joined by shuffle.
+BROADCAST = 32 << 20
+
+
 def numbered(clusters: DataFrame, key: str) -> DataFrame:
     """Adds ``place`` from 0 in order of ``key``, and ``clusters``, their number: one row a cluster.
 
@@ -30,17 +34,24 @@ def numbered(clusters: DataFrame, key: str) -> DataFrame:
     return local.join(before, "_part").withColumn("place", F.col("_before") + F.col("_local") - 1).drop("_part", "_local", "_before")
 
 
-def draws(clusters: DataFrame, n: int) -> DataFrame:
-    """(draw, place, times) of ``n`` draws, each of as many clusters as ``clusters`` has rows."""
-    slots = clusters.select("clusters", F.col("place").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+def slots(clusters: DataFrame, n: int) -> DataFrame:
+    """(draw, place): the cluster in each slot of ``n`` draws, each of as many slots as ``clusters`` has rows."""
+    every = clusters.select("clusters", F.col("place").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
     hit = F.pmod(hash32(F.concat_ws(":", F.col("draw").cast("string"), F.col("slot").cast("string"))), F.col("clusters"))
-    return slots.select("draw", hit.alias("place")).groupBy("draw", "place").agg(F.count(F.lit(1)).alias("times"))
+    return every.select("draw", hit.alias("place"))
+
+
+def draws(clusters: DataFrame, n: int) -> DataFrame:
+    """(draw, place, times) of ``n`` draws."""
+    return slots(clusters, n).groupBy("draw", "place").agg(F.count(F.lit(1)).alias("times"))
 
 
 def resampled(clusters: DataFrame, sums: Sequence[str], n: int) -> DataFrame:
     """(draw, sums): the sums of each draw's clusters. ``clusters`` has place, clusters and the additive columns ``sums``."""
-    drawn = draws(clusters, n).join(clusters.select("place", *sums), "place")
-    return drawn.groupBy("draw").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in sums])
+    mine = clusters.select("place", *sums)
+    if clusters.count() * 8 * (len(sums) + 1) <= BROADCAST:
+        mine = F.broadcast(mine)  # then slots are added up by draw where they are made, without a shuffle of their own
+    return slots(clusters, n).join(mine, "place").groupBy("draw").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def interval(values: DataFrame, columns: Sequence[str], n: int, least_valid: float = 0.8) -> DataFrame:
@@ -66,7 +77,7 @@ def resampled_auc(df: DataFrame, cluster: str, y: Column, score: str, arm: str,
     """
     counts = df.groupBy(arm, cluster, F.col(score).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
     clusters = numbered(df.select(cluster).distinct(), cluster)
-    vectors = clusters.select(cluster, "place").join(_vectors(draws(clusters, n), n), "place").select(cluster, "times")
+    vectors = clusters.select(cluster, "place").join(_vectors(slots(clusters, n), n), "place").select(cluster, "times")
     ranged = cut(counts, "score", -(-counts.count() // WEIGHED)).join(vectors, cluster, "left")
     key = [F.col(arm), F.col(RANGE)]
     sums = StructType([df.schema[arm], StructField(RANGE, DoubleType()), *[StructField(c, ArrayType(DoubleType())) for c in ("wins", "pos", "neg")]])
@@ -92,18 +103,13 @@ def resampled_auc(df: DataFrame, cluster: str, y: Column, score: str, arm: str,
     return won.groupBy(arm, "draw").agg(ratio(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
-def _vectors(drawn: DataFrame, n: int) -> DataFrame:
+def _vectors(slotted: DataFrame, n: int) -> DataFrame:
     """(place, times): how often a cluster is in each of ``n`` draws, as 16-bit integers; clusters in no draw have no row."""
-    entries = drawn.groupBy("place").agg(F.collect_list(F.col("draw") * (1 << 16) + F.col("times")).alias("entries"))  # ``n`` at most
+    entries = slotted.groupBy("place").agg(F.collect_list("draw").alias("entries"))  # a cluster is in about ``n`` slots
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for e in frame["entries"]:
-                at, times = np.divmod(np.asarray(e, np.int64), 1 << 16)
-                vector = np.zeros(n, "<u2")
-                vector[at] = times
-                out.append(vector.tobytes())
+            out = [np.bincount(np.asarray(e), minlength=n).astype("<u2").tobytes() for e in frame["entries"]]
             yield pd.DataFrame({"place": frame["place"], "times": out})
 
     return entries.mapInPandas(spread, "place long, times binary")
