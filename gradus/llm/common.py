@@ -26,8 +26,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"{tempfile.gettempdir()}/gradus-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -67,6 +65,14 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``bad`` (row_key, doc_id) names; both the key and the id must be equal, nulls too."""
+    key, doc = f"{OWN}key", f"{OWN}doc"
+    named = bad.select(F.col("row_key").alias(key), F.col("doc_id").alias(doc)).distinct()
+    mine = docs.withColumn(key, row_key("doc_id", "text"))
+    return mine.join(named, (mine[key] == named[key]) & mine["doc_id"].cast("long").eqNullSafe(named[doc]), "left_anti").drop(key)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """Strings as UTF-8 bytes, without decoding them."""
     large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -80,6 +86,11 @@ def digest(values: list[str]) -> str:
 _HELD: dict = {}
 
 
+def let_go() -> None:
+    """Called by tasks that keep nothing: what an earlier operator's tasks kept in the worker goes."""
+    _HELD.clear()
+
+
 def held(key: tuple, make):
     """What a worker process keeps from task to task, made once; another operator's task puts its own in its place."""
     if key not in _HELD:
