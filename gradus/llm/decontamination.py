@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import as_bytes, discard, row_key, written
+from gradus.llm.common import as_bytes, discard, let_go, row_key, without, written
 
 WINDOW = 10
 #: A proximity match has this many of the rarest terms of an item's window, each at most SLOP words from one of them.
@@ -59,6 +59,7 @@ def build_index(docs: DataFrame, vocabulary: Iterable[bytes] | None = None) -> D
     shared = docs.sparkSession.sparkContext.broadcast(None if vocabulary is None else {w: i for i, w in enumerate(vocabulary)})
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             keys, ids = batch.column("row_key").to_pylist(), batch.column("doc_id").to_pylist()
             texts = as_bytes(batch.column("text"))
@@ -141,10 +142,17 @@ def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], counts
                 phrases.setdefault(phrase, set()).update(named)
         for query in near_queries(ws, counts) if named else ():
             near.setdefault(query, set()).update(named)
-    rarest_first = [
-        (sorted(range(len(p)), key=lambda j, p=p: (counts[p[j]], p[j], j)), p, sorted(of)) for p, of in phrases.items()
-    ]
-    shared = index.sparkSession.sparkContext.broadcast((rarest_first, [(*q, sorted(of)) for q, of in near.items()]))
+    # By the term from which each is looked up: a segment then meets only the queries of terms that it has.
+    by_rarest: dict[bytes, list] = {}
+    for p, of in phrases.items():
+        order = sorted(range(len(p)), key=lambda j, p=p: (counts[p[j]], p[j], j))
+        by_rarest.setdefault(p[order[0]], []).append((order, p, sorted(of)))
+    by_anchor: dict[bytes, list] = {}
+    for (rare, need), of in near.items():
+        query = (rare, need, sorted(of))
+        for r in rare[: len(rare) - need + 1]:
+            by_anchor.setdefault(r, []).append(query)
+    shared = index.sparkSession.sparkContext.broadcast((by_rarest, by_anchor))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +168,7 @@ def _standing(postings: np.ndarray, at: np.ndarray) -> np.ndarray:
     return postings[np.minimum(i, len(postings) - 1)] == at
 
 
-def _match(segment: dict, phrases: list, near: list) -> pa.RecordBatch:
+def _match(segment: dict, by_rarest: dict[bytes, list], by_anchor: dict[bytes, list]) -> pa.RecordBatch:
     flat = np.frombuffer(segment["postings"], "<u4").astype(np.int64)
     ends = np.cumsum(segment["counts"], dtype=np.int64)
     postings = {t: flat[e - n : e] for t, n, e in zip(segment["terms"], segment["counts"], ends.tolist(), strict=True)}
@@ -169,9 +177,7 @@ def _match(segment: dict, phrases: list, near: list) -> pa.RecordBatch:
     spans: list[set] = [set() for _ in lengths]
     items: list[set] = [set() for _ in lengths]
     close: list[set] = [set() for _ in lengths]
-    for order, phrase, of in phrases:
-        if phrase[order[0]] not in postings:
-            continue
+    for order, phrase, of in (query for term in postings for query in by_rarest.get(term, ())):
         starts = postings[phrase[order[0]]] - order[0]
         for j in order[1:]:
             if not len(starts) or (there := postings.get(phrase[j])) is None:
@@ -181,15 +187,12 @@ def _match(segment: dict, phrases: list, near: list) -> pa.RecordBatch:
         for s, d in zip(starts.tolist(), (np.searchsorted(bases, starts, "right") - 1).tolist(), strict=True):
             spans[d].add((s - int(bases[d]), s - int(bases[d]) + len(phrase)))
             items[d].update(of)
-    for rare, need, of in near:
-        # Of any ``need`` of the terms at least one is among these anchors.
-        standing = [postings[r] for r in rare if r in postings]
-        if len(standing) < need:
-            continue
-        for r in rare[: len(rare) - need + 1]:
-            if r not in postings:
+    # Of any ``need`` of a query's terms at least one is among its anchors.
+    for r, at in postings.items():
+        for rare, need, of in by_anchor.get(r, ()):
+            standing = [postings[x] for x in rare if x in postings]
+            if len(standing) < need:
                 continue
-            at = postings[r]
             beside = np.zeros(len(at), np.int64)
             for there in standing:
                 beside += np.searchsorted(there, at + SLOP, "right") > np.searchsorted(there, at - SLOP)
@@ -231,7 +234,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     """One row per document row: its words, merged spans of hit words, items that occur, items that are near.
 
     ``docs`` has doc_id, text; ``benchmark`` has item_id, text. A null or wordless text has no words and no hits. Repeated
-    rows give repeated rows. An empty benchmark hits nothing. A benchmark beyond ``block_bytes`` is matched in several
+    rows give repeated rows. A document longer than a segment is a segment of its own. An empty benchmark hits nothing, an
+    empty table of documents has no rows. A benchmark beyond ``block_bytes`` is matched in several
     passes, whose matches are merged.
     """
     parts, tables = [], []
@@ -270,10 +274,8 @@ def hit_words() -> F.Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark window; other rows and all columns unchanged."""
-    key = "_gradus_key"
-    bad = find_contamination(docs, benchmark).where(F.size("hits") > 0).select(F.col("row_key").alias(key)).distinct()
-    return docs.withColumn(key, row_key("doc_id", "text")).join(bad, key, "left_anti").drop(key)
+    """``docs`` without the rows that hold a benchmark window; other rows and all columns unchanged. Repeated rows stay or go alike."""
+    return without(docs, find_contamination(docs, benchmark).where(F.size("hits") > 0))
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
