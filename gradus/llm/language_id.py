@@ -15,10 +15,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import as_bytes, row_key
+from gradus.llm.common import as_bytes, let_go, row_key, without
 
 UNKNOWN = "und"
-#: The sample: at most DICTIONARY bytes a language, at most EXCERPT bytes of a document.
+#: The sample: at most DICTIONARY bytes of a language's labelled texts, one passage of at most EXCERPT characters of each.
 DICTIONARY, EXCERPT = 64 << 10, 2048
 CHUNK, LEVEL = 512, 6
 #: Margins below this are rejected.
@@ -36,20 +36,24 @@ def fold(doc_id: Column) -> Column:
 def sample_dictionaries(labelled: DataFrame, size: int = DICTIONARY, excerpt: int = EXCERPT) -> dict[str, bytes]:
     """A dictionary for each value of lang in ``labelled`` (lang, text; neither null).
 
-    Distinct texts are taken by the order of a hash, at a rate set by the bytes of their language's distinct excerpts, so that
-    about four times as much as fills the dictionary reaches the driver, whatever the corpus's size and however often a text
-    is repeated in it.
+    A text gives one passage, the whole text or ``excerpt`` characters from a place that its hash sets, so that one long text
+    does not fill a dictionary. Passages of distinct texts are taken by the order of a hash until the dictionary is full.
+    They are drawn at a rate set by the bytes of all of their language's passages, so that about four times as much as fills
+    the dictionary reaches the driver, whatever the corpus's size and however often a text is repeated in it. A language with
+    less than that gives all of its passages: none is lost.
     """
     place = F.xxhash64("text")
-    once = labelled.select("lang", place.alias("place"), (F.octet_length(F.substring("text", 1, excerpt)) + 1).alias("bytes")).distinct()
+    first = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - excerpt, F.lit(0)) + 1).cast("int") + 1
+    labelled = labelled.select("lang", place.alias("place"), F.substr("text", first, F.lit(excerpt)).alias("text"))
+    once = labelled.select("lang", "place", (F.octet_length("text") + 1).alias("bytes")).distinct()
     counts = {r.lang: r.bytes for r in once.groupBy("lang").agg(F.sum("bytes").alias("bytes")).collect()}  # a row for each language
     if not counts:
         return {}
     wanted = 4 * size + 64 * excerpt
     rates = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, wanted / n)))])
-    drawn = labelled.where(F.pmod(place, F.lit(1 << 30)) < rates[F.col("lang")] * F.lit(1 << 30))
+    drawn = labelled.where(F.pmod("place", F.lit(1 << 30)) < rates[F.col("lang")] * F.lit(1 << 30))
     texts: dict[str, bytes] = {lang: b"" for lang in counts}
-    for r in drawn.select("lang", place.alias("place"), F.substring("text", 1, excerpt).alias("text")).distinct().orderBy("lang", "place", "text").collect():
+    for r in drawn.distinct().orderBy("lang", "place", "text").collect():
         if len(texts[r.lang]) < size:
             texts[r.lang] += r.text.encode().lower() + b"\n"
     return {lang: text[:size] for lang, text in texts.items() if text}
@@ -65,11 +69,13 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NA
 
     A null text, or one without letters, is ``und`` with score 0 and rejected; so is every text if there is no dictionary.
     With one dictionary every other text is that language's, with score 1. Equal sizes go to the first name, with score 0.
-    A null id is in no fold and so not held out. Repeated rows give repeated rows.
+    A null id is in no fold and so not held out. Repeated rows give repeated rows; an empty table has none. Long texts are
+    compressed whole, chunk by chunk.
     """
     shared = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         compressors = []
         for lang, text in shared.value:
             raw = zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -97,12 +103,16 @@ def _predict(text: bytes | None, compressors: list) -> tuple[str, float]:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learns from ``docs`` (doc_id, text, lang) outside the held-out fold and classifies all of it."""
+    """Learns from ``docs`` (doc_id, text, lang) outside the held-out fold and classifies all of it.
+
+    Every language with a labelled text that has letters is learned, if only from one repeated text. Without any, all is ``und``.
+    """
     return classify(docs, sample_dictionaries(training_rows(docs)))
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language is rejected; other rows and all columns unchanged."""
-    key = "_gradus_key"
-    bad = identify(docs).where("rejected").select(F.col("row_key").alias(key)).distinct()
-    return docs.withColumn(key, row_key("doc_id", "text")).join(bad, key, "left_anti").drop(key)
+    """``docs`` without the rows whose language is rejected; other rows and all columns unchanged.
+
+    Rows that repeat a rejected one go with it. Texts are judged as ``classify`` says: null ones and those without letters go.
+    """
+    return without(docs, identify(docs).where("rejected"))
