@@ -1,7 +1,7 @@
 """Token ids in files of independent Huffman blocks.
 
 A document's ids and its end id are coded by one canonical code, whose lengths come from counts over the whole corpus and
-are at most ``LONGEST`` bits. A file is the sorted output of one task, one row a block; a block holds whole documents, the
+are at most ``LONGEST`` bits, or more where the vocabulary has more symbols than such codes. A file is the sorted output of one task, one row a block; a block holds whole documents, the
 place of its first token in the file, and the bit offset of every ``STEP``-th token. The codebook is a table of code lengths.
 Blocks need nothing but the codebook: any block is decoded alone, and its checkpoints side by side with a lookup table.
 """
@@ -60,14 +60,16 @@ def count_ids(tokens: DataFrame, dtype: str) -> DataFrame:
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
-    """Bits of each symbol's code: the best prefix code of at most ``longest`` bits (package-merge). Unused symbols have 0."""
+    """Bits of each symbol's code: the best prefix code of at most ``longest`` bits (package-merge). Unused symbols have 0.
+
+    More symbols than codes of ``longest`` bits get as many bits as they need.
+    """
     used = np.flatnonzero(counts)
     bits = np.zeros(len(counts), np.int64)
     if len(used) < 2:
         bits[used] = 1
         return bits
-    if len(used) > 1 << longest:
-        raise ValueError(f"{len(used)} symbols have no code of {longest} bits")
+    longest = max(longest, (len(used) - 1).bit_length())
     order = used[np.argsort(counts[used], kind="stable")]
     leaves = counts[order].astype(np.int64)
     levels, weights = [], leaves
@@ -190,8 +192,9 @@ def _decoded(spark: SparkSession, path: str, schema: str, rows) -> DataFrame:
     before, total = {}, 0
     for r in sizes.orderBy("file").collect():  # a row for each file
         before[r.file], total = total, total + r.n
-    bits = np.zeros(1 << 20, np.int64)
-    for r in spark.read.parquet(f"{path}/codebook").collect():  # a row for each id of the vocabulary at most
+    book = spark.read.parquet(f"{path}/codebook").collect()  # a row for each id of the vocabulary at most
+    bits = np.zeros(1 + max((r.id for r in book), default=0), np.int64)
+    for r in book:
         bits[r.id] = r.bits
     shared = spark.sparkContext.broadcast((before, bits))
 
