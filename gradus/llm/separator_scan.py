@@ -65,14 +65,15 @@ def stitch(scanned: DataFrame, run: int = RUN) -> DataFrame:
 
     Tokens after a file's last separator are a document that was never ended; it comes last, with ``ended`` false.
     """
-    runs = scanned.withColumn("run", F.floor(F.col("block") / run))
+    # The windows carry a block's summary; the places found in it are joined to it again.
+    runs = scanned.select("file", "block", "n", F.size("found").alias("k"), F.array_max("found").alias("furthest"), F.floor(F.col("block") / run).alias("run"))
     inside = Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     local = runs.select(
-        "file", "run", "block", "n", "found",
-        F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("start"), F.coalesce(F.sum(F.size("found")).over(inside), F.lit(0)).alias("docs"),
-    ).withColumn("last", F.when(F.size("found") > 0, F.col("start") + F.array_max("found")))
+        "file", "run", "block", "n", "k", "furthest",
+        F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("start"), F.coalesce(F.sum("k").over(inside), F.lit(0)).alias("docs"),
+    ).withColumn("last", F.col("start") + F.col("furthest"))
     local = local.withColumn("prior", F.max("last").over(inside))
-    totals = local.groupBy("file", "run").agg(F.sum("n").alias("run_n"), F.sum(F.size("found")).alias("run_docs"), F.max("last").alias("run_last"))
+    totals = local.groupBy("file", "run").agg(F.sum("n").alias("run_n"), F.sum("k").alias("run_docs"), F.max("last").alias("run_last"))
     above = Window.partitionBy("file").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("run_start", F.coalesce(F.sum("run_n").over(above), F.lit(0)))
     totals = totals.select(
@@ -81,21 +82,25 @@ def stitch(scanned: DataFrame, run: int = RUN) -> DataFrame:
         (F.row_number().over(Window.partitionBy("file").orderBy(F.desc("run"))) == 1).alias("last_run"),
     )
     placed = local.join(totals, ["file", "run"]).select(
-        "file", "block", (F.col("docs_before") + F.col("docs")).alias("docs"), "found", (F.col("run_start") + F.col("start")).alias("start"), "n",
+        "file", "block", (F.col("docs_before") + F.col("docs")).alias("docs"), "k", "furthest", (F.col("run_start") + F.col("start")).alias("start"), "n",
         (F.coalesce(F.col("run_start") + F.col("prior"), F.col("last_before"), F.lit(-1)) + 1).alias("open"), "last_run",
     )
-    ends = placed.select(
+    ends = scanned.select("file", "block", "found").join(placed, ["file", "block"]).select(
         "file", F.posexplode(F.transform("found", lambda x, i: F.struct(
             F.when(i == 0, F.col("open")).otherwise(F.col("start") + F.element_at("found", F.greatest(i, F.lit(1))) + 1).alias("start"),
             (F.col("start") + x).alias("end")))).alias("i", "d"), "docs",
     ).select("file", (F.col("docs") + F.col("i")).alias("doc_no"), F.col("d.start").alias("start"), (F.col("d.end") - F.col("d.start")).alias("n_tokens"), F.lit(True).alias("ended"))
     tail = placed.where("last_run").groupBy("file").agg(
-        F.max(F.col("start") + F.col("n")).alias("stop"), F.max(F.col("docs") + F.size("found")).alias("doc_no"),
-        F.max(F.when(F.size("found") > 0, F.col("start") + F.array_max("found") + 1).otherwise(F.col("open"))).alias("start"),
+        F.max(F.col("start") + F.col("n")).alias("stop"), F.max(F.col("docs") + F.col("k")).alias("doc_no"),
+        F.max(F.when(F.col("k") > 0, F.col("start") + F.col("furthest") + 1).otherwise(F.col("open"))).alias("start"),
     ).where("stop > start").select("file", "doc_no", "start", (F.col("stop") - F.col("start")).alias("n_tokens"), F.lit(False).alias("ended"))
     return ends.unionByName(tail)
 
 
 def token_counts(docs: DataFrame, vocabulary: str, separator: int) -> DataFrame:
-    """Writes the flat files of ``docs`` and counts each document's tokens from them. Null and empty texts have 0 tokens."""
+    """Writes the flat files of ``docs`` and counts each document's tokens from them.
+
+    Null and empty texts have 0 tokens; a repeated row is a document of its own; a long text goes on over many blocks. An
+    empty table has no documents.
+    """
     return stitch(written(scan_blocks(written(write_flat(docs, vocabulary, separator), "flat"), separator), "scanned"))
