@@ -101,6 +101,11 @@ def nested_split(df: DataFrame, group: str, strata: str, seed: int = 42) -> Data
     return halves.where("_half = 1").drop("_half").withColumn("part", F.lit(PARTS[2])).unionByName(inner)
 
 
+def filename_split(df: DataFrame, name: str, grade: str, seed: int = 42) -> DataFrame:
+    """Adds ``group`` (as ``filename_groups``) and ``part`` of PARTS: files of one date or chain of numbers stay together."""
+    return nested_split(filename_groups(df, name), "group", grade, seed)
+
+
 def small_strata(df: DataFrame, strata: Sequence[str], k: int) -> DataFrame:
     """(strata, n) of the strata with fewer rows than folds, which leave folds uneven."""
     return df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < k)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from gradus.functions.scalars import finite
 from gradus.operators.audits import fingerprint
-from gradus.operators.checks import ContractError, require_unique
-from gradus.operators.joins import remap
+from gradus.operators.checks import ContractError, require, require_eyes, require_unique
+from gradus.operators.joins import join_one_to_one, remap
 
 
 def write_labels(df: DataFrame, path: str) -> None:
@@ -124,6 +124,14 @@ def read_published(spark: SparkSession, path: str) -> DataFrame:
     return stored
 
 
+def comparison_frame(spark: SparkSession, baseline: str, candidate: str) -> DataFrame:
+    """(id_code, diagnosis, baseline_raw, candidate_raw) of two published results of the same eyes: signatures, contracts and truths must hold."""
+    a, b = (require_eyes(read_published(spark, path)) for path in (baseline, candidate))
+    both = join_one_to_one(a.withColumnRenamed("raw", "baseline_raw"), b.select("id_code", F.col("diagnosis").alias("_truth"), F.col("raw").alias("candidate_raw")), "id_code", "full_outer")
+    require(both, {"same eyes": F.col("baseline_raw").isNotNull() & F.col("candidate_raw").isNotNull(), "same truth": F.col("diagnosis") == F.col("_truth")})
+    return both.drop("_truth")
+
+
 def strict_json(value: dict) -> str:
     """Sorted keys; NaN and infinities raise, as other readers don't know them."""
     return json.dumps(value, sort_keys=True, allow_nan=False)

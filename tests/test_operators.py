@@ -350,3 +350,12 @@ def test_stored_columns_keep_a_bootstrap_whole(spark):
     """Fewer valid draws than the least share give no limits."""
     values = spark.createDataFrame([(i, float(i) if i < 7 else None) for i in range(10)], "draw int, d double")
     assert resample.interval(values, ["d"], 10).first().low is None and resample.interval(values, ["d"], 8).first().low is not None
+
+
+def test_file_groups_stay_in_one_part(spark):
+    names = [(f"{20050000 + i // 3}_{i}", i % 5) for i in range(240)] + [(f"IM{n:06d}", n % 5) for n in range(0, 200) if n % 9]
+    rows = splits.filename_split(spark.createDataFrame(names, "name string, g int"), "name", "g").collect()
+    parts = {}
+    for r in rows:
+        parts.setdefault(r.group, set()).add(r.part)
+    assert len(rows) == len(names) and all(len(p) == 1 for p in parts.values()) and {r.part for r in rows} == set(splits.PARTS)

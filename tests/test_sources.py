@@ -252,3 +252,14 @@ def test_folds_runs_and_lists_are_stored(spark, tmp_path):
     commits = spark.createDataFrame([("old", "new")], "old string, new string")
     renamed = sinks.export_runs(spark.createDataFrame([("old", 1.0), ("x", 2.0)], "commit string, m double"), ["m"], ["m"], commits)
     assert [r.commit for r in renamed.collect()] == ["new", "x"]
+
+
+def test_comparison_of_published_results(spark, tmp_path):
+    schema = "id_code string, diagnosis int, raw double"
+    for name, rows in (("a", [("x", 1, 0.5), ("y", 3, 2.0)]), ("b", [("x", 1, 0.7), ("y", 3, 2.5)]), ("c", [("x", 1, 0.7)]), ("d", [("x", 2, 0.7), ("y", 3, 2.5)])):
+        sinks.publish(spark.createDataFrame(rows, schema), str(tmp_path / name), {"model": name})
+    got = sinks.comparison_frame(spark, str(tmp_path / "a"), str(tmp_path / "b")).orderBy("id_code").collect()
+    assert [tuple(r) for r in got] == [("x", 1, 0.5, 0.7), ("y", 3, 2.0, 2.5)]
+    for other in "cd":
+        with pytest.raises(ContractError):
+            sinks.comparison_frame(spark, str(tmp_path / "a"), str(tmp_path / other))
