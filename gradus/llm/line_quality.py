@@ -56,12 +56,12 @@ def repeated_lines(text: Column) -> Column:
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed); a null text is empty."""
+    """(row_key, host, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed); a null text is empty."""
     text = F.coalesce("text", F.lit(""))
     found = docs.select(
-        row_key("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), words(text).alias("words")
+        row_key("doc_id", "text").alias("row_key"), F.xxhash64("source").alias("host"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), words(text).alias("words")
     ).select(
-        "row_key", "doc_id", F.size("words").cast("long").alias("n_words"),
+        "row_key", "host", "doc_id", F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         repeated_lines(F.col("text")).alias("n_dup_lines"), repeated_words(F.col("words")).alias("n_repeat_words"),
@@ -108,13 +108,13 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, kept_
     """Base measures of each row of ``docs`` (doc_id, text, source), its boilerplate lines, and whether it is kept.
 
     ``boilerplate`` has the hashes of the row's removed lines, ``n_gone_words`` the words that go with all their occurrences.
-    Each row counts as a document of its host, also if it repeats another; repeated rows give repeated rows. Rows with a null
-    source are one host. A text without words fails the base rules; long texts are measured whole. An empty table has no rows.
+    Each row counts as a document of its host, also if it repeats another; repeated rows give repeated rows, and one that stands
+    in two hosts is judged by the lines of each. Rows with a null source are one host. A text without words fails the base rules; long texts are measured whole. An empty table has no rows.
     """
     lines = line_hashes(docs)
     removed = lines.join(boilerplate(docs, min_docs, share).select("host", "line"), ["host", "line"])
-    removed = removed.groupBy("row_key").agg(F.collect_set(F.struct("line", "words", "times")).alias("removed"))
-    joined = base_measures(docs).join(removed, "row_key", "left")
+    removed = removed.groupBy("row_key", "host").agg(F.collect_set(F.struct("line", "words", "times")).alias("removed"))
+    joined = base_measures(docs).join(removed, ["row_key", "host"], "left")
     none = F.array().cast("array<struct<line:long,words:int,times:int>>")
     gone = lambda words: F.aggregate(F.coalesce("removed", none), F.lit(0).cast("long"), lambda n, x: n + words(x))
     judged = joined.withColumns({"n_removed_words": gone(lambda x: x["words"]), "n_gone_words": gone(lambda x: x["words"] * x["times"])})
@@ -124,10 +124,10 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, kept_
 
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The kept rows of ``docs``, all columns, their texts without boilerplate lines."""
-    key = "_gradus_key"
-    verdicts = judge(docs, **limits).where("kept").select(F.col("row_key").alias(key), F.col("boilerplate").alias("_gradus_lines")).distinct()
+    key, host = "_gradus_key", "_gradus_host"
+    verdicts = judge(docs, **limits).where("kept").select(F.col("row_key").alias(key), F.col("host").alias(host), F.col("boilerplate").alias("_gradus_lines")).distinct()
     stays = F.filter(F.split("text", "\n"), lambda line: ~F.array_contains("_gradus_lines", F.xxhash64(normalised(line))))
-    joined = docs.withColumn(key, row_key("doc_id", "text")).join(verdicts, key)
+    joined = docs.withColumns({key: row_key("doc_id", "text"), host: F.xxhash64("source")}).join(verdicts, [key, host])
     return joined.withColumn("text", F.array_join(stays, "\n")).select(*docs.columns)
 
 

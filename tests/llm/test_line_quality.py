@@ -53,6 +53,17 @@ def test_clean_removes_only_common_lines(spark):
     assert "hared" not in rows[0] and f"only 0 {UNIQUE}" in rows[0] and rows[26] == UNIQUE.replace(" ", "  ")
 
 
+def test_a_row_in_two_hosts_is_judged_by_each(spark):
+    own = "".join(f"one two three four five six seven\nown{j} line{j}\n" for j in range(20))
+    rows = [(i, f"one two three four five six seven\nmore {i} {UNIQUE}", "x") for i in range(5)] + [(1000, own, "x"), (1000, own, "y"), (1001, UNIQUE, "y")]
+    got = q.judge(frame(spark, rows), min_docs=3, share=0.2)
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == brute(rows, 3, 0.2, 0.3)
+    assert sorted(tuple(r) for r in got.where("doc_id = 1000").select("n_gone_words", "kept").collect()) == [(0, True), (140, False)]
+    kept = q.clean(frame(spark, rows), min_docs=3, share=0.2).where("doc_id = 1000").collect()
+    assert [(r.source, r.text) for r in kept] == [("y", own)]
+
+
 def test_empty(spark):
     assert q.quality_digest(frame(spark, [])).collect() == []
 
