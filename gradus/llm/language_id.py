@@ -7,7 +7,6 @@ margin to the next one is the score. Texts whose margin is narrow are rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +23,6 @@ CHUNK, LEVEL = 512, 6
 #: Margins below this are rejected.
 NARROW = 0.004
 
-_LETTER = re.compile(r"[^\W\d_]")
 PREDICTED = "row_key long, doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
 
@@ -33,6 +31,11 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
+def with_letter(text: Column) -> Column:
+    """Whether ``text`` has a letter (Unicode category L; number signs are none); false for null."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def sample_dictionaries(labelled: DataFrame, size: int = DICTIONARY, excerpt: int = EXCERPT) -> dict[str, bytes]:
     """A dictionary for each value of lang in ``labelled`` (lang, text; neither null).
 
@@ -61,7 +64,7 @@ def sample_dictionaries(labelled: DataFrame, size: int = DICTIONARY, excerpt: in
 
 def training_rows(docs: DataFrame) -> DataFrame:
     """(lang, text) of the labelled documents outside the held-out fold that have letters."""
-    return docs.where((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    return docs.where((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & with_letter(F.col("text"))).select("lang", "text")
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NARROW) -> DataFrame:
@@ -89,12 +92,13 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NA
             yield pa.RecordBatch.from_arrays([*columns, rejected], names=[c.split()[0] for c in PREDICTED.split(", ")])
 
     held_out = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
-    rows = docs.select(row_key("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
+    lettered = F.when(with_letter(F.col("text")), F.col("text"))
+    rows = docs.select(row_key("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), lettered.alias("text"))
     return rows.mapInArrow(predict, PREDICTED)
 
 
 def _predict(text: bytes | None, compressors: list) -> tuple[str, float]:
-    if not text or not compressors or not _LETTER.search(text.decode()):
+    if not text or not compressors:
         return UNKNOWN, 0.0
     text = text.lower()
     chunks = [text[k : k + CHUNK] for k in range(0, len(text), CHUNK)]
