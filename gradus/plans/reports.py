@@ -555,16 +555,17 @@ def source_signatures(spark, d):
 # ---------------------------------------------------------------- scalars
 
 
-@query("""SELECT vec_id, list_sum(list_transform(x, lambda v: 1 / (1 + exp(-v)))) AS expected, list_transform([0, 1, 2, 3], lambda k: CAST(CAST(label AS INTEGER) % 5 > k AS INTEGER)) AS targets,
-    [x[1], x[1] + ln(1 + exp(x[2])), x[1] + ln(1 + exp(x[2])) + ln(1 + exp(x[3])), x[1] + ln(1 + exp(x[2])) + ln(1 + exp(x[3])) + ln(1 + exp(x[4]))] AS cuts
-    FROM (SELECT vec_id, label, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE, embedding[4]::DOUBLE] AS x FROM embeddings)""")
+@query("""WITH heads AS (SELECT vec_id, label, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE, embedding[4]::DOUBLE] AS x FROM embeddings),
+    each AS (SELECT *, unnest(range(4)) AS k FROM heads)
+    SELECT vec_id, CAST(k AS INTEGER) AS k, list_sum(list_transform(x, lambda v: 1 / (1 + exp(-v)))) AS expected, CAST(CAST(label AS INTEGER) % 5 > k AS INTEGER) AS target,
+        x[1] + coalesce(list_sum(list_transform(x[2:k + 1], lambda v: ln(1 + exp(v)))), 0) AS cut FROM each""")
 def ordinal_heads(spark, d):
+    """A row for each vector and head: expected grade, the head's target and its cut."""
     x = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
     rows = table(spark, d, "embeddings").select("vec_id", "label", x.alias("x"))
-    return rows.select(
-        "vec_id", S.expected_grade(F.col("x")).alias("expected"), S.cumulative_targets(F.col("label").cast("int") % 5).alias("targets"),
-        S.cutpoints(F.get("x", F.lit(0)), F.slice("x", 2, 3)).alias("cuts"),
-    )
+    heads = F.arrays_zip(S.cumulative_targets(F.col("label").cast("int") % 5).alias("target"), S.cutpoints(F.get("x", F.lit(0)), F.slice("x", 2, 3)).alias("cut"))
+    each = rows.select("vec_id", S.expected_grade(F.col("x")).alias("expected"), F.posexplode(heads).alias("k", "head"))
+    return each.select("vec_id", "k", "expected", "head.target", "head.cut")
 
 
 @query(f"""WITH {COHORTS_SQL} SELECT cohort, stratum, coalesce(printf('%.6f', count(*) FILTER (diagnosis >= 2 AND pred >= 2)::DOUBLE / nullif(count(*) FILTER (diagnosis >= 2 AND stratum <> 'P'), 0)), 'N/A') AS shown
