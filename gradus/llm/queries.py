@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gradus.llm.common import read
-from gradus.llm import chat_format, jaccard_join, language_id, line_quality, packing, secret_scan, separator_scan, token_files, url_rules
+from gradus.llm import chat_format, filter_audit, jaccard_join, language_id, line_quality, packing, secret_scan, separator_scan, token_files, url_rules
 from gradus.llm.decontamination import contamination_digest
 
 
@@ -54,6 +54,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digest(turns.unionByName(extra))
 
 
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_quality": op2_line_quality,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_best_two_fit": op8_best_two_fit,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
+    "op12_filter_interactions": op12_filter_interactions,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -128,4 +133,31 @@ ORACLE_SQL: dict[str, str] = {
             FROM summed GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
             formatted_chars, n_examples FROM gathered""",
+    "op12_filter_interactions": r"""
+        WITH RECURSIVE docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
+        firsts AS (SELECT text, min(doc_id) AS first FROM docs GROUP BY text),
+        said AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+        split AS (SELECT docs.*, coalesce(first < doc_id, false) AS copy, regexp_extract_all(docs.text, '[^\x20\x09-\x0D]+') AS words FROM docs JOIN firsts ON firsts.text = docs.text),
+        flags AS (
+            SELECT k, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, unnest(['A', 'B', 'C', 'D', 'E']) AS filter,
+                unnest([len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+                    100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 10 * length(text), regexp_matches(text, '[#$%&*|]'), copy]) AS fails
+            FROM split LEFT JOIN said ON said.doc_id = split.doc_id),
+        orders AS (
+            SELECT '' AS filter_order UNION ALL
+            SELECT filter_order || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE instr(filter_order, x) = 0),
+        steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders WHERE length(filter_order) = 5),
+        fates AS (SELECT k, part, good, toxic, coalesce(string_agg(filter, '' ORDER BY filter) FILTER (fails), '') AS failed FROM flags GROUP BY ALL),
+        kinds AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM fates GROUP BY ALL),
+        placed AS (
+            SELECT *, instr(failed, filter_order[step]) > 0 AS has, list_min(list_transform(string_split(failed, ''), lambda f: instr(filter_order, f))) AS hit
+            FROM kinds, steps),
+        audit AS (
+            SELECT part, filter_order, step, coalesce(sum(n) FILTER (failed = '' OR hit > step), 0) AS kept, coalesce(sum(n) FILTER (hit = step AND failed <> ''), 0) AS removed,
+                coalesce(sum(n) FILTER (has AND hit < step), 0) AS redundant, coalesce(sum(n) FILTER (failed = filter_order[step]), 0) AS unique_fails,
+                coalesce(sum(good) FILTER (hit = step AND failed <> ''), 0) AS good_lost, coalesce(sum(toxic) FILTER (hit = step AND failed <> ''), 0) AS toxic_lost
+            FROM placed GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+            CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM audit""",
 }
