@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gradus.llm.common import read
-from gradus.llm import chat_format, filter_audit, jaccard_join, language_id, line_quality, packing, secret_scan, separator_scan, token_files, url_rules
+from gradus.llm import chat_format, filter_audit, jaccard_join, language_id, line_quality, packing, secret_scan, separator_scan, source_divergence, token_files, url_rules
 from gradus.llm.decontamination import contamination_digest
 
 
@@ -58,6 +58,10 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_quality": op2_line_quality,
@@ -70,6 +74,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
     "op12_filter_interactions": op12_filter_interactions,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -160,4 +165,28 @@ ORACLE_SQL: dict[str, str] = {
         SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
             CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
             CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM audit""",
+    "op13_source_divergence": r"""
+        WITH docs AS (SELECT row_number() OVER () AS k, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        said AS (
+            SELECT k, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        kept AS (SELECT lang, term FROM said GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+        used AS (SELECT lang, source, term, count(*) AS n FROM said JOIN kept USING (lang, term) GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        terms AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        totals AS (SELECT lang, source, sum(n) AS total FROM used GROUP BY ALL),
+        dense AS (
+            SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (coalesce(total, 0) + 5 * v) AS p
+            FROM groups JOIN kept USING (lang) JOIN terms USING (lang) LEFT JOIN totals USING (lang, source) LEFT JOIN used USING (lang, source, term)),
+        whole AS (
+            SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+            FROM dense GROUP BY lang, term),
+        far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        found AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+            UNION ALL
+            SELECT dense.lang, source, 'term', dense.term, p - q FROM dense JOIN whole ON whole.lang = dense.lang AND whole.term = dense.term WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found) WHERE part = 'pair' OR rank <= 50""",
 }
