@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gradus.llm.common import read
-from gradus.llm import chat_format, filter_audit, jaccard_join, language_id, line_quality, packing, secret_scan, separator_scan, source_divergence, token_files, url_rules
+from gradus.llm import chat_format, filter_audit, jaccard_join, language_id, line_quality, packing, secret_scan, separator_scan, source_divergence, token_files, url_rules, warc
 from gradus.llm.decontamination import contamination_digest
 
 
@@ -54,6 +54,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digest(turns.unionByName(extra))
 
 
+def op11_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_best_two_fit": op8_best_two_fit,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
+    "op11_warc_index": op11_warc_index,
     "op12_filter_interactions": op12_filter_interactions,
     "op13_source_divergence": op13_source_divergence,
 }
@@ -138,6 +143,16 @@ ORACLE_SQL: dict[str, str] = {
             FROM summed GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
             formatted_chars, n_examples FROM gathered""",
+    "op11_warc_index": r"""
+        WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS payload FROM pages),
+        firsts AS (SELECT payload, min(page_id) AS first FROM p WHERE strlen(payload) >= 100 GROUP BY payload),
+        parsed AS (
+            SELECT *, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest FROM p),
+        keyed AS (SELECT *, CASE WHEN contains(url, '://') THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || rest ELSE url END AS url_key FROM parsed)
+        SELECT page_id, CAST(strlen(keyed.payload) AS BIGINT) AS payload_bytes, sha256(keyed.payload) AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first < page_id THEN first END AS refers_to, url_key, row_number() OVER (ORDER BY url_key, page_id % 4294967296, page_id) - 1 AS position
+        FROM keyed LEFT JOIN firsts ON firsts.payload = keyed.payload""",
     "op12_filter_interactions": r"""
         WITH RECURSIVE docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
         firsts AS (SELECT text, min(doc_id) AS first FROM docs GROUP BY text),
