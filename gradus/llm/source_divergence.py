@@ -250,7 +250,7 @@ _STREAM = ["part", "lang", "kind", "term", "source", "n", "terms"]
 
 
 def _stream(top: int):
-    """Runs of kept terms behind their language's head rows; every task sums pairs and keeps its best terms."""
+    """Runs of kept terms behind their language's head rows; every task sums its pairs and keeps its best terms of a language."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -261,21 +261,23 @@ def _stream(top: int):
                 rows = pa.concat_tables([rest, rows]).combine_chunks()
             if rows is None or not len(rows):
                 continue
-            part, kind = (rows.column(c).to_numpy() for c in ("part", "kind"))
+            kind = rows.column("kind").to_numpy()
             lang, term = (rows.column(c).combine_chunks() for c in ("lang", "term"))
-            runs = changes(part, lang, kind, term)
+            runs = changes(lang, kind, term)
             whole = len(rows) if batch is None else int(runs[-1])
             rest, ready = rows.slice(whole), rows.slice(0, whole).combine_chunks()
             if not whole:
                 continue
-            of_kind = changes(part[:whole], ready.column("lang").combine_chunks(), kind[:whole])
+            of_kind = changes(ready.column("lang").combine_chunks(), kind[:whole])
             for a, b in zip(of_kind, np.append(of_kind, whole)[1:], strict=True):
                 here = ready.slice(a, b - a).combine_chunks()
                 source, n = here.column("source").combine_chunks(), here.column("n").to_numpy()
                 if kind[a] == 0:
                     if current:
                         yield from current.end(top)
-                    current = _Language(here.column("lang")[0].as_py(), source, n, here.column("terms")[0].as_py(), part[a] == 0)
+                    once = changes(source)  # a partition may hold the head rows of several parts
+                    first = not here.column("part").to_numpy().min()
+                    current = _Language(here.column("lang")[0].as_py(), source.take(pa.array(once)), n[once], here.column("terms")[0].as_py(), first)
                 else:
                     yield from current.add(here.column("term").combine_chunks(), source, n, top)
         if current:
@@ -306,7 +308,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
     )
     part = F.pmod(F.xxhash64("lang", "term"), F.lit(parts)).cast("int").alias("part")
     dealt = heads.unionByName(kept.select(part, "lang", F.lit(1).alias("kind"), "term", "source", "n", long0.alias("terms")))
-    stream = dealt.repartition(parts, "part").sortWithinPartitions("part", "lang", "kind", "term", "source")
+    stream = dealt.repartition(parts, "part").sortWithinPartitions("lang", "kind", "term", "source")
     found = stream.select(*_STREAM).mapInArrow(_stream(top), FOUND)
     summed = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
