@@ -30,6 +30,65 @@ def group_folds(df: DataFrame, group: str, strata: str, k: int, seed: int = 42)
     return df.join(dealt, group)
 
 
+#: Different class vectors that the driver deals out; a longer histogram is made coarser.
+VECTORS = 1 << 16
+
+
+def deal_vectors(histogram: Sequence[tuple[Sequence[int], int]], k: int) -> list[list[int]]:
+    """The folds (from 1) of what is left of each vector's groups when as many as possible have gone to all folds alike.
+
+    ``histogram`` has (class counts, groups). Larger vectors go first; each of a vector's last ``groups % k`` groups goes to the
+    fold in which the squares of all class shares grow least, the first one of equals.
+    """
+    totals = [float(sum(v[c] * n for v, n in histogram)) ** 2 or 1.0 for c in range(len(histogram[0][0]) if histogram else 0)]
+    sums = [[0] * len(totals) for _ in range(k)]
+    dealt: list[list[int]] = [[] for _ in histogram]
+    for at in sorted(range(len(histogram)), key=lambda i: (-sum(histogram[i][0]), [-x for x in histogram[i][0]])):
+        vector, n = histogram[at]
+        for _ in range(n % k):
+            cost = []
+            for held in sums:
+                grown = 0.0
+                for s, v, t in zip(held, vector, totals, strict=True):
+                    grown += (2 * s * v + v * v) / t
+                cost.append(grown)
+            best = cost.index(min(cost))
+            dealt[at].append(best + 1)
+            sums[best] = [s + v for s, v in zip(sums[best], vector, strict=True)]
+    return dealt
+
+
+def class_vectors(df: DataFrame, group: str, grade: str, classes: int = 5) -> DataFrame:
+    """(group, vector): how many rows of each class a group has."""
+    counts = [F.count_if(F.col(grade) == g).cast("long") for g in range(classes)]
+    return df.groupBy(group).agg(F.array(*counts).alias("vector"))
+
+
+def balanced_group_folds(df: DataFrame, group: str, grade: str, k: int, seed: int = 42, classes: int = 5, vectors: int = VECTORS) -> DataFrame:
+    """Adds ``fold``: whole groups, dealt so that every fold has about the same share of each class.
+
+    Groups with the same class counts are alike, so the driver deals their histogram (``deal_vectors``) and a group's fold
+    follows from its rank, by a seeded hash, among those with its vector. The histogram has a row for each different vector; if
+    it has more than ``vectors``, counts are rounded down to multiples of 2, 4, ... until it has not. Order of rows has no
+    effect. A null group gets no fold.
+    """
+    spark, shift = df.sparkSession, 0
+    exact = class_vectors(df.where(F.col(group).isNotNull()), group, grade, classes)
+    while True:
+        groups = exact if not shift else exact.withColumn("vector", F.transform("vector", lambda n: F.shiftleft(F.shiftright(n, shift), shift)))
+        if groups.select("vector").distinct().limit(vectors + 1).count() <= vectors:
+            break
+        shift += 1
+    histogram = [(tuple(r.vector), r.n) for r in groups.groupBy("vector").agg(F.count(F.lit(1)).alias("n")).collect()]
+    rows = [(list(v), n // k * k, d) for (v, n), d in zip(histogram, deal_vectors(histogram, k), strict=True)]
+    left = spark.createDataFrame(rows, "vector array<long>, _even long, _left array<int>")
+    order = hash32(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")))
+    ranked = numbered(groups.withColumn("_vector", F.array_join("vector", ",")), order, [group], ["_vector"])
+    place = F.col("_place").cast("int")
+    fold = F.when(place < F.col("_even"), place % k + 1).otherwise(F.get("_left", (place - F.col("_even")).cast("int")))
+    return df.join(ranked.join(left, "vector").select(group, fold.cast("int").alias("fold")), group, "left")
+
+
 def first_k(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], k: int) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= k).drop("_rank")
 
@@ -93,10 +152,14 @@ def pool_and_holdout(df: DataFrame, split: str, pool: Sequence[str] = ("train",
     return df.withColumn("part", F.when(F.col(split).isin(*pool), "pool").otherwise("holdout"))
 
 
-def nested_split(df: DataFrame, group: str, strata: str, seed: int = 42) -> DataFrame:
-    """Adds ``part`` of PARTS: half of the groups for test, a fifth of the others for validation; groups stay whole."""
-    halves = group_folds(df, group, strata, 2, seed).withColumnRenamed("fold", "_half")
-    rest = group_folds(halves.where("_half = 2"), group, strata, 5, seed)
+def nested_split(df: DataFrame, group: str, strata: str, seed: int = 42, balanced: bool = False) -> DataFrame:
+    """Adds ``part`` of PARTS: half of the groups for test, a fifth of the others for validation; groups stay whole.
+
+    ``balanced`` deals groups by all their classes (``balanced_group_folds``), else by their highest and their size.
+    """
+    folds = balanced_group_folds if balanced else group_folds
+    halves = folds(df, group, strata, 2, seed).withColumnRenamed("fold", "_half")
+    rest = folds(halves.where("_half = 2"), group, strata, 5, seed)
     inner = rest.select("*", F.when(F.col("fold") == 1, PARTS[1]).otherwise(PARTS[0]).alias("part")).drop("fold", "_half")
     return halves.where("_half = 1").drop("_half").withColumn("part", F.lit(PARTS[2])).unionByName(inner)
 

@@ -1,5 +1,5 @@
 """The registered queries: adapters onto the driver's tables, plans and their SQL."""
 
-from gradus.plans import queries, reports
+from gradus.plans import queries, records, reports
 
-__all__ = ["queries", "reports"]
+__all__ = ["queries", "records", "reports"]

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gradus.functions.scalars import grade_name, referable, stem
-from gradus.operators.checks import ContractError, is_cluster, is_grade, is_safe_id, is_whole_grade, not_exactly_one, require, require_labels, require_unique, valid_cuts
+from gradus.sources.formats import FOLDS, FoldArchives
+from gradus.operators.checks import ContractError, is_cluster, is_grade, is_safe_id, is_whole_grade, not_exactly_one, require, require_columns, require_labels, require_unique, valid_cuts
 
 
 def read_text_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, sep: str = ",") -> DataFrame:
@@ -54,13 +52,44 @@ def load_labels(spark: SparkSession, path: str, format: str = "csv") -> DataFram
     return rows
 
 
+def broken_lines(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """(file, line, record) of the lines of a delimited file that do not have the header's number of fields.
+
+    The CSV reader fills such rows with nulls or cuts them off. A line is a record here: a quoted field must end in it. Blank
+    lines are none; ``line`` counts from 1, the header included.
+    """
+    header = spark.read.option("sep", sep).option("header", True).option("inferSchema", False).csv(path)
+    names = [f"c{i}" for i in range(len(header.columns))]
+    schema = ", ".join(f"{c} string" for c in [*names, "_broken"])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    sizes = lines.groupBy("file", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    # A row for each file and split of it.
+    before = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = lines.join(F.broadcast(starts), ["file", "_part"]).withColumn("line", F.col("_before") + F.col("_id") - F.col("_first") + 1)
+    parsed = F.from_csv("value", F.lit(schema), {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    bad = numbered.where((F.trim("value") != "") & (F.col("line") > 1)).withColumn("_parsed", parsed).where("_parsed._broken is not null")
+    return bad.select("file", "line", F.col("value").alias("record"))
+
+
+def require_whole_lines(spark: SparkSession, path: str, sep: str = ",") -> None:
+    """Raises with the place and text of the first lines that have too many or too few fields."""
+    bad = broken_lines(spark, path, sep).orderBy("file", "line").limit(5).collect()
+    if bad:
+        raise ContractError("lines with too many or too few fields: " + "; ".join(f"{r.file}:{r.line}: {r.record}" for r in bad))
+
+
 def inspect_labels(spark: SparkSession, path: str, expected_rows: int | None = None) -> DataFrame:
-    """(split, grade_0..4, n) of a strict label CSV: whole grades as one digit, known splits, unique ids, referral flags that agree."""
-    rows = read_text_table(spark, path, ["id_code", "diagnosis", "split", "is_referable"])
-    require(rows, {
-        "id_code": is_safe_id("id_code"), "diagnosis": F.col("diagnosis").rlike("^[0-4]$"), "split": F.col("split").isin("train", "valid", "test"),
-        "is_referable": F.lower("is_referable").isin("true", "false") & ((F.lower("is_referable") == "true") == (F.col("diagnosis") >= "2")),
-    })
+    """(split, grade_0..4, n) of a strict label CSV: whole lines, grades as one digit, known splits, unique ids.
+
+    Referral flags, if the file has them, must be there in each row and agree with the grade.
+    """
+    require_whole_lines(spark, path)
+    rows = read_text_table(spark, path)
+    flagged = "is_referable" in rows.columns
+    require_columns(rows, ["id_code", "diagnosis", "split"])
+    flag = {"is_referable": F.lower("is_referable").isin("true", "false") & ((F.lower("is_referable") == "true") == (F.col("diagnosis") >= "2"))} if flagged else {}
+    require(rows, {"id_code": is_safe_id("id_code"), "diagnosis": F.col("diagnosis").rlike("^[0-4]$"), "split": F.col("split").isin("train", "valid", "test")} | flag)
     require_unique(rows, "id_code")
     if expected_rows is not None and (n := rows.count()) != expected_rows:
         raise ContractError(f"{expected_rows} rows are expected, not {n}")
@@ -111,19 +140,15 @@ def explode_folds(folds: DataFrame) -> DataFrame:
     return zipped.select("sweep", "fold", "pos", F.col("x.test_ids").alias("id_code"), F.col("x.test_true").alias("test_true"), F.col("x.test_raw").alias("test_raw"))
 
 
-def read_fold_arrays(spark: SparkSession, path: str, pattern: str = "fold*.npz") -> DataFrame:
-    """(path, id_code, pos, test_true, test_raw) rows of legacy fold archives with the arrays test_ids, test_true and test_raw."""
-
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                with np.load(io.BytesIO(content), allow_pickle=False) as arrays:
-                    ids = arrays["test_ids"].astype(str)
-                    columns = {"id_code": ids, "pos": np.arange(len(ids)), "test_true": arrays["test_true"].astype(int), "test_raw": arrays["test_raw"].astype(float)}
-                yield pd.DataFrame({"path": name, **columns})
+def read_fold_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(sweep, fold, pos, id_code, test_true, test_raw) of legacy archives ``<sweep>/fold<k>.npz`` below ``path``, a task for each.
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(unpack, "path string, id_code string, pos int, test_true int, test_raw double")
+    Where the session lets Python sources take filters (spark.sql.python.filterPushdown.enabled), archives of other sweeps and
+    folds than a filter asks for are not opened.
+    """
+    spark.dataSource.register(FoldArchives)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format(FOLDS).option("path", path).option("pushdown", pushdown).load()
 
 
 def read_runs(spark: SparkSession, table: str, fallback: str) -> DataFrame:

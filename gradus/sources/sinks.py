@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions.scalars import finite
-from gradus.operators.audits import fingerprint
 from gradus.operators.checks import ContractError, require, require_eyes, require_unique
 from gradus.operators.joins import join_one_to_one, remap
+from gradus.sources.formats import PUBLICATION, SIDECAR, Publication, exists, file_digest
 
 
 def write_labels(df: DataFrame, path: str) -> None:
@@ -101,27 +104,40 @@ def write_run(df: DataFrame, path: str, config: dict) -> None:
 
 
 def publish(df: DataFrame, path: str, about: dict) -> None:
-    """Scores first, then a sidecar that signs them: readers that ask for the sidecar never see half of a result.
+    """Scores and the sidecar that signs them as one commit: both are there after it, or neither.
 
-    The sidecar has the number of rows and an order-free fingerprint of the stored rows, besides ``about``.
+    Tasks write apart; the commit alone shows the folder ``path``, by a rename. An attempt that fails leaves nothing that is
+    seen, and can be repeated. The sidecar has ``about``, the number of rows and each file's SHA-256. A result that is there
+    already stays: a second call raises.
     """
-    write_new(df, f"{path}/scores")
-    stored = df.sparkSession.read.parquet(f"{path}/scores")
-    signed = fingerprint(stored, stored.columns[0], stored.columns[1:]).first().asDict()
-    write_json(df.sparkSession.createDataFrame([(strict_json(about | signed),)], "value string"), f"{path}/sidecar")
+    said = strict_json(about)
+    if exists(path):
+        raise ContractError(f"{path} exists")
+    df.sparkSession.dataSource.register(Publication)
+    df.write.format(PUBLICATION).option("path", path).option("about", said).mode("append").save()
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """The scores, if their sidecar is there and still describes them."""
-    try:
-        said = json.loads(spark.read.text(f"{path}/sidecar").first().value)
-    except AnalysisException as e:
-        raise ContractError(f"{path} was never published") from e
-    stored = spark.read.parquet(f"{path}/scores")
-    found = fingerprint(stored, stored.columns[0], stored.columns[1:]).first()
-    if (said["rows"], said["fingerprint"]) != (found.rows, found.fingerprint):
-        raise ContractError(f"{path}: the scores are not those that were signed")
-    return stored
+    """The scores, if their sidecar is there and the stored files are those that it signs; files are checked by tasks."""
+    if not exists(path):
+        raise ContractError(f"{path} was never published")
+    store, folder = pafs.FileSystem.from_uri(path)
+    with store.open_input_stream(f"{folder}/{SIDECAR}") as stream:
+        said = json.loads(stream.read())
+    there = {f.base_name for f in store.get_file_info(pafs.FileSelector(f"{folder}/scores")) if f.base_name.endswith(".parquet")}
+    if there != set(said["files"]):
+        raise ContractError(f"{path}: the files are not those that were signed: {sorted(there ^ set(said['files']))[:5]}")
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            good = [file_digest(pafs.FileSystem.from_uri(path)[0], f"{folder}/scores/{name}") == sha for name, sha in zip(frame["name"], frame["sha"], strict=True)]
+            yield frame[~np.array(good, bool)][["name"]]
+
+    files = spark.createDataFrame(sorted(said["files"].items()), "name string, sha string")
+    bad = files.repartition(len(said["files"])).mapInPandas(check, "name string").limit(5).collect()
+    if bad:
+        raise ContractError(f"{path}: files that were changed: {[r.name for r in bad]}")
+    return spark.read.parquet(f"{path}/scores")
 
 
 def comparison_frame(spark: SparkSession, baseline: str, candidate: str) -> DataFrame:

@@ -171,10 +171,34 @@ def test_heat_on_tissue(spark):
     assert tuple(got[0]) == (0.75, 0.5, 1.5) and got[1].mass is None and got[2].ratio is None and got[2].area == 1.0
 
 
-def test_legacy_fold_archives(spark, tmp_path):
-    np.savez(tmp_path / "fold1.npz", test_ids=np.array(["a", "b"]), test_true=np.array([0, 2]), test_raw=np.array([0.25, 2.5]))
-    rows = labels.read_fold_arrays(spark, str(tmp_path)).orderBy("pos").collect()
-    assert [tuple(r)[1:] for r in rows] == [("a", 0, 0, 0.25), ("b", 1, 2, 2.5)]
+def test_fold_archives_open_only_what_is_asked_for(spark, tmp_path):
+    rng, want = np.random.default_rng(1), []
+    for sweep in ("s", "t"):
+        (tmp_path / sweep).mkdir()
+        for fold in (1, 2, 3):
+            ids, truth, raw = np.array([f"{sweep}{k}" for k in range(4)]), rng.integers(0, 5, 4), rng.random(4)
+            np.savez(tmp_path / sweep / f"fold{fold}.npz", test_ids=ids, test_true=truth, test_raw=raw)
+            want += [(sweep, fold, k, str(ids[k]), int(truth[k]), float(raw[k])) for k in range(4)]
+    (tmp_path / "s" / "notes.txt").write_text("no archive")
+    assert sorted(map(tuple, labels.read_fold_archives(spark, str(tmp_path)).collect())) == want
+    folds = spark.createDataFrame([(s, f, [r[3] for r in want if r[:2] == (s, f)], [r[4] for r in want if r[:2] == (s, f)], [r[5] for r in want if r[:2] == (s, f)]) for s in "st" for f in (1, 2, 3)], "sweep string, fold int, test_ids array<string>, test_true array<int>, test_raw array<double>")
+    assert sorted(map(tuple, labels.explode_folds(folds).collect())) == want
+    # Every other archive is broken: reading any of them would fail.
+    for fold in (1, 3):
+        (tmp_path / "s" / f"fold{fold}.npz").write_bytes(b"broken")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        found = labels.read_fold_archives(spark, str(tmp_path)).where("fold = 2 AND sweep IN ('s')")
+        assert found.rdd.getNumPartitions() == 1 and sorted(map(tuple, found.collect())) == [r for r in want if r[:2] == ("s", 2)]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_archives_of_uneven_arrays_raise(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    np.savez(tmp_path / "s" / "fold1.npz", test_ids=np.array(["a", "b"]), test_true=np.array([0]), test_raw=np.array([0.5, 1.5]))
+    with pytest.raises(Exception, match="same length|expected length"):
+        labels.read_fold_archives(spark, str(tmp_path)).collect()
 
 
 def test_graded_ensemble_averages_first(spark):
@@ -223,6 +247,9 @@ def test_published_results_are_whole(spark, tmp_path):
         sinks.read_published(spark, path)
     sinks.publish(rows, path, {"model": "m"})
     assert sinks.read_published(spark, path).count() == 2
+    with pytest.raises(ContractError, match="exists"):
+        sinks.publish(rows, path, {"model": "m"})
+    assert sinks.read_published(spark, path).count() == 2
     rows.limit(1).write.mode("append").parquet(f"{path}/scores")
     with pytest.raises(ContractError):
         sinks.read_published(spark, path)
@@ -231,6 +258,49 @@ def test_published_results_are_whole(spark, tmp_path):
     assert [r.value for r in sinks.as_json(rows).orderBy("value").collect()] == ['{"id_code":"a","raw":0.5}', '{"id_code":"b","raw":null}']
 
 
+def test_a_failed_publication_leaves_nothing_and_can_be_repeated(spark, tmp_path, monkeypatch):
+    path, rows = str(tmp_path / "out"), spark.range(300, numPartitions=3).select(F.col("id").cast("string").alias("id_code"), (F.col("id") / 3).alias("raw"))
+    broken = rows.withColumn("raw", F.when(F.col("id_code") == "250", F.raise_error(F.lit("a task fails"))).otherwise(F.col("raw")))
+    with pytest.raises(Exception, match="a task fails"):
+        sinks.publish(broken, path, {})
+    assert list(tmp_path.iterdir()) == []
+    with pytest.raises(ValueError):
+        sinks.publish(rows, path, {"mean": float("nan")})
+    assert list(tmp_path.iterdir()) == []
+    (tmp_path / "elsewhere").write_text("")  # the commit's rename fails
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.publish(rows, str(tmp_path / "elsewhere" / "out"), {})
+    sinks.publish(rows, path, {"model": "m"})
+    assert {p.name for p in tmp_path.iterdir()} == {"elsewhere", "out"} and sinks.read_published(spark, path).count() == 300
+    part = next((tmp_path / "out" / "scores").iterdir())
+    part.write_bytes(part.read_bytes()[:-1] + b"x")
+    with pytest.raises(ContractError, match="changed"):
+        sinks.read_published(spark, path)
+
+
+def test_an_empty_publication_keeps_its_columns(spark, tmp_path):
+    rows = spark.createDataFrame([], "id_code string, raw double")
+    sinks.publish(rows, str(tmp_path / "none"), {})
+    found = sinks.read_published(spark, str(tmp_path / "none"))
+    assert found.dtypes == rows.dtypes and found.count() == 0
+
+
+def test_lines_with_other_numbers_of_fields_are_named(spark, tmp_path):
+    text = 'id_code,diagnosis,split\na,0,train\nb,1,valid,extra\n\n"c,x",2,test\nd,3\ne,"4,test\n'
+    path = put(tmp_path, text, "broken.csv")
+    assert [(r.line, r.record) for r in labels.broken_lines(spark, path).orderBy("line").collect()] == [(3, "b,1,valid,extra"), (6, "d,3"), (7, 'e,"4,test')]
+    with pytest.raises(ContractError, match="broken.csv:3: b,1,valid,extra"):
+        labels.inspect_labels(spark, path)
+    without = put(tmp_path, "id_code,diagnosis,split\na,0,train\nb,4,test\n", "plain.csv")
+    assert {(r.split, r.n) for r in labels.inspect_labels(spark, without).collect()} == {("train", 1), ("test", 1)}
+    many = put(tmp_path, "id_code,diagnosis,split\n" + "".join(f"x{i},{i % 5},train{',more' * (i % 997 == 5)}\n" for i in range(20_000)), "many.csv")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert [r.line for r in labels.broken_lines(spark, many).orderBy("line").collect()] == [i + 2 for i in range(5, 20_000, 997)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_folds_runs_and_lists_are_stored(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, 0.5), ("b", 0, 0.1)], "id_code string, test_true int, test_raw double")
     path = str(tmp_path / "folds")
