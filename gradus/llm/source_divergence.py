@@ -24,7 +24,7 @@ from gradus.llm.common import let_go, written
 
 BASE, PRIOR, MIN_DOCS, TOP = 1_000_000_000, 5, 30, 50
 #: Bytes of text that are sorted at once; a longer document is counted in slices of as many.
-CHUNK = 16 << 20
+CHUNK = 10 << 20
 #: Numbers in a block of shares (terms by sources), sources up to which sums of pairs are held, and offers before they are cut.
 BLOCK, HELD, OFFERS = 1 << 21, 2048, 1 << 17
 
@@ -80,6 +80,8 @@ def _chunk_runs(data: np.ndarray, starts: np.ndarray, group: np.ndarray) -> tupl
     place[order] = np.arange(len(group))
     doc = place[np.searchsorted(starts, at, "right") - 1]
     key = coded.indices.to_numpy().astype(np.int64) * len(group) + doc
+    terms = coded.dictionary
+    del found, at, doc, coded
     key.sort()
     of_doc = changes(key)
     count = np.diff(np.append(of_doc, len(key)))
@@ -87,7 +89,7 @@ def _chunk_runs(data: np.ndarray, starts: np.ndarray, group: np.ndarray) -> tupl
     of_group = changes(term, groups)
     docs = np.diff(np.append(of_group, len(of_doc)))
     n = np.add.reduceat(count, of_group) if len(of_group) else count
-    return coded.dictionary.take(pa.array(term[of_group])), groups[of_group], docs, n
+    return terms.take(pa.array(term[of_group])), groups[of_group], docs, n
 
 
 def _long_runs(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
