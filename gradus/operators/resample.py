@@ -54,6 +54,17 @@ def resampled(clusters: DataFrame, sums: Sequence[str], n: int) -> DataFrame:
     return slots(clusters, n).join(mine, "place").groupBy("draw").agg(*[F.sum(c).alias(c) for c in sums])
 
 
+def paired_rates(sums: DataFrame) -> DataFrame:
+    """(draw, sensitivity, specificity, referral): how far two arms' rates are apart in each draw.
+
+    ``sums`` has a draw's ill and healthy rows (pos, neg) and of those the ones each arm gets right (ta, tb, na, nb). A draw
+    without both classes counts for none of the three rates.
+    """
+    c, both = F.col, (F.col("pos") > 0) & (F.col("neg") > 0)
+    apart = {"sensitivity": (c("tb") - c("ta"), c("pos")), "specificity": (c("nb") - c("na"), c("neg")), "referral": (c("tb") - c("ta") + c("na") - c("nb"), c("pos") + c("neg"))}
+    return sums.select("draw", *[F.when(both, ratio(k, n)).alias(name) for name, (k, n) in apart.items()])
+
+
 def interval(values: DataFrame, columns: Sequence[str], n: int, least_valid: float = 0.8) -> DataFrame:
     """(metric, valid, low, high): 95 % percentile limits over the draws in which a metric is defined.
 

@@ -379,18 +379,14 @@ def calibration_in_the_large(spark, d):
 @query(f"""WITH {PREDS_SQL}, sums AS (SELECT patient_id, count(*) FILTER (diagnosis >= 2) AS pos, count(*) FILTER (diagnosis >= 2 AND pred >= 2) AS ta,
     count(*) FILTER (diagnosis >= 2 AND cand >= 2) AS tb, count(*) FILTER (diagnosis < 2) AS neg, count(*) FILTER (diagnosis < 2 AND pred < 2) AS na, count(*) FILTER (diagnosis < 2 AND cand < 2) AS nb
     FROM preds GROUP BY patient_id), {DRAWN}, s AS (SELECT draw, sum(pos) AS pos, sum(ta) AS ta, sum(tb) AS tb, sum(neg) AS neg, sum(na) AS na, sum(nb) AS nb
-    FROM dr JOIN cl USING (place) GROUP BY draw), long AS (SELECT 'sensitivity' AS metric, (tb - ta)::DOUBLE / nullif(pos, 0) AS value FROM s
-    UNION ALL SELECT 'specificity', (nb - na)::DOUBLE / nullif(neg, 0) FROM s UNION ALL SELECT 'referral', (tb - ta + na - nb)::DOUBLE / (pos + neg) FROM s) {LIMITS}""")
+    FROM dr JOIN cl USING (place) GROUP BY draw), long AS (SELECT 'sensitivity' AS metric, CASE WHEN pos > 0 AND neg > 0 THEN (tb - ta)::DOUBLE / pos END AS value FROM s
+    UNION ALL SELECT 'specificity', CASE WHEN pos > 0 AND neg > 0 THEN (nb - na)::DOUBLE / neg END FROM s
+    UNION ALL SELECT 'referral', CASE WHEN pos > 0 AND neg > 0 THEN (tb - ta + na - nb)::DOUBLE / (pos + neg) END FROM s) {LIMITS}""")
 def bootstrap_rates_ci(spark, d):
     y, a, b = ill(), F.col("pred") >= 2, F.col("cand") >= 2
     sums = {"pos": F.count_if(y), "ta": F.count_if(y & a), "tb": F.count_if(y & b), "neg": F.count_if(~y), "na": F.count_if(~y & ~a), "nb": F.count_if(~y & ~b)}
     s = resampled_sums(spark, d, sums)
-    c = F.col
-    values = s.select(
-        "draw", S.ratio(c("tb") - c("ta"), c("pos")).alias("sensitivity"), S.ratio(c("nb") - c("na"), c("neg")).alias("specificity"),
-        S.ratio(c("tb") - c("ta") + c("na") - c("nb"), c("pos") + c("neg")).alias("referral"),
-    )
-    return resample.interval(values, ["sensitivity", "specificity", "referral"], DRAWS)
+    return resample.interval(resample.paired_rates(s), ["sensitivity", "specificity", "referral"], DRAWS)
 
 
 _MOMENTS = {"n": "1", "t": "diagnosis", "tt": "diagnosis * diagnosis", "a": "pred", "aa": "pred * pred", "ta": "diagnosis * pred", "b": "cand", "bb": "cand * cand", "tb": "diagnosis * cand"}

@@ -101,6 +101,14 @@ def test_bootstrap_of_equal_models_has_no_width(spark):
     assert (got["d"].low, got["d"].high) == (0.0, 0.0) and got["u"].low is None
 
 
+def test_draws_of_one_class_count_for_no_rate(spark):
+    sums = spark.createDataFrame([(0, 4, 2, 3, 6, 5, 6), (1, 0, 0, 0, 10, 9, 8), (2, 10, 9, 8, 0, 0, 0)], "draw int, pos int, ta int, tb int, neg int, na int, nb int")
+    got = {r.draw: tuple(r)[1:] for r in resample.paired_rates(sums).collect()}
+    assert got == {0: (0.25, 1 / 6, 0.0), 1: (None, None, None), 2: (None, None, None)}
+    limits = {r.metric: (r.valid, r.low) for r in resample.interval(resample.paired_rates(sums), ["sensitivity", "referral"], 3).collect()}
+    assert limits == {"sensitivity": (1, None), "referral": (1, None)}
+
+
 def test_filename_groups(spark):
     rnd = random.Random(3)
     numbers = sorted(rnd.sample(range(1, 90), 40))
