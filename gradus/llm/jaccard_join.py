@@ -490,13 +490,16 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
 
     All columns stay, as do rows without shingles. Of rows equal in doc_id and text one stays. An empty table stays empty.
     """
-    key = "_gradus_key"
+    key, doc = "_gradus_key", "_gradus_doc"
+    named = F.col("row_key").alias(key), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(doc)
     found = written(labelled(docs), "labelled")
-    of_label = found.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))["row_key"].alias("first"))
-    gone = found.join(of_label, "label").where("row_key <> first").select(F.col("row_key").alias(key)).distinct()
-    kept = docs.withColumn(key, row_key("doc_id", "text")).join(gone, key, "left_anti")
-    repeated = found.groupBy(F.col("row_key").alias(key)).agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("m")).where("n > 1 and m > 0").select(key)
+    of_label = found.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    gone = found.join(of_label, "label").where(~first.eqNullSafe(F.col("first"))).select(*named).distinct()
+    mine = docs.withColumns({key: row_key("doc_id", "text"), doc: F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))})
+    kept = mine.join(gone, [key, doc], "left_anti")
+    repeated = found.groupBy(*named).agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("m")).where("n > 1 and m > 0").select(key, doc)
     if repeated.isEmpty():
-        return kept.drop(key)
-    single = kept.join(repeated, key, "left_anti")
-    return single.unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key])).drop(key)
+        return kept.drop(key, doc).select(*docs.columns)
+    single = kept.join(repeated, [key, doc], "left_anti")
+    return single.unionByName(kept.join(repeated, [key, doc], "left_semi").dropDuplicates([key, doc])).select(*docs.columns)
