@@ -106,7 +106,7 @@ def test_pipeline_of_no_rows(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "benchmark"):
+    for t in ("documents", "pages", "conversations", "benchmark", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, oracle = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(oracle.columns)
