@@ -1,15 +1,17 @@
 """Cluster bootstraps from additive statistics: rows are summed per cluster once, and draws only weigh those sums.
 
-Slot s of draw d takes the cluster whose place in sorted order is the md5 hash of ``d:s`` modulo the number of clusters.
+Slot s of draw d takes the cluster whose place in sorted order is the md5 hash of ``d:s`` modulo the number of clusters; or the
+draws are those of NumPy's generator, for limits that equal published ones.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -48,10 +50,49 @@ def draws(clusters: DataFrame, n: int) -> DataFrame:
 
 def resampled(clusters: DataFrame, sums: Sequence[str], n: int) -> DataFrame:
     """(draw, sums): the sums of each draw's clusters. ``clusters`` has place, clusters and the additive columns ``sums``."""
+    return slots(clusters, n).join(_sums(clusters, sums), "place").groupBy("draw").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def _sums(clusters: DataFrame, sums: Sequence[str]) -> DataFrame:
     mine = clusters.select("place", *sums)
     if clusters.count() * 8 * (len(sums) + 1) <= BROADCAST:
         mine = F.broadcast(mine)  # then slots are added up by draw where they are made, without a shuffle of their own
-    return slots(clusters, n).join(mine, "place").groupBy("draw").agg(*[F.sum(c).alias(c) for c in sums])
+    return mine
+
+
+#: Numbers that are drawn at a time.
+CHUNK = 1 << 18
+
+
+def generator_draws(spark: SparkSession, clusters: int, n: int, seed: int, chunk: int = CHUNK) -> DataFrame:
+    """(draw, place, times) of ``n`` draws of ``clusters`` slots, as NumPy's default generator of ``seed`` makes them one after another.
+
+    A stream can't be entered in its middle, so the driver walks through it once, ``chunk`` numbers at a time, and keeps the
+    generator's state before each draw; tasks make the draws again from there. A place may have several rows in a draw, of
+    which ``times`` are added up. The walk takes a few seconds for each 10^9 numbers: beyond some 10^7 clusters use ``slots``.
+    """
+    sizes = [chunk] * (clusters // chunk) + [clusters % chunk]
+    generator, states = np.random.default_rng(seed), []
+    for draw in range(n):
+        states.append((draw, json.dumps(generator.bit_generator.state)))
+        for size in sizes:
+            generator.integers(0, clusters, size=size)
+
+    def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = np.random.default_rng()
+        for frame in frames:
+            for draw, state in zip(frame["draw"], frame["state"], strict=True):
+                mine.bit_generator.state = json.loads(state)
+                for size in sizes:
+                    places, times = np.unique(mine.integers(0, clusters, size=size), return_counts=True)
+                    yield pd.DataFrame({"draw": draw, "place": places, "times": times})
+
+    return spark.createDataFrame(states, "draw int, state string").mapInPandas(again, "draw int, place long, times long")
+
+
+def resampled_by(clusters: DataFrame, sums: Sequence[str], drawn: DataFrame) -> DataFrame:
+    """(draw, sums): as ``resampled``, for the draws (draw, place, times) that are given."""
+    return drawn.join(_sums(clusters, sums), "place").groupBy("draw").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in sums])
 
 
 def paired_rates(sums: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from gradus.operators.ranges import quantiles
 from gradus.plans import sqlapi
 from gradus.plans.adapters import COHORTS_SQL, DOCS_SQL, EYES_SQL, LINES_SQL, PREDS_SQL, RUNS_SQL, cohorts, docs, eyes, lines, preds, runs, table
 from gradus.plans.registry import ORACLES, QUERIES, query
-from gradus.plans.shared import CURVE, DRAWN, DRAWS, GRADE, LIMITS, METRICS, POINT, REFERABLE, cells, counts_of, fit_sql, graded, ill, kappa_sql, resampled_sums
+from gradus.plans.shared import CURVE, DRAWN, DRAWS, GRADE, LIMITS, METRICS, POINT, REFERABLE, cells, clusters, counts_of, fit_sql, graded, ill, kappa_sql, resampled_sums
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -383,9 +383,24 @@ def calibration_in_the_large(spark, d):
     UNION ALL SELECT 'specificity', CASE WHEN pos > 0 AND neg > 0 THEN (nb - na)::DOUBLE / neg END FROM s
     UNION ALL SELECT 'referral', CASE WHEN pos > 0 AND neg > 0 THEN (tb - ta + na - nb)::DOUBLE / (pos + neg) END FROM s) {LIMITS}""")
 def bootstrap_rates_ci(spark, d):
+    s = resampled_sums(spark, d, _rate_sums())
+    return resample.interval(resample.paired_rates(s), ["sensitivity", "specificity", "referral"], DRAWS)
+
+
+def _rate_sums() -> dict:
     y, a, b = ill(), F.col("pred") >= 2, F.col("cand") >= 2
-    sums = {"pos": F.count_if(y), "ta": F.count_if(y & a), "tb": F.count_if(y & b), "neg": F.count_if(~y), "na": F.count_if(~y & ~a), "nb": F.count_if(~y & ~b)}
-    s = resampled_sums(spark, d, sums)
+    return {"pos": F.count_if(y), "ta": F.count_if(y & a), "tb": F.count_if(y & b), "neg": F.count_if(~y), "na": F.count_if(~y & ~a), "nb": F.count_if(~y & ~b)}
+
+
+#: Fixed value: the seed of the published draws.
+SEED = 42
+
+
+@query()
+def bootstrap_rates_parity(spark, d):
+    """The limits of the same rates over the draws of NumPy's generator."""
+    rows = clusters(spark, d, _rate_sums())
+    s = resample.resampled_by(rows, list(_rate_sums()), resample.generator_draws(spark, rows.count(), DRAWS, SEED))
     return resample.interval(resample.paired_rates(s), ["sensitivity", "specificity", "referral"], DRAWS)
 
 

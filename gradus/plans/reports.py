@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradus.functions import scalars as S
@@ -11,7 +11,7 @@ from gradus.operators.ranges import numbered
 from gradus.plans.adapters import COHORTS_SQL, DIGIT_SQL, DOCS_SQL, EYES_SQL, PREDS_SQL, RUNS_SQL, cohorts, docs, eyes, noisy, preds, runs, table
 from gradus.plans.shared import CURVE, DRAWN, DRAWS, GRADE, LIMITS, METRICS, POINT, REFERABLE, counts_of, fit_sql, graded, ill, kappa_sql, resampled_sums
 from gradus.plans.registry import query
-from gradus.sources.images import concentration
+from gradus.sources.images import concentration, concentration_by, draw_spread
 
 # ---------------------------------------------------------------- operating points and transfer
 
@@ -599,13 +599,32 @@ def finite_scores(spark, d):
     return rows.groupBy("split").agg(F.count_if(S.finite(F.col("s"))).alias("finite"), F.count_if(checks.is_probability("s")).alias("probabilities"))
 
 
-@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT vec_id, sum(v * v) AS heat, sum(v * v) FILTER (100 * v > 10) AS inside,
-        count(*) FILTER (100 * v > 10)::DOUBLE / count(*) AS area FROM x GROUP BY vec_id)
-    SELECT vec_id, CASE WHEN heat > 0 AND area > 0 AND area < 1 THEN inside / heat END AS mass, area, CASE WHEN heat > 0 AND area > 0 AND area < 1 THEN inside / heat / area END AS ratio FROM s""")
-def attention_concentration(spark, d):
+_ATTENTION_SQL = """x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT vec_id, label, sum(v * v) AS heat, sum(v * v) FILTER (100 * v > 10) AS inside,
+        count(*) FILTER (100 * v > 10)::DOUBLE / count(*) AS area FROM x GROUP BY vec_id, label),
+    seen AS (SELECT vec_id, label, CASE WHEN heat > 0 AND area > 0 AND area < 1 THEN inside / heat END AS mass, area, CASE WHEN heat > 0 AND area > 0 AND area < 1 THEN inside / heat / area END AS ratio FROM s)"""
+
+
+def _attention(spark: SparkSession, d: str) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
-    rows = table(spark, d, "embeddings").select("vec_id", concentration(F.transform(v, lambda x: x * x), F.transform(v, lambda x: x * 100)).alias("c"))
-    return rows.select("vec_id", "c.mass", "c.area", "c.ratio")
+    rows = table(spark, d, "embeddings").select("vec_id", "label", concentration(F.transform(v, lambda x: x * x), F.transform(v, lambda x: x * 100)).alias("c"))
+    return rows.select("vec_id", "label", "c.mass", "c.area", "c.ratio")
+
+
+@query(f"WITH {_ATTENTION_SQL} SELECT vec_id, mass, area, ratio FROM seen")
+def attention_concentration(spark, d):
+    return _attention(spark, d).drop("label")
+
+
+@query(f"WITH {_ATTENTION_SQL} SELECT label, count(*) AS n, avg(mass) AS mass, avg(area) AS area, avg(ratio) AS ratio FROM seen GROUP BY label")
+def attention_by_grade(spark, d):
+    return concentration_by(_attention(spark, d), "label")
+
+
+@query(f"""WITH {_ATTENTION_SQL}, per AS (SELECT label, vec_id % 5 AS draw, count(*) AS n, avg(ratio) AS m FROM seen WHERE ratio IS NOT NULL GROUP BY ALL)
+    SELECT label, count(*) AS draws, CAST(sum(n) AS BIGINT) AS n, avg(m) AS mean, stddev_samp(m) AS sd, min(m) AS low, max(m) AS high FROM per GROUP BY label""")
+def attention_draws(spark, d):
+    """Five draws of each label, told apart by the rows' ids."""
+    return draw_spread(_attention(spark, d).withColumn("draw", F.col("vec_id") % 5), "label", "draw", "ratio")
 
 
 @query()

@@ -55,10 +55,11 @@ REPORTS = {f.__name__: f for f in (label_integrity, grade_distribution, referral
 
 
 def run(spark: SparkSession, name: str, labels: str, splits: Sequence[str] = checks.SPLITS) -> DataFrame:
-    """The report's result over the table or view ``labels`` (id_code, diagnosis, split, is_referable)."""
+    """The report's result over the table or view ``labels`` (id_code, diagnosis, split, is_referable); repeated ids come in order, the most spread first."""
     if not _NAME.fullmatch(labels):
         raise ValueError(f"not a table name: {labels!r}")
-    return REPORTS[name](spark.table(labels), splits)
+    rows = REPORTS[name](spark.table(labels), splits)
+    return rows.orderBy(F.desc("split_count"), "id_code") if name == "repeated_id_across_splits" else rows
 
 
 def estimate(spark: SparkSession, name: str, labels: str) -> str:

@@ -160,3 +160,17 @@ def concentration(heat: Column, level: Column) -> Column:
     inside = total(F.zip_with(heat, level, lambda h, v: F.when(v > TISSUE, h).otherwise(0.0)))
     mass = F.when((total(heat) > 0) & (area > 0) & (area < 1), inside / total(heat))
     return F.struct(mass.alias("mass"), area.alias("area"), (mass / area).alias("ratio"))
+
+
+def concentration_by(df: DataFrame, by: str) -> DataFrame:
+    """(by, n, mass, area, ratio): rows of each group, and the means of the three measures over those that have them."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("mass", "area", "ratio")])
+
+
+def draw_spread(df: DataFrame, by: str, draw: str, value: str) -> DataFrame:
+    """(by, draws, n, mean, sd, low, high): how far the means of a group's draws are apart; ``sd`` is null for one draw.
+
+    Draws weigh alike, however many rows they have; rows without a value count for none.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(by, draw).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"))
+    return per.groupBy(by).agg(F.count(F.lit(1)).alias("draws"), F.sum("n").alias("n"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd"), F.min("m").alias("low"), F.max("m").alias("high"))

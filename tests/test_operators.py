@@ -378,3 +378,40 @@ def test_file_groups_stay_in_one_part(spark):
     for r in rows:
         parts.setdefault(r.group, set()).add(r.part)
     assert len(rows) == len(names) and all(len(p) == 1 for p in parts.values()) and {r.part for r in rows} == set(splits.PARTS)
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 18])
+def test_generator_draws_give_the_limits_of_a_plain_bootstrap(spark, chunk):
+    rnd = np.random.default_rng(8)
+    patient, truth = np.sort(rnd.integers(0, 23, 90)), rnd.integers(0, 5, 90)
+    base, cand = (np.clip(truth + rnd.integers(-2, 3, 90), 0, 4) for _ in range(2))
+    names = sorted(set(map(int, patient)))
+    rng, diffs = np.random.default_rng(42), []
+    for _ in range(150):
+        at = np.concatenate([np.flatnonzero(patient == names[i]) for i in rng.integers(0, len(names), size=len(names))])
+        y, a, b = truth[at] >= 2, base[at] >= 2, cand[at] >= 2
+        diffs.append((b[y].mean() - a[y].mean(), (~b[~y]).mean() - (~a[~y]).mean(), b.mean() - a.mean()))
+    df = spark.createDataFrame([tuple(map(int, r)) for r in zip(patient, truth, base, cand)], "patient int, t int, a int, b int")
+    y, a, b = (F.col(c) >= 2 for c in "tab")
+    sums = {"pos": F.count_if(y), "ta": F.count_if(y & a), "tb": F.count_if(y & b), "neg": F.count_if(~y), "na": F.count_if(~y & ~a), "nb": F.count_if(~y & ~b)}
+    clusters = resample.numbered(df.groupBy("patient").agg(*[c.alias(n) for n, c in sums.items()]), "patient")
+    drawn = resample.generator_draws(spark, len(names), 150, 42, chunk)
+    rates = resample.paired_rates(resample.resampled_by(clusters, list(sums), drawn))
+    got = {r.metric: (r.valid, r.low, r.high) for r in resample.interval(rates, ["sensitivity", "specificity", "referral"], 150).collect()}
+    for i, metric in enumerate(["sensitivity", "specificity", "referral"]):
+        low, high = np.quantile([d[i] for d in diffs], [0.025, 0.975])
+        assert got[metric][0] == 150 and got[metric][1:] == pytest.approx((low, high), abs=1e-12)
+
+
+def test_generator_draws_of_one_cluster(spark):
+    assert {tuple(r) for r in resample.generator_draws(spark, 1, 3, 0).collect()} == {(0, 0, 1), (1, 0, 1), (2, 0, 1)}
+
+
+def test_draws_weigh_alike(spark):
+    from gradus.sources.images import concentration_by, draw_spread
+
+    df = spark.createDataFrame([("w", 1, 1.0), ("w", 1, 3.0), ("w", 2, 4.0), ("w", 2, None), ("v", 1, 5.0), (None, 1, None)], "w string, d int, x double")
+    got = {r.w: tuple(r)[1:] for r in draw_spread(df, "w", "d", "x").collect()}
+    assert got == {"w": (2, 3, 3.0, pytest.approx(math.sqrt(2)), 2.0, 4.0), "v": (1, 1, 5.0, None, 5.0, 5.0)}
+    measured = df.select("w", F.col("x").alias("mass"), F.col("x").alias("area"), F.col("x").alias("ratio"))
+    assert {(r.w, r.n, r.mass) for r in concentration_by(measured, "w").collect()} == {("w", 4, 8 / 3), ("v", 1, 5.0), (None, 1, None)}

@@ -333,3 +333,45 @@ def test_comparison_of_published_results(spark, tmp_path):
     for other in "cd":
         with pytest.raises(ContractError):
             sinks.comparison_frame(spark, str(tmp_path / "a"), str(tmp_path / other))
+
+
+def test_caches_are_held_against_settings_and_counts(spark, tmp_path, capsys):
+    from gradus.sources import caches
+
+    made = {"size": 64, "clahe": True, "clip_limit": 2.0, "square_mode": "pad", "workers": 8}
+    for name, settings, recorded, there in (
+        ("good one+%", made, 3, 3), ("interrupted", made, 5, 2), ("emptied", made, 1, 0), ("other size", made | {"size": 32, "square_mode": "crop"}, 1, 1), ("bare", {"size": 64}, 1, 1),
+    ):
+        caches.write_manifest(str(tmp_path / name), settings, recorded)
+        for i in range(there):
+            folder = tmp_path / name / ("train" if i else "")
+            folder.mkdir(exist_ok=True)
+            put(folder, "x", f"{i}.jpg")
+        put(tmp_path / name, "x", "note.txt")
+    (tmp_path / "unsaid").mkdir()
+    (tmp_path / "broken").mkdir()
+    put(tmp_path / "broken", "{", "_manifest.json")
+    put(tmp_path, "x", "stray.jpg")
+    path = str(tmp_path)
+    expected = made | {"clip_limit": 2}
+    got = {tuple(r) for r in caches.cache_findings(spark, path, expected).collect()}
+    assert got == {
+        ("interrupted", "n_images", "5", "2", "count"), ("emptied", "n_images", "1", "0", "count"), ("other size", "size", "32", "64", "differs"), ("other size", "square_mode", '"crop"', '"pad"', "differs"),
+        ("bare", "clahe", "null", "true", "differs"), ("bare", "clip_limit", "null", "2", "differs"), ("bare", "square_mode", "null", '"pad"', "differs"),
+        ("unsaid", None, None, None, "unrecorded"), ("broken", None, None, None, "unreadable"),
+    }
+    assert {r.cache for r in caches.cache_findings(spark, path, {}).collect()} == {"interrupted", "emptied", "unsaid", "broken"}
+    with pytest.raises(ContractError, match="interrupted"):
+        caches.require_caches(spark, path, {})
+    caches.image_counts(spark, path).explain()
+    assert "content" not in capsys.readouterr().out
+    lines = {r.cache: r.line for r in caches.read_manifests(spark, path).select("cache", caches.describe(F.col("settings")).alias("line")).collect()}
+    assert lines["good one+%"] == "64px, CLAHE clip=2, square=pad, n=3" and lines["bare"] == "64px, no CLAHE, square=?, n=1"
+
+
+def test_repeated_ids_come_in_order(spark):
+    from gradus.plans import sqlapi
+
+    rows = [(i, 0, s, False) for i, splits in (("b", ["train", "test"]), ("a", ["train", "valid"]), ("c", ["train", "valid", "test"]), ("d", ["test", "test"])) for s in splits]
+    spark.createDataFrame(rows, "id_code string, diagnosis int, split string, is_referable boolean").createOrReplaceTempView("repeated_labels")
+    assert [r.id_code for r in sqlapi.run(spark, "repeated_id_across_splits", "repeated_labels").collect()] == ["c", "a", "b"]
