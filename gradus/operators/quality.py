@@ -66,13 +66,39 @@ def shares(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
 
 
 def similar_pairs(df: DataFrame, block: str, key: str, pixels: str, similarity, least_corr: float, most_mae: float) -> DataFrame:
-    """(left, right, corr, mae): verified pairs among rows of an equal blocking hash; copies of one image are compared once."""
-    distinct = df.groupBy(block, pixels).agg(F.min(key).alias(key))
-    a, b = (distinct.select(F.col(block), F.col(key).alias(side), F.col(pixels).alias(f"_{side}")) for side in ("left", "right"))
-    pairs = a.join(b, block).where(F.col("left") < F.col("right")).withColumn("s", similarity(F.col("_left"), F.col("_right")))
+    """(left, right, corr, mae): verified pairs among rows of an equal blocking hash; copies of one image are compared once.
+
+    Only rows in the same or touching cells are compared, see ``touching``.
+    """
+    pairs = touching(df, block, key, pixels, least_corr, most_mae).withColumn("s", similarity(F.col("_left"), F.col("_right")))
     return pairs.select("left", "right", "s.corr", "s.mae").where((F.col("corr") >= least_corr) & (F.col("mae") <= most_mae))
 
 
+def touching(df: DataFrame, block: str, key: str, pixels: str, least_corr: float, most_mae: float) -> DataFrame:
+    """(left, right, _left, _right): each pair of different images of a block that may be as similar as asked, once, with their pixels.
+
+    No such pair is lost. The means of two images are no further apart than their mean absolute difference. Centred and of
+    length 1 they are sqrt(2 - 2 corr) apart, and so are at most their projections on a direction, here one half of the pixels
+    less the other. Means and projections are cut into cells of these widths, so a row meets its own cell and those around it.
+    Images without contrast have no correlation and meet none.
+    """
+    distinct = df.groupBy(block, pixels).agg(F.min(key).alias(key))
+    mean = F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(pixels)
+    placed = distinct.withColumn("_mean", mean)
+    total = lambda f: F.aggregate(F.transform(F.col(pixels), f), F.lit(0.0), lambda a, x: a + x)
+    off = lambda x: x.cast("double") - F.col("_mean")
+    length = F.sqrt(total(lambda x: off(x) * off(x)) * F.size(pixels))
+    halves = total(lambda x, i: F.when(2 * i < F.size(pixels), off(x)).otherwise(-off(x)))
+    # A little wider than need be, for sums that are rounded.
+    wide = lambda width: max(width, 1e-6) * (1 + 1e-6)
+    cells = {"_a": F.floor(F.col("_mean") / wide(most_mae)), "_b": F.floor(F.try_divide(halves, length) / wide(max(2 - 2 * least_corr, 0) ** 0.5))}
+    placed = placed.withColumns(cells).where("_a is not null and _b is not null").drop("_mean")
+    left = placed.select(block, "_a", "_b", F.col(key).alias("left"), F.col(pixels).alias("_left"))
+    around = F.explode(F.array(*[F.struct((F.col("_a") + i).alias("_a"), (F.col("_b") + j).alias("_b")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_cell")
+    right = placed.select(block, F.col(key).alias("right"), F.col(pixels).alias("_right"), around).select(block, "_cell.*", "right", "_right")
+    return left.join(right, [block, "_a", "_b"]).where(F.col("left") < F.col("right")).select("left", "right", "_left", "_right")
+
+
 def value_priors(df: DataFrame, by: Sequence[str], grade: str, least: int, ends: int) -> DataFrame:
     """The ``ends`` lowest and highest shares of grade 0 among groups of at least ``least`` rows."""
     per = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ratio(F.count_if(F.col(grade) == 0), F.count(F.lit(1))).alias("share_no_dr")).where(F.col("n") >= least)
@@ -117,26 +143,32 @@ def leader_groups(df: DataFrame, block: str, key: str, pixels: str, least_corr:
     """(block, key, head): greedy groups among rows with an equal hash: a row joins the first head, in order of keys, that it resembles.
 
     A row that resembles no head becomes one. Members are compared with heads only, so two members of a group may differ.
-    Copies of one image are compared once. A task walks a block in order and holds its heads, nothing else of it.
+    Copies of one image are compared once. A task walks a block in order and holds its heads, nothing else of it: a block must
+    have no more heads than a task can hold.
     """
     schema = StructType([df.schema[block], df.schema[key], StructField("head", df.schema[key].dataType)])
     once = df.groupBy(block, pixels).agg(F.min(key).alias(key))
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, names, heads = None, [], np.empty((0, 0))
+        current, names, heads, units = None, [], np.empty((0, 0)), np.empty((0, 0))
         for frame in frames:
             out = []
             for b, k, image in zip(frame[block], frame[key], frame[pixels], strict=True):
                 image = np.asarray(image, float)
+                unit = _unit(image)
                 if b != current:
-                    current, names, heads = b, [], np.empty((0, len(image)))
-                like = np.flatnonzero(_resembles(heads, image, least_corr, most_mae))
+                    current, names, heads, units = b, [], np.empty((8, len(image))), np.empty((8, len(image)))
+                n = len(names)
+                like = np.flatnonzero(units[:n] @ unit >= least_corr)
+                like = like[np.abs(heads[like] - image).mean(axis=1) <= most_mae]
                 if len(like):
                     out.append(names[like[0]])
-                else:
-                    names.append(k)
-                    heads = np.vstack([heads, image])
-                    out.append(k)
+                    continue
+                if n == len(heads):  # twice the room, so that heads are copied a few times only
+                    heads, units = (np.concatenate([x, np.empty_like(x)]) for x in (heads, units))
+                heads[n], units[n] = image, unit
+                names.append(k)
+                out.append(k)
             yield pd.DataFrame({block: frame[block], key: frame[key], "head": out})
 
     placed = once.select(block, key, pixels).repartition(block).sortWithinPartitions(block, key).mapInPandas(walk, schema)
@@ -144,8 +176,8 @@ def leader_groups(df: DataFrame, block: str, key: str, pixels: str, least_corr:
     return df.join(first, [block, pixels]).select(block, key, "head")
 
 
-def _resembles(heads: np.ndarray, image: np.ndarray, least_corr: float, most_mae: float) -> np.ndarray:
-    off, offs = image - image.mean(), heads - heads.mean(axis=1, keepdims=True)
+def _unit(image: np.ndarray) -> np.ndarray:
+    """Centred and of length 1; undefined without contrast."""
+    off = image - image.mean()
     with np.errstate(invalid="ignore", divide="ignore"):
-        corr = (offs @ off) / np.sqrt((offs * offs).sum(axis=1) * (off @ off))
-    return (corr >= least_corr) & (np.abs(heads - image).mean(axis=1) <= most_mae)
+        return off / np.sqrt(off @ off)

@@ -415,3 +415,42 @@ def test_draws_weigh_alike(spark):
     assert got == {"w": (2, 3, 3.0, pytest.approx(math.sqrt(2)), 2.0, 4.0), "v": (1, 1, 5.0, None, 5.0, 5.0)}
     measured = df.select("w", F.col("x").alias("mass"), F.col("x").alias("area"), F.col("x").alias("ratio"))
     assert {(r.w, r.n, r.mass) for r in concentration_by(measured, "w").collect()} == {("w", 4, 8 / 3), ("v", 1, 5.0), (None, 1, None)}
+
+
+@pytest.mark.parametrize(("least_corr", "most_mae"), [(0.995, 3.0), (0.9, 10.0), (0.3, 60.0), (1.0, 0.5)])
+def test_similar_pairs_lose_none_in_cells(spark, least_corr, most_mae):
+    rnd = np.random.default_rng(4)
+    shapes = rnd.uniform(20, 200, (40, 16))
+    images = [np.round(np.clip(shapes[i % 40] + rnd.normal(0, rnd.choice([0, 1, 4, 15]), 16) + rnd.choice([0, 2, 8]), 0, 255)) for i in range(160)] + [np.full(16, 7.0), np.full(16, 8.0), np.zeros(16)]
+    rows = [("hk"[i % 3 == 0], i, x.tolist()) for i, x in enumerate(images)] + [("h", 500, images[1].tolist())]
+    first = {}
+    for b, i, x in rows:
+        first.setdefault((b, tuple(x)), i)
+    kept = [(b, i, np.array(x)) for (b, x), i in first.items()]
+    want, all_pairs = set(), 0
+    for b, i, x in kept:
+        for c, k, y in kept:
+            if b == c and i < k:
+                all_pairs += 1
+                if x.std() and y.std() and np.corrcoef(x, y)[0, 1] >= least_corr and np.abs(x - y).mean() <= most_mae:
+                    want.add((i, k))
+    df = spark.createDataFrame(rows, "b string, i int, x array<double>")
+    got = quality.similar_pairs(df, "b", "i", "x", S.similarity, least_corr, most_mae).collect()
+    assert len(got) == len(want) and {(r.left, r.right) for r in got} == want
+    if least_corr > 0.9:
+        assert quality.touching(df, "b", "i", "x", least_corr, most_mae).count() < all_pairs / 10
+
+
+def test_leader_groups_of_many_heads(spark):
+    rnd = np.random.default_rng(6)
+    shapes = rnd.uniform(0, 200, (30, 12))
+    images = [np.round(shapes[i % 30] + rnd.normal(0, 2, 12)) for i in range(200)] + [np.full(12, 3.0), np.full(12, 4.0)]
+    df = spark.createDataFrame([("h", i, x.tolist()) for i, x in enumerate(images)], "b string, i int, x array<double>")
+    heads, want = [], {}
+    for i, x in enumerate(images):
+        like = [h for h in heads if x.std() and images[h].std() and np.corrcoef(x, images[h])[0, 1] >= 0.99 and np.abs(x - images[h]).mean() <= 4]
+        want[i] = like[0] if like else i
+        if not like:
+            heads.append(i)
+    assert 16 < len(heads) < 100
+    assert {r.i: r.head for r in quality.leader_groups(df, "b", "i", "x", 0.99, 4.0).collect()} == want
