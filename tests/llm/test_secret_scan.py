@@ -185,3 +185,23 @@ def test_masks_of_touching_and_nested_spans(spark):
     df = spark.createDataFrame([("0123456789", x) for x in spans], "text string, s array<struct<start:int,kind:int,end:int>>")
     got = [r[0] for r in df.select(s._masked(F.col("text"), s._merged(F.col("s")), "#", block=2)).collect()]
     assert got == ["#9", "0#23456789", "#1234#89", "0123456#"]
+
+
+def test_letter_costs_are_those_of_the_words():
+    _, letters = s._text_costs()
+    words = set(s.WORDS)
+    pairs, single = {}, {}
+    for w in words:
+        for a, b in zip(w, w[1:], strict=False):
+            pairs[a, b] = pairs.get((a, b), 0) + 1
+        for c in w:
+            single[c] = single.get(c, 0) + 1
+    for offset, used in ((0, s.LOWER), (27 * 26, "abcdef")):
+        for i, a in enumerate([*s.LOWER, None]):
+            row = {b: (pairs.get((a, b), 0) if a else single.get(b, 0)) + s.UNSEEN for b in used}
+            alone = {b: single.get(b, 0) + s.UNSEEN for b in used}
+            for b in used:
+                p = s.SHARES[0] * row[b] / sum(row.values()) + s.SHARES[1] * alone[b] / sum(alone.values()) + s.SHARES[2] / len(used)
+                assert math.isclose(letters[offset + i * 26 + s.LOWER.index(b)], -math.log(p), rel_tol=1e-9)
+            # Chances, so that a text reaches a ratio of p with a chance of p at most.
+            assert math.isclose(sum(math.exp(-letters[offset + i * 26 + s.LOWER.index(b)]) for b in used), 1, rel_tol=1e-9)
