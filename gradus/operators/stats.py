@@ -211,20 +211,36 @@ def _vectors(df: DataFrame, features: Sequence[str], grade: str, *keep: str) ->
     return VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="features").transform(rows).select("label", *keep, "features")
 
 
-def metadata_forest(df: DataFrame, features: Sequence[str], grade: str, fold: str, by: Sequence[str] = (), trees: int = 200, seed: int = 0) -> DataFrame:
-    """(by, t, p, n): cells of out-of-fold predictions of a forest that sees metadata only. High agreement reveals a shortcut."""
-    rows = _vectors(df, features, grade, fold, *by).persist()
-    out = None
+#: Depth of trees, which may be up to 30, and the share of all rows that a leaf has at least. Trees are held by the driver: of
+#: depth 30 they grow until their leaves are pure or hold that share, so a tree has at most 1 / LEAF leaves, however many rows there
+#: are. Each level is a job over all rows, and its statistics grow with the nodes.
+DEPTH, LEAF = 5, 1e-4
+
+
+def _forest(trees: int, seed: int, depth: int, leaf: float) -> RandomForestClassifier:
+    return RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth, minWeightFractionPerNode=leaf)
+
+
+def metadata_forest(
+    df: DataFrame, features: Sequence[str], grade: str, fold: str, by: Sequence[str] = (), trees: int = 200, seed: int = 0, depth: int = DEPTH, leaf: float = LEAF
+) -> DataFrame:
+    """(by, t, p, n): cells of out-of-fold predictions of a forest that sees metadata only. High agreement reveals a shortcut.
+
+    The cells are counted here, so that the rows kept for all folds can go; they come to the driver, one for each group and pair of grades.
+    """
+    rows, cells = _vectors(df, features, grade, fold, *by).persist(), []
+    schema = rows.select(*by).schema.add("t", "integer").add("p", "integer").add("n", "long")
     for k in [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]:  # a row for each fold
-        model = RandomForestClassifier(numTrees=trees, seed=seed).fit(rows.where(F.col(fold) != k))
+        model = _forest(trees, seed, depth, leaf).fit(rows.where(F.col(fold) != k))
         predicted = model.transform(rows.where(F.col(fold) == k))
         part = predicted.groupBy(*by, F.col("label").cast("int").alias("t"), F.col("prediction").cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(*by, "t", "p").agg(F.sum("n").alias("n"))
+        cells += map(tuple, part.collect())
+    rows.unpersist()
+    return df.sparkSession.createDataFrame(cells, schema).groupBy(*by, "t", "p").agg(F.sum("n").alias("n"))
 
 
-def feature_importances(df: DataFrame, features: Sequence[str], grade: str, trees: int = 200, seed: int = 0) -> DataFrame:
+def feature_importances(df: DataFrame, features: Sequence[str], grade: str, trees: int = 200, seed: int = 0, depth: int = DEPTH, leaf: float = LEAF) -> DataFrame:
     """(feature, importance) of a forest on all rows, the greatest first."""
-    model = RandomForestClassifier(numTrees=trees, seed=seed).fit(_vectors(df, features, grade))
+    model = _forest(trees, seed, depth, leaf).fit(_vectors(df, features, grade))
     rows = list(zip(features, map(float, model.featureImportances.toArray()), strict=True))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")

@@ -667,6 +667,6 @@ def threshold_search(spark, d):
 @query()
 def metadata_forest(spark, d):
     rows = table(spark, d, "part").withColumn("grade", (F.col("p_size") % 5).cast("int"))
-    dealt = splits.stratified_folds(rows, "p_partkey", ["grade"], 5)
+    dealt = splits.row_order_folds(rows, "p_partkey", "grade", 5)
     counted = stats.metadata_forest(dealt, ["p_size", "p_retailprice"], "grade", "fold")
     return metrics.grade_metrics(counted)

@@ -627,10 +627,19 @@ def attention_draws(spark, d):
     return draw_spread(_attention(spark, d).withColumn("draw", F.col("vec_id") % 5), "label", "draw", "ratio")
 
 
+@query(f"""WITH {_PICTURES}, seen AS (SELECT id_code, diagnosis, min(id_code) OVER (PARTITION BY diagnosis) AS first, row_number() OVER (PARTITION BY diagnosis ORDER BY id_code) AS j
+        FROM pictures), dealt AS (SELECT diagnosis, (row_number() OVER (ORDER BY first, id_code) - 1) % 5 + 1 AS fold FROM seen),
+    sizes AS (SELECT diagnosis, fold, count(*) AS n FROM dealt GROUP BY ALL), runs AS (SELECT diagnosis, fold, sum(n) OVER (PARTITION BY diagnosis ORDER BY fold) AS upto, n FROM sizes)
+    SELECT id_code, seen.diagnosis, CAST(fold AS INTEGER) AS fold FROM seen JOIN runs ON seen.diagnosis = runs.diagnosis AND j > upto - n AND j <= upto""")
+def row_order_folds(spark, d):
+    """Folds as unshuffled cross-validation makes them, in order of rows."""
+    return splits.row_order_folds(_pictures(spark, d), "id_code", "diagnosis", 5).select("id_code", "diagnosis", "fold")
+
+
 @query()
 def metadata_strata(spark, d):
-    """The shortcut forest's agreement by stratum and over ALL; folds are stratified."""
-    rows = splits.stratified_folds(_pictures(spark, d), "id_code", ["diagnosis"], 5).withColumn("stratum", S.resolution_bucket(F.col("width"), F.col("height")))
+    """The shortcut forest's agreement by stratum and over ALL; folds are stratified, in order of rows."""
+    rows = splits.row_order_folds(_pictures(spark, d), "id_code", "diagnosis", 5).withColumn("stratum", S.resolution_bucket(F.col("width"), F.col("height")))
     counted = metrics.with_all(stats.metadata_forest(rows, ["width", "height", "brightness"], "diagnosis", "fold", ["stratum"]), "stratum")
     return metrics.grade_metrics(counted, ["stratum"]).join(metrics.qwk(counted, ["stratum"], observed=True), "stratum")
 

@@ -228,13 +228,39 @@ def test_rules_count_nulls_as_broken(spark):
         checks.require(df.limit(0), {"g": checks.is_grade("g")})
 
 
-def test_registered_forest_has_the_reference_number_of_trees():
-    import inspect
-
-    from gradus.operators import stats as operator
-    from gradus.plans import queries
-
-    assert "trees" not in inspect.getsource(queries.metadata_forest) and inspect.signature(operator.metadata_forest).parameters["trees"].default == 200
+def test_forest_has_the_trees_and_depth_that_are_asked_for(spark, monkeypatch):
+    """200 trees where nothing is said; steps of one feature that no tree of depth 5 can tell apart are learned at depth 30."""
+    made, whole = [], stats._forest
+    monkeypatch.setattr(stats, "_forest", lambda trees, seed, depth, leaf: made.append((trees, depth, leaf)) or whole(8, seed, depth, leaf))
+    rows = [(float(i), (i // 16) % 2, i % 5 + 1) for i in range(512)]
+    df = spark.createDataFrame(rows, "x double, g int, fold int").withColumn("same", F.lit(0.0))
+    found = lambda **more: metrics.grade_metrics(stats.metadata_forest(df, ["x", "same"], "g", "fold", **more)).first().accuracy
+    flat, deep = found(), found(depth=30)
+    assert made[0] == (200, 5, 1e-4) and made[-1] == (200, 30, 1e-4) and flat < deep
+    assert stats.metadata_forest(df.limit(0), ["x", "same"], "g", "fold").collect() == []
+
+
+def test_importances_find_the_planted_features(spark):
+    rng = np.random.default_rng(6)
+    strong, weak, noise = rng.normal(size=(3, 400))
+    grade = (strong * 2 + weak > 0).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), float(c), int(g)) for a, b, c, g in zip(strong, weak, noise, grade, strict=True)], "a double, b double, c double, g int")
+    found = [(r.feature, r.importance) for r in stats.feature_importances(df, ["c", "b", "a"], "g", trees=30).collect()]
+    assert [f for f, _ in found] == ["a", "b", "c"] and found[0][1] > 2 * found[2][1] and math.isclose(sum(i for _, i in found), 1.0)
+
+
+@pytest.mark.parametrize("strata", [[0, 0, 0, 1, 1, 2], [3, 1, 3, 3, 1, 2, 1, 3, 3, None, 3, 1, 1, 3, 2, 2, 3, None, 3]])
+@pytest.mark.parametrize("k", [2, 5])
+def test_row_order_folds_against_a_plain_deal(spark, strata, k):
+    rows = [(10 * i, g) for i, g in enumerate(strata)]
+    got = {r.id: r.fold for r in splits.row_order_folds(spark.createDataFrame(rows[::-1], "id long, g int"), "id", "g", k).collect()}
+    firsts = list(dict.fromkeys(strata))
+    stood = [g for f in firsts for g in strata if g == f]
+    want = {}
+    for g in firsts:
+        runs = [f + 1 for f in range(k) for p in range(f, len(stood), k) if stood[p] == g]
+        want |= dict(zip([10 * i for i, x in enumerate(strata) if x == g], runs, strict=True))
+    assert got == want
 
 
 def test_running_sums_over_ranges(spark):
