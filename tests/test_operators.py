@@ -480,3 +480,43 @@ def test_leader_groups_of_many_heads(spark):
             heads.append(i)
     assert 16 < len(heads) < 100
     assert {r.i: r.head for r in quality.leader_groups(df, "b", "i", "x", 0.99, 4.0).collect()} == want
+
+
+def _unpacked(packed, clusters):
+    times = {}
+    for r in packed.collect():
+        for i, t in enumerate(r.times):
+            at = (r.draw, r.block * resample.BLOCK + i)
+            times[at] = times.get(at, 0) + t
+    assert all(place < clusters for _, place in times)
+    return {at: t for at, t in times.items() if t}
+
+
+@pytest.mark.parametrize("size", [1, 11, 4096, 10001])
+def test_packed_slots_are_the_slots(spark, size):
+    clusters = spark.range(size).select(F.col("id").alias("place"), F.lit(size).cast("long").alias("clusters"))
+    want = {(r.draw, r.place): r.times for r in resample.draws(clusters, 12).collect()}
+    assert _unpacked(resample.packed_slots(spark, size, 12), size) == want
+    assert resample.packed_slots(spark, 0, 12).collect() == []
+
+
+def test_counts_beyond_a_byte_are_kept():
+    frame = next(iter(resample._packed(3, np.r_[np.zeros(600, np.uint32), np.full(2, 4097, np.uint32)], 5000)))
+    first = [np.frombuffer(t, np.uint8)[0] for t, b in zip(frame["times"], frame["block"], strict=True) if b == 0]
+    assert first == [255, 255, 90] and sum(frame["block"]) == 1 and set(frame["draw"]) == {3}
+
+
+def test_sums_of_draws_against_plain_sums(spark):
+    rows = [(i, 5000, i % 7, i % 3 - 1, None if i == 9 else 0.5 * (i % 5)) for i in range(5000)]
+    clusters = spark.createDataFrame(rows, "place long, clusters long, a int, b long, x double")
+    want = resample.slots(clusters, 6).join(clusters, "place").groupBy("draw").agg(*[F.sum(c) for c in "abx"])
+    got = resample.resampled(clusters, ["a", "b", "x"], 6)
+    assert got.schema["a"].dataType == want.schema["sum(a)"].dataType
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_packed_generator_draws_are_the_generator_draws(spark):
+    want = {}
+    for r in resample.generator_draws(spark, 5000, 3, 7, 999).collect():
+        want[r.draw, r.place] = want.get((r.draw, r.place), 0) + r.times
+    assert _unpacked(resample.packed_generator_draws(spark, 5000, 3, 7, 999), 5000) == want
