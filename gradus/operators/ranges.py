@@ -17,15 +17,22 @@ RANGE = "_range"
 
 def cut(df: DataFrame, value: str, ranges: int | None = None) -> DataFrame:
     """Adds the range (from 0) of the numeric column ``value``; equal values share one. Nulls have -1, NaN the last."""
+    return placed(df, value, bounds(df, value, ranges))
+
+
+def bounds(df: DataFrame, value: str, ranges: int | None = None) -> list[float]:
+    """Values that cut ``value`` into about equal ranges. They come to the driver, so that every use of them cuts alike."""
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Bounds come to the driver, so that every use of the result cuts alike.
-    bounds = sorted(set(df.approxQuantile(value, [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
-    bounds = [b for b in bounds if abs(b) < float("inf")]
-    if not bounds:
+    found = sorted(set(df.approxQuantile(value, [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
+    return [b for b in found if abs(b) < float("inf")]
+
+
+def placed(df: DataFrame, value: str, ends: Sequence[float]) -> DataFrame:
+    if not ends:
         return df.withColumn(RANGE, F.lit(0.0))
-    splits = [-float("inf"), *bounds, float("inf")]
-    placed = Bucketizer(splits=splits, inputCol=value, outputCol=RANGE, handleInvalid="keep").transform(df)
-    return placed.withColumn(RANGE, F.coalesce(RANGE, F.lit(-1.0)))
+    splits = [-float("inf"), *ends, float("inf")]
+    found = Bucketizer(splits=splits, inputCol=value, outputCol=RANGE, handleInvalid="keep").transform(df)
+    return found.withColumn(RANGE, F.coalesce(RANGE, F.lit(-1.0)))
 
 
 def running(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, ties: Sequence[str] = (), ahead: Sequence[str] = (), ranges: int | None = None) -> DataFrame:

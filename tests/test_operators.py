@@ -520,3 +520,25 @@ def test_packed_generator_draws_are_the_generator_draws(spark):
     for r in resample.generator_draws(spark, 5000, 3, 7, 999).collect():
         want[r.draw, r.place] = want.get((r.draw, r.place), 0) + r.times
     assert _unpacked(resample.packed_generator_draws(spark, 5000, 3, 7, 999), 5000) == want
+
+
+@pytest.mark.parametrize("held", [1, 256 << 20])
+def test_auc_of_draws_over_blocks_with_odd_scores(spark, monkeypatch, held):
+    """More than a block of clusters, several ranges, rows that count twice, scores without a number, an arm of one class."""
+    monkeypatch.setattr(resample, "WEIGHED", 4)
+    monkeypatch.setattr(resample, "BLOCK", 16)
+    monkeypatch.setattr(resample, "HELD", held)
+    rng = np.random.default_rng(3)
+    rows = [(int(c), int(y), float(np.round(y + rng.normal(), 1)), arm) for c in range(40) for y in rng.integers(0, 2, 3) for arm in "ab"]
+    rows += [(1, 1, float("nan"), "a"), (2, 0, None, "a"), (3, 1, 0.5, "a"), (3, 1, 0.5, "a"), (4, 0, 0.1, "c"), (5, None, 0.3, "c"), (None, 1, 0.2, "a")]
+    df = spark.createDataFrame(rows, "c long, y int, s double, arm string")
+    got = {(r.arm, r.draw): r.auc for r in resample.resampled_auc(df, "c", F.col("y") == 1, "s", "arm", 8).collect()}
+    places = {r.c: r.place for r in resample.numbered(df.select("c").distinct(), "c").collect()}
+    times = {(r.draw, r.place): r.times for r in resample.draws(resample.numbered(df.select("c").distinct(), "c"), 8).collect()}
+    for (arm, draw), auc in got.items():
+        key = lambda x: math.inf if x is None or x != x else x
+        pos, neg = ([(key(r[2]), times.get((draw, places[r[0]]), 0)) for r in rows if r[3] == arm and r[1] == y and r[0] is not None] for y in (1, 0))
+        wins = sum(a * b * ((x > z) + (x == z) / 2) for x, a in pos for z, b in neg)
+        whole = sum(a for _, a in pos) * sum(b for _, b in neg)
+        assert auc == (pytest.approx(wins / whole) if whole else None)
+    assert len(got) == 24
