@@ -94,6 +94,13 @@ def long(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     return df.select(*by, F.explode(F.array(*entries)).alias("m")).select(*by, "m.metric", "m.value")
 
 
+def fold_means(scores: DataFrame, key: str, truth: str, fold: str = "fold") -> DataFrame:
+    """(key, truth, raw): the mean of the folds' scores, which are added in order of folds: a mean that is at a cut is on the same side of it, however rows are dealt."""
+    each = F.array_sort(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct(fold, "raw"))))
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x["raw"])
+    return scores.groupBy(key, truth).agg(F.try_divide(total, F.size(each)).alias("raw"))
+
+
 def sweep_metrics(scores: DataFrame, cuts: DataFrame, key: str, truth: str) -> DataFrame:
     """(fold, n, qwk, accuracy, macro_f1, sensitivity, specificity, severe_missed) of each fold and of the ensemble, as fold 0.
 
@@ -102,7 +109,7 @@ def sweep_metrics(scores: DataFrame, cuts: DataFrame, key: str, truth: str) -> D
     """
     mean_cut = cuts.select(F.posexplode("cuts").alias("k", "c")).groupBy("k").agg(F.avg("c").alias("c"))
     mean_cuts = mean_cut.agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("kc")).select(F.lit(0).alias("fold"), F.col("kc.c").alias("cuts"))
-    ensemble = scores.groupBy(key, truth).agg(F.avg("raw").alias("raw")).select(F.lit(0).alias("fold"), truth, "raw")
+    ensemble = fold_means(scores, key, truth).select(F.lit(0).alias("fold"), truth, "raw")
     rows = scores.select(F.col("fold").cast("int").alias("fold"), truth, "raw").unionByName(ensemble)
     every = cuts.select(F.col("fold").cast("int").alias("fold"), "cuts").unionByName(mean_cuts)
     # A row for each fold.

@@ -542,3 +542,12 @@ def test_auc_of_draws_over_blocks_with_odd_scores(spark, monkeypatch, held):
         whole = sum(a for _, a in pos) * sum(b for _, b in neg)
         assert auc == (pytest.approx(wins / whole) if whole else None)
     assert len(got) == 24
+
+
+def test_fold_means_add_in_order_of_folds(spark):
+    raws = [0.1, 0.7, 1e16, -1e16, 0.3]
+    rows = [(1, 2, f, raws[f]) for f in reversed(range(5))] + [(2, 0, 1, None), (2, 0, 0, 3.0), (3, None, 0, None)]
+    df = spark.createDataFrame(rows, "i int, t int, fold int, raw double")
+    assert {r.i: r.raw for r in audits.fold_means(df, "i", "t").collect()} == {1: ((((0.0 + 0.1) + 0.7) + 1e16) - 1e16 + 0.3) / 5, 2: 3.0, 3: None}
+    graded = audits.sweep_metrics(df.where("i = 1").withColumn("t", F.lit(0)), spark.createDataFrame([(f, [0.2, 1.0, 2.0, 3.0]) for f in range(5)], "fold int, cuts array<double>"), "i", "t")
+    assert graded.where("fold = 0").first().accuracy == 1.0
