@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from gradus.functions.scalars import ratio
 from gradus.operators.joins import pairs_within
@@ -65,13 +65,60 @@ def shares(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     return top.crossJoin(F.broadcast(whole)).withColumn("share", ratio(F.col("n"), F.col("_all"))).drop("_all")
 
 
+#: Rows of each side that a task compares at once, about.
+TILE = 2048
+
+
 def similar_pairs(df: DataFrame, block: str, key: str, pixels: str, similarity, least_corr: float, most_mae: float) -> DataFrame:
     """(left, right, corr, mae): verified pairs among rows of an equal blocking hash; copies of one image are compared once.
 
-    Only rows in the same or touching cells are compared, see ``touching``.
+    Only rows in the same or touching cells are compared, see ``touching``: tiles of a cell's rows with tiles of those around it,
+    as products of matrices. ``similarity`` decides about pairs that are at a threshold, up to rounding.
     """
-    pairs = touching(df, block, key, pixels, least_corr, most_mae).withColumn("s", similarity(F.col("_left"), F.col("_right")))
-    return pairs.select("left", "right", "s.corr", "s.mae").where((F.col("corr") >= least_corr) & (F.col("mae") <= most_mae))
+    left, right = (x.withColumn("_width", F.size(c)) for x, c in zip(_sides(df, block, key, pixels, least_corr, most_mae), ("_left", "_right"), strict=True))
+    cell = [block, "_a", "_b", "_width"]
+    tiles = right.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / TILE).alias("_n"))
+    id_type = df.schema[key].dataType
+
+    def dealt(rows: DataFrame, name: str, image: str, mine: str, other: str) -> DataFrame:
+        placed = rows.join(tiles, cell).withColumns({mine: F.pmod(F.xxhash64(name), "_n"), other: F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))})
+        return placed.select(F.struct(*cell, "_s", "_t").alias("_tile"), name, image)
+
+    image = ArrayType(DoubleType())
+    schema = StructType([StructField("left", id_type), StructField("right", id_type), StructField("corr", DoubleType()), StructField("mae", DoubleType()), StructField("_left", image), StructField("_right", image)])
+    slack = 1e-9 * max(1.0, most_mae)
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(a) and len(b):
+            x, y = (np.stack(v).astype(float) for v in (a["_left"], b["_right"]))
+            ux, uy = _units(x), _units(y).T
+            before = b["right"].to_numpy()
+            for i in range(0, len(x), 256):
+                corr = ux[i : i + 256] @ uy
+                at, to = np.nonzero((corr >= least_corr - 1e-9) & (a["left"].to_numpy()[i : i + 256, None] < before))
+                for k in range(0, len(at), 8192):
+                    p, q = at[k : k + 8192], to[k : k + 8192]
+                    mae, c = np.abs(x[i + p] - y[q]).mean(axis=1), corr[p, q]
+                    ok = mae <= most_mae + slack
+                    found.append((i + p[ok], q[ok], c[ok], mae[ok]))
+        p, q, c, mae = map(np.concatenate, zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0))
+        edge = (c < least_corr + 1e-9) | (mae > most_mae - slack)
+        pair = {"left": a["left"].to_numpy()[p], "right": b["right"].to_numpy()[q], "corr": c, "mae": mae}
+        shown = {"_left": [a["_left"].iloc[i] if e else None for i, e in zip(p, edge, strict=True)], "_right": [b["_right"].iloc[i] if e else None for i, e in zip(q, edge, strict=True)]}
+        return pd.DataFrame(pair | {name: pd.Series(images, dtype=object) for name, images in shown.items()})
+
+    pairs = dealt(left, "left", "_left", "_s", "_t").groupBy("_tile").cogroup(dealt(right, "right", "_right", "_t", "_s").groupBy("_tile")).applyInPandas(near, schema)
+    sure = F.struct("corr", "mae")
+    decided = pairs.withColumn("s", F.when(F.col("_left").isNotNull(), similarity(F.col("_left"), F.col("_right"))).otherwise(sure))
+    return decided.select("left", "right", "s.corr", "s.mae").where((F.col("corr") >= least_corr) & (F.col("mae") <= most_mae))
+
+
+def _units(images: np.ndarray) -> np.ndarray:
+    """Each centred and of length 1; without contrast it is like none."""
+    off = images - images.mean(axis=1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return off / np.sqrt((off * off).sum(axis=1, keepdims=True))
 
 
 def touching(df: DataFrame, block: str, key: str, pixels: str, least_corr: float, most_mae: float) -> DataFrame:
@@ -82,6 +129,12 @@ def touching(df: DataFrame, block: str, key: str, pixels: str, least_corr: float
     less the other. Means and projections are cut into cells of these widths, so a row meets its own cell and those around it.
     Images without contrast have no correlation and meet none.
     """
+    left, right = _sides(df, block, key, pixels, least_corr, most_mae)
+    return left.join(right, [block, "_a", "_b"]).where(F.col("left") < F.col("right")).select("left", "right", "_left", "_right")
+
+
+def _sides(df: DataFrame, block: str, key: str, pixels: str, least_corr: float, most_mae: float) -> tuple[DataFrame, DataFrame]:
+    """Rows in their own cell, and in it and those around it."""
     distinct = df.groupBy(block, pixels).agg(F.min(key).alias(key))
     mean = F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(pixels)
     placed = distinct.withColumn("_mean", mean)
@@ -96,7 +149,7 @@ def touching(df: DataFrame, block: str, key: str, pixels: str, least_corr: float
     left = placed.select(block, "_a", "_b", F.col(key).alias("left"), F.col(pixels).alias("_left"))
     around = F.explode(F.array(*[F.struct((F.col("_a") + i).alias("_a"), (F.col("_b") + j).alias("_b")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_cell")
     right = placed.select(block, F.col(key).alias("right"), F.col(pixels).alias("_right"), around).select(block, "_cell.*", "right", "_right")
-    return left.join(right, [block, "_a", "_b"]).where(F.col("left") < F.col("right")).select("left", "right", "_left", "_right")
+    return left, right
 
 
 def value_priors(df: DataFrame, by: Sequence[str], grade: str, least: int, ends: int) -> DataFrame:

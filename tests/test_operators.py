@@ -551,3 +551,20 @@ def test_fold_means_add_in_order_of_folds(spark):
     assert {r.i: r.raw for r in audits.fold_means(df, "i", "t").collect()} == {1: ((((0.0 + 0.1) + 0.7) + 1e16) - 1e16 + 0.3) / 5, 2: 3.0, 3: None}
     graded = audits.sweep_metrics(df.where("i = 1").withColumn("t", F.lit(0)), spark.createDataFrame([(f, [0.2, 1.0, 2.0, 3.0]) for f in range(5)], "fold int, cuts array<double>"), "i", "t")
     assert graded.where("fold = 0").first().accuracy == 1.0
+
+
+def test_similar_pairs_across_tiles(spark, monkeypatch):
+    """Cells of many tiles, and images of other sizes; pairs go to a task by tiles, so none of them is a row that is joined."""
+    monkeypatch.setattr(quality, "TILE", 8)
+    rnd = np.random.default_rng(2)
+    images = [rnd.uniform(0, 1, 9) for _ in range(90)] + [rnd.uniform(0, 1, 4) for _ in range(9)] + [np.full(9, 0.5)]
+    df = spark.createDataFrame([("h", i, x.tolist()) for i, x in enumerate(images)], "b string, i int, x array<double>")
+    want = {}
+    for i, x in enumerate(images):
+        for k, y in enumerate(images[:i]):
+            if len(x) == len(y) and x.std() and y.std() and np.corrcoef(x, y)[0, 1] >= 0.3 and np.abs(x - y).mean() <= 0.25:
+                want[k, i] = (pytest.approx(np.corrcoef(x, y)[0, 1]), pytest.approx(np.abs(x - y).mean()))
+    pairs = quality.similar_pairs(df, "b", "i", "x", S.similarity, 0.3, 0.25)
+    assert "FlatMapCoGroupsInPandas" in pairs._jdf.queryExecution().toString()
+    got = pairs.collect()
+    assert len(got) == len(want) > 100 and {(r.left, r.right): (r.corr, r.mae) for r in got} == want
