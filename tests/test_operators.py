@@ -568,3 +568,12 @@ def test_similar_pairs_across_tiles(spark, monkeypatch):
     assert "FlatMapCoGroupsInPandas" in pairs._jdf.queryExecution().toString()
     got = pairs.collect()
     assert len(got) == len(want) > 100 and {(r.left, r.right): (r.corr, r.mae) for r in got} == want
+
+
+def test_forest_rows_are_dealt_to_all_cores(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i), i % 2) for i in range(300)], "x double, g int").coalesce(1)
+    assert stats._vectors(df, ["x"], "g").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(stats, "SHARE", 10)
+    dealt = stats._vectors(df, ["x"], "g")
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 30 and max(r["count"] for r in sizes) <= 20 and dealt.count() == 300
