@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -500,6 +501,18 @@ def test_packed_slots_are_the_slots(spark, size):
     assert resample.packed_slots(spark, 0, 12).collect() == []
 
 
+@pytest.mark.parametrize("prefix", ["", "7:", "12:", "123:", "1999:", "x" * 49])
+def test_heads_of_md5_are_those_of_the_library(prefix):
+    """Numbers of one to eight digits in one piece or at its ends, and prefixes of every place in a word."""
+    for a, b in [(0, 12001), (99990, 100000), (100000, 100003), (1299990, 1300000), (12345670, 12345689)]:
+        if len(prefix) + len(str(b - 1)) <= 55:
+            want = [int(hashlib.md5(f"{prefix}{i}".encode()).hexdigest()[:8], 16) for i in range(a, b)]
+            assert resample.md5_heads(prefix, a, b).tolist() == want
+    for a, b in [(99999, 100001), (250000, 300001)]:
+        with pytest.raises(ValueError):
+            resample.md5_heads(prefix, a, b)
+
+
 def test_counts_beyond_a_byte_are_kept():
     frame = next(iter(resample._packed(3, np.r_[np.zeros(600, np.uint32), np.full(2, 4097, np.uint32)], 5000)))
     first = [np.frombuffer(t, np.uint8)[0] for t, b in zip(frame["times"], frame["block"], strict=True) if b == 0]
@@ -515,6 +528,14 @@ def test_sums_of_draws_against_plain_sums(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("large", [1, 1 << 20, 1 << 40])
+def test_whole_sums_are_exact_in_either_precision(spark, large):
+    rows = [(i, 5000, large + i, -i) for i in range(5000)]
+    clusters = spark.createDataFrame(rows, "place long, clusters long, a long, b long")
+    want = resample.slots(clusters, 4).join(clusters, "place").groupBy("draw").agg(F.sum("a"), F.sum("b"))
+    assert sorted(map(tuple, resample.resampled(clusters, ["a", "b"], 4).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_packed_generator_draws_are_the_generator_draws(spark):
     want = {}
     for r in resample.generator_draws(spark, 5000, 3, 7, 999).collect():
