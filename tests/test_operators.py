@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -536,6 +537,18 @@ def test_whole_sums_are_exact_in_either_precision(spark, large):
     assert sorted(map(tuple, resample.resampled(clusters, ["a", "b"], 4).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_a_task_weighs_a_few_blocks_however_many_there_are(spark, monkeypatch):
+    monkeypatch.setattr(resample, "BLOCK", 16)
+    clusters = spark.range(1600).select(F.col("id").alias("place"), F.lit(1600).cast("long").alias("clusters"), F.col("id").alias("a"))
+    want = resample.slots(clusters, 3).join(clusters, "place").groupBy("draw").agg(F.sum("a"))
+    for blocks, tasks in ((8, 12), (1, 100), (100, spark.sparkContext.defaultParallelism)):
+        monkeypatch.setattr(resample, "BLOCKS", blocks)
+        got = resample.resampled(clusters, ["a"], 3)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(rf"hashpartitioning\(block#\w+, {tasks}\), REPARTITION_BY_NUM", plan)) == 2
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_packed_generator_draws_are_the_generator_draws(spark):
     want = {}
     for r in resample.generator_draws(spark, 5000, 3, 7, 999).collect():
