@@ -520,6 +520,44 @@ def test_counts_beyond_a_byte_are_kept():
     assert first == [255, 255, 90] and sum(frame["block"]) == 1 and set(frame["draw"]) == {3}
 
 
+@pytest.mark.parametrize("size", [1, 11, 4096, 10001])
+def test_two_places_share_a_byte(spark, size):
+    clusters = spark.range(size).select(F.col("id").alias("place"), F.lit(size).cast("long").alias("clusters"))
+    want = {(r.draw, r.place): r.times for r in resample.draws(clusters, 12).collect()}
+    rows, got = resample.packed_slots(spark, size, 12, shared=True).collect(), {}
+    assert {len(r.times) for r in rows} == {resample.BLOCK // 2} and len(rows) == 12 * -(-size // resample.BLOCK)
+    for r in rows:
+        got |= {(r.draw, r.block * resample.BLOCK + i): t for i, t in enumerate([t & 15 for t in r.times] + [t >> 4 for t in r.times]) if t}
+    assert got == want
+
+
+def test_counts_beyond_half_a_byte_are_kept():
+    """A place with so many hits that a byte begins anew from zero, and one of the second half."""
+    for n, rows in ((256, [15] * 17 + [1]), (20, [15, 5])):
+        frame = next(iter(resample._packed(3, np.r_[np.zeros(n, np.intp), np.full(2, 4097)], 5000, shared=True)))
+        assert [t[0] & 15 for t, b in zip(frame["times"], frame["block"], strict=True) if b == 0] == rows
+    frame = next(iter(resample._packed(0, np.r_[np.full(17, 2049), np.full(2, 1)], 4096, shared=True)))
+    assert [(t[1] & 15, t[1] >> 4) for t in frame["times"]] == [(2, 15), (0, 2)]
+
+
+def test_draws_that_hit_one_cluster_often_are_weighed_whole(spark):
+    clusters = spark.range(5000).select(F.col("id").alias("place"), F.col("id").alias("a"))
+    hits = [[7] * 300 + [4500] * 16 + [2050], list(range(5000))]
+    packed = spark.range(2).mapInPandas(lambda frames: (part for f in frames for d in f["id"] for part in resample._packed(int(d), np.array(hits[d]), 5000, shared=True)), "draw int, block long, times binary")
+    assert dict(map(tuple, resample.weighed(clusters, ["a"], packed, 5000).collect())) == {i: sum(h) for i, h in enumerate(hits)}
+
+
+def test_clusters_are_numbered_where_they_lie(spark):
+    """Places in order of keys over all partitions, a missing key first, without another shuffle or sort of the rows."""
+    keys = [None, *random.Random(5).sample(range(-(10**6), 10**6), 999)]
+    numbered = resample.numbered(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i int").repartition(5), "k")
+    assert not re.search("Exchange|Window|Sort", numbered._jdf.queryExecution().executedPlan().toString())
+    got = {r.place: (r.k, r.i, r.clusters) for r in numbered.collect()}
+    want = sorted(((k, i, 1000) for i, k in enumerate(keys)), key=lambda r: -(10**7) if r[0] is None else r[0])
+    assert [got[p] for p in range(1000)] == want
+    assert resample.numbered(spark.createDataFrame([], "k long"), "k").collect() == []
+
+
 def test_sums_of_draws_against_plain_sums(spark):
     rows = [(i, 5000, i % 7, i % 3 - 1, None if i == 9 else 0.5 * (i % 5)) for i in range(5000)]
     clusters = spark.createDataFrame(rows, "place long, clusters long, a int, b long, x double")
