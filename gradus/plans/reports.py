@@ -143,18 +143,19 @@ def _arm_sql(arm: str, c: str) -> str:
     SELECT metric, base.value AS baseline, next.value AS candidate, next.value - base.value AS difference, low, high
     FROM base JOIN next USING (metric) LEFT JOIN limits USING (metric)""")
 def paired_report(spark, d):
-    rows = graded(preds(spark, d))
+    # The rows are read once for both arms: at most 125 cells.
+    both = metrics.cells(graded(preds(spark, d)), "diagnosis", "pred", ["cand"])
     names = ["qwk", "macro_f1", "accuracy", "sensitivity", "specificity"]
 
     def arm(c: str, name: str) -> DataFrame:
-        counted = metrics.cells(rows, "diagnosis", c)
+        counted = both.groupBy("t", F.col(c).alias("p")).agg(F.sum("n").alias("n"))
         # One row beside one row.
         whole = metrics.qwk(counted, observed=True).crossJoin(metrics.grade_metrics(counted)).crossJoin(metrics.referable_confusion(counted))
         return audits.long(whole, [], names).withColumnRenamed("value", name)
 
-    both = arm("pred", "baseline").join(arm("cand", "candidate"), "metric")
+    arms = arm("p", "baseline").join(arm("cand", "candidate"), "metric")
     limits = _paired_intervals(spark, d).select("metric", "low", "high")
-    return both.withColumn("difference", F.col("candidate") - F.col("baseline")).join(limits, "metric", "left")
+    return arms.withColumn("difference", F.col("candidate") - F.col("baseline")).join(limits, "metric", "left")
 
 
 _LONG_ARMS = """arms AS (SELECT diagnosis, unnest(['baseline', 'candidate', 'control']) AS arm, unnest([baseline_raw, candidate_raw, control_raw]) AS raw FROM preds),

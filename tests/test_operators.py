@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from gradus.functions import scalars as S
 from gradus.operators import audits, checks, curves, joins, metrics, quality, ranges, resample, splits, stats
+from gradus.plans import reports
+from gradus.plans.adapters import preds
+from gradus.plans.shared import graded
 
 
 def vectors(spark, truth, pred, **more):
@@ -547,6 +550,24 @@ def test_draws_that_hit_one_cluster_often_are_weighed_whole(spark):
     assert dict(map(tuple, resample.weighed(clusters, ["a"], packed, 5000).collect())) == {i: sum(h) for i, h in enumerate(hits)}
 
 
+def test_paired_report_reads_the_rows_of_both_arms_once(spark, tmp_path):
+    """Beside the pass for the intervals, whose sums are kept; each arm's figures equal those over its own cells."""
+    rows = spark.range(400).select(F.col("id").alias("o_orderkey"), (F.col("id") % 37).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.concat(F.col("id") % 5 + 1, F.lit("-X")).alias("o_orderpriority"))
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        report = reports.paired_report(spark, str(tmp_path))
+        assert report._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+        got = {r.metric: r for r in report.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for c, name in (("pred", "baseline"), ("cand", "candidate")):
+        counted = metrics.cells(graded(preds(spark, str(tmp_path))), "diagnosis", c)
+        assert got["qwk"][name] == metrics.qwk(counted, observed=True).first().qwk
+        assert got["macro_f1"][name] == metrics.grade_metrics(counted).first().macro_f1
+        assert got["sensitivity"][name] == metrics.referable_confusion(counted).first().sensitivity
+
+
 def test_clusters_are_numbered_where_they_lie(spark):
     """Places in order of keys over all partitions, a missing key first, without another shuffle or sort of the rows."""
     keys = [None, *random.Random(5).sample(range(-(10**6), 10**6), 999)]
